@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat, exact_dedup, sharding
+from graphloom.llm import bpe, chat, compression, exact_dedup, order_minhash, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": compression.op1_quality,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_near_dedup": order_minhash.op3_near_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_chat_format": chat.op5_chat_format,
+        "op6_language_id": compression.op6_language_id,
         "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
     }
 
