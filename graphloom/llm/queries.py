@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat, compression, exact_dedup, order_minhash, sharding
+from graphloom.llm import bpe, chat, compression, decontaminate, exact_dedup, order_minhash, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": bpe.op4_bpe,
         "op5_chat_format": chat.op5_chat_format,
         "op6_language_id": compression.op6_language_id,
+        "op7_personal_data": pii.op7_personal_data,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
