@@ -1,0 +1 @@
+"""Subgraph patterns in large, changing graphs, as Spark DataFrame plans."""
