@@ -49,3 +49,14 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the rows whose number in the scan (monotonically_increasing_id) is in `dropped` (rid).
+
+    `docs` must be a table that was read from files, so that its rows have the same numbers each time. Its columns may have any names.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_row{i}" for i in range(len(taken) + 1)) if n not in taken)
+    rows = materialize(dropped.select(F.col("rid").alias(name)).distinct(), "dropped")
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(broadcast_if_small(rows, 24), name, "left_anti").select(docs.columns)

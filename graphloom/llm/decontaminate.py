@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, materialize, text_or_empty
+from graphloom.llm.common import broadcast_if_small, materialize, text_or_empty, without_rows
 
 WINDOW, LITERALS = 8, 4
 #: Units of measurement.
@@ -108,8 +108,7 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs`, which must be a table that was read from files, without contaminated rows."""
-    rows = materialize(contamination(docs, items).select(F.col("rid").alias("_rid")).distinct(), "dropped")
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(broadcast_if_small(rows, 24), "_rid", "left_anti").select(docs.columns)
+    return without_rows(docs, contamination(docs, items))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, materialize, table_path, text_or_empty
+from graphloom.llm.common import broadcast_if_small, materialize, table_path, text_or_empty, without_rows
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -121,8 +121,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, which must be a table that was read from files, without the rows that dedup_exact drops."""
-    dropped = materialize(dedup_exact(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("_rid")), "dropped")
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(broadcast_if_small(dropped, 24), "_rid", "left_anti").select(docs.columns)
+    return without_rows(docs, dedup_exact(docs, id_col, text_col).where("not kept"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
