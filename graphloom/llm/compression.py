@@ -29,6 +29,8 @@ LANG_PER_CLASS, QUALITY_PER_CLASS = 96, 1000
 #: Bytes of a dictionary and of a block.
 LANG_DICT, LANG_BLOCK = 48 << 10, 1024
 QUALITY_DICT, QUALITY_BLOCK = 110 << 10, 2048
+#: Hashes of identifiers are taken modulo this number.
+HASHES = 1 << 40
 #: A margin below this share of the smallest size is narrow.
 NARROW = 0.005
 UNDETERMINED = "und"
@@ -41,11 +43,18 @@ def crc_mod(id_col: str, n: int) -> Column:
 def sample_by_class(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str) -> list[tuple[str, str]]:
     """(label, text) of at most `per_class` texts of each label, in the order of a hash. `labels`: id, label; only rows to learn from.
 
-    Identifiers are ranked first, on two columns; then only the chosen texts are read.
+    Labels are counted first. Of each, only rows whose hash is below a cut are ranked: one that leaves a few more than `per_class`, however large the table
+    is. Then only the chosen texts are read.
     """
-    order = [F.xxhash64("id"), F.col("id")]
+    labels = labels.where("label is not null and id is not null")
+    cuts = [(r["label"], int(min(1.0, (per_class + 5 * per_class**0.5 + 20) / r["count"]) * HASHES)) for r in labels.groupBy("label").count().collect()]  # a row for each label
+    if not cuts:
+        return []
+    below = labels.sparkSession.createDataFrame(cuts, f"label {dict(labels.dtypes)['label']}, cut long")
+    labels = labels.join(F.broadcast(below), "label").where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < F.col("cut")).select("id", "label")
+    order = [F.pmod(F.xxhash64("id"), F.lit(HASHES)), F.col("id")]
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    ids = labels.where("label is not null and id is not null").withColumn("n", rank).where(F.col("n") <= per_class).select("id", "label")
+    ids = labels.withColumn("n", rank).where(F.col("n") <= per_class).select("id", "label")
     chosen = labels.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most per_class a label
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
     rows = found.select("label", F.xxhash64("id").alias("h"), "id", "text").collect()

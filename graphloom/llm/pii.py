@@ -6,7 +6,7 @@ potential; mentions that are repeated or similar (the same last seven digits, th
 at any distance. Loopy sum-product message passing gives each free mention a label; one that isn't "none" with a probability of at least `SURE` adds a span.
 So a phone number that is given once in full and once without its prefix is found twice.
 
-Weights are fitted on the driver by pseudo-likelihood on a bounded sample: at most `SAMPLE` texts that hold a digit or an at sign, those with the smallest hash of their identifier, labelled by the rules.
+Weights are fitted on the driver by pseudo-likelihood on a bounded sample: at most `SAMPLE` texts that hold a digit or an at sign, of the about `ROWS` rows with the smallest hash of their identifier, labelled by the rules.
 Everything else covers all rows and whole texts, in time linear in the text. Defined cases: null and empty texts have no spans; repeated rows and ties get equal results; an
 empty table gives no rows; without a text to learn from, the field adds nothing; columns other than identifier and text are not looked at.
 """
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.compression import _scores
+from graphloom.llm.compression import HASHES, _scores
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE, SURE, ROUNDS = 2000, 0.9, 15
+SAMPLE, ROWS, SURE, ROUNDS = 2000, 12_000, 0.9, 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -225,12 +225,13 @@ def joined(spans: list[Span]) -> str:
 
 
 def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SkipChainField:
-    """Fitted on at most SAMPLE texts; identifiers are chosen first, then only their texts are read."""
-    held = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id")).where("id is not null")
-    ids = held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "text").collect()
-    return SkipChainField([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["id"], r["text"] or "")) if r["text"]])
+    """Fitted on at most SAMPLE texts with a digit or an at sign, out of about ROWS rows that a hash of the identifier picks; only their texts are read."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    order = F.pmod(F.xxhash64(id_col), F.lit(HASHES))
+    cut = int(min(1.0, ROWS / max(1, docs.count())) * HASHES)
+    held = rows.where((order < cut) & F.col(text_col).rlike("[0-9@]")).select(order.alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = held.orderBy("h", "id", "text").limit(SAMPLE).collect()
+    return SkipChainField([r["text"] for r in chosen])
 
 
 def personal_data(docs: DataFrame, field: SkipChainField) -> DataFrame:

@@ -1,0 +1,69 @@
+"""The registered queries on small tables: schemas, held-out accuracy, and SQL."""
+
+import os
+
+import duckdb
+import pytest
+
+from graphloom.llm.queries import oracle_sql, queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "conversations"):
+        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query(spark, db, name):
+    df = queries()[name](spark, DATA)
+    got = df.toPandas()
+    table, key = ("conversations", "conv_id") if name.startswith("op5") else ("documents", "doc_id")
+    ids = {r[0] for r in db.sql(f"select distinct {key} from {table}").fetchall()} | ({-1} if name.startswith("op5") else set())
+    assert set(got[key]) == ids and len(got) == len(ids)
+    if name in oracle_sql():
+        want = db.sql(oracle_sql()[name])
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        assert sorted(tuple(r[c] for c in columns) for r in queries()[name](spark, DATA).collect()) == sorted(want.select(*columns).fetchall())
+
+
+def test_held_out_accuracy(spark):
+    big = DATA.replace("0.001", "0.01")
+    lang = duckdb.sql(f"select doc_id, lang from '{big}/documents.parquet'").df()
+    got = queries()["op6_language_id"](spark, big).toPandas().merge(lang, on="doc_id")
+    assert (got[got.held_out].lang == got[got.held_out].lang_pred).mean() > 0.97
+    labels = duckdb.sql(f"select * from '{big}/labels.parquet'").df()
+    quality = queries()["op1_quality"](spark, big).toPandas().merge(labels, on="doc_id")
+    assert (quality[quality.held_out].predicted == quality[quality.held_out].quality).mean() > 0.94
+    toxic = queries()["op8_toxicity"](spark, big).toPandas().merge(labels, on="doc_id", suffixes=("", "_label"))
+    assert (toxic[toxic.held_out].toxic == toxic[toxic.held_out].toxic_label).mean() > 0.9
+
+
+def test_pipeline_agrees_with_its_parts(spark):
+    """What each stage drops, by the operators' own judgement of the stage before, computed plainly from their outputs."""
+    import corpus_pipeline
+    from graphloom.llm import common
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = common.materialize(stage(spark, docs, DATA), f"test-{name}")
+        after = {r["doc_id"] for r in docs.collect()}
+        assert after <= set(before)
+        if name != "bpe":
+            assert docs.columns == columns
+        if name == "exact_dedup":
+            groups = {}
+            for i, t in before.items():
+                groups.setdefault("".join(c for c in t if c not in " \t\n\x0b\x0c\r"), []).append((-len(t), i))
+            assert after == {min(g)[1] for g in groups.values()}
+        if name == "bpe":
+            assert after == set(before)
+    assert docs.count() == corpus_pipeline.run(spark, DATA).count()
