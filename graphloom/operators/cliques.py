@@ -6,14 +6,13 @@ intersected are short even at hubs, and a clique is found once, from its lowest
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import common, ends, pairs, total, without
 from graphloom.operators.graph import Graph
-from graphloom.operators.join import Extender, Index, extend
+from graphloom.operators.join import Extender, Index, extend, factorised
+from graphloom.storage import materialize
 
 
 def _cliques_with_candidates(graph: Graph, k: int) -> DataFrame:
@@ -76,6 +75,7 @@ def four_cycles(graph: Graph) -> DataFrame:
 
 def cliques_from_triangles(tri: DataFrame, k: int) -> DataFrame:
     """v1 < ... < vk for k = 4 or 5, by joins of the triangle table on pairs of nodes."""
+    tri = materialize(tri, "triangles")
     index = Index(tri.select(F.col("a").alias("k1"), F.col("b").alias("k2"), F.col("c").alias("val")), ("k1", "k2"))
     rows = tri.toDF("v1", "v2", "v3")
     rows = extend(rows, [Extender(p, index) for p in (("v1", "v2"), ("v1", "v3"), ("v2", "v3"))], "v4")
@@ -86,7 +86,7 @@ def cliques_from_triangles(tri: DataFrame, k: int) -> DataFrame:
 
 def hats(graph: Graph) -> DataFrame:
     """(v2, v5, v3, v4, v1): an edge v2 < v5, two adjacent common neighbours v3 < v4, and one more common neighbour v1."""
-    tri = triangles(graph)
+    tri = materialize(triangles(graph), "triangles")
     e = support(tri)
     third = e.groupBy("s", "d").agg(F.collect_set("third").alias("near"))
     four = cliques(graph, 4)
@@ -102,7 +102,7 @@ def count_hats(graph: Graph, seeded_by: str = "cliques") -> DataFrame:
 
     `seeded_by`: 4-cliques from the ranked graph, from the triangle table ("triangles"), or pairs of triangles on one edge whose tips are adjacent ("edges").
     """
-    tri = triangles(graph)
+    tri = materialize(triangles(graph), "triangles")
     e = support(tri)
     common_n = e.groupBy("s", "d").agg(F.count("*").alias("k"))
     if seeded_by == "edges":
@@ -121,7 +121,7 @@ def count_fans(tri: DataFrame) -> DataFrame:
 
     The path's middle and its two neighbours are listed; the two ends are counted as products of array sizes, less the cases in which they coincide.
     """
-    e = support(tri)
+    e = support(materialize(tri, "triangles"))
     both = e.unionByName(e.select(F.col("d").alias("s"), F.col("s").alias("d"), "third"))
     near = both.groupBy("s", "d").agg(F.collect_set("third").alias("near"))  # of hub s: the neighbours of d around it
     arms = both.select(F.col("s").alias("hub"), F.col("d").alias("middle"), F.col("third").alias("arm"))
@@ -148,15 +148,9 @@ def common_sources(edges: DataFrame) -> DataFrame:
 def common_targets(edges: DataFrame) -> DataFrame:
     """(src, dst, n): for each edge, how many targets its ends share, if any."""
     adjacency = Index.forward(edges)
-    from graphloom.operators.join import factorised
-
     return factorised(edges, [Extender("src", adjacency), Extender("dst", adjacency)], "vals").select("src", "dst", F.size("vals").cast("long").alias("n"))
 
 
 def triangles_by_vertex(edges: DataFrame) -> DataFrame:
     """(node, n): directed triangles x -> y, x -> z, y -> z for each x with any."""
     return common_targets(edges).groupBy(F.col("src").alias("node")).agg(total("n").alias("n"))
-
-
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.join import Extender, Index, extend
 from graphloom.operators.versioned import consolidate, effective_changes, intervals
 from graphloom.plans.pattern import Motif
+from graphloom.storage import materialize
 
 
 def _bound(rows: DataFrame, motif: Motif, start: int, *more: str) -> DataFrame:
@@ -46,9 +47,10 @@ def derivative(motif: Motif, start: int, changes: DataFrame, validity: DataFrame
 
 def raw_changes(motif: Motif, log: DataFrame, since: int | None = None, strategy: str = "generic") -> DataFrame:
     """The derivatives of all relations together; a match may occur more than once, with weights that cancel."""
-    changes, validity = effective_changes(log), intervals(log)
-    if since is not None:
-        changes = changes.where(F.col("t") >= since)
+    # each is read by every join of every derivative: written once, so that plans stay small and nothing is computed twice
+    log = materialize(log, "log")
+    changes, validity = effective_changes(log), materialize(intervals(log), "intervals")
+    changes = materialize(changes if since is None else changes.where(F.col("t") >= since), "changes")
     return reduce(DataFrame.unionByName, [derivative(motif, i, changes, validity, strategy) for i in range(len(motif.edges))])
 
 
@@ -64,6 +66,4 @@ def epoch_counts(changes: DataFrame) -> DataFrame:
 
 def running_total(counts: DataFrame, base: int = 0) -> DataFrame:
     """(t, total): the sum of net changes up to each epoch; a row an epoch, so its window is small whatever the graph's size."""
-    from pyspark.sql import Window
-
     return counts.select("t", (F.lit(base) + F.sum("net").over(Window.orderBy("t"))).cast("long").alias("total"))

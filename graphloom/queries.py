@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import total
@@ -15,6 +15,7 @@ from graphloom.operators.match import epoch_counts, match, raw_changes, running_
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
 from graphloom.plans.pattern import Motif
 from graphloom.sources.edges import node_batches, percent_split, transitions
+from graphloom.storage import materialize
 
 FIRST_EPOCH, EPOCHS = 5, 10
 
@@ -25,7 +26,8 @@ def click_graph(spark: SparkSession, sf_dir: str, only: str | None = "click") ->
     if only:
         events = events.where(F.col("event_type") == only)
     events = events.select("user_id", "ts", "event_id")
-    return Graph.of(transitions(events, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")))
+    graph = Graph.of(transitions(events, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")))
+    return Graph(materialize(graph.edges, "click-graph"))  # every join of a query reads it
 
 
 def edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +36,6 @@ def edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = clicks.count()
     hour = F.date_trunc("hour", "ts")
     # the number of each click: those in earlier hours, and its place within the hour
-    from pyspark.sql import Window
-
     hours = clicks.groupBy(hour.alias("bucket")).agg(F.count("*").alias("k"))
     hours = hours.select("bucket", (F.sum("k").over(Window.orderBy("bucket")) - F.col("k")).alias("before"))
     placed = clicks.withColumn("bucket", hour).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("ts", "event_id"))).join(hours, "bucket")
