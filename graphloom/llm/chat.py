@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 START, END = "<s>", "</s>"
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]")}
+_OPENINGS = (" ", "[ROLE ", *(first for first, _ in MARKS.values()))
 _CONTROL = r"INST\]|/INST\]|SYS\]|/SYS\]|ROLE |/ROLE\]|s>|/s>"
 _ESCAPE = re.compile(rf"([\[<])(\\*)({_CONTROL})")
 _UNESCAPE = re.compile(rf"([\[<])\\(\\*)({_CONTROL})")
@@ -68,12 +69,18 @@ class Reader:
     def _turn(self) -> tuple[str | None, str, int, int] | None:
         s, at = self.rest, len(START)
         if not s.startswith(START):
+            if START.startswith(s):
+                return None
             raise ValueError("a turn must begin with the start mark")
+        if any(mark.startswith(s[at:]) for mark in _OPENINGS if len(s) - at < len(mark)):
+            return None  # the mark isn't complete yet
         if s.startswith(" ", at):
             role, begin, close = "assistant", at + 1, END
         elif s.startswith("[ROLE ", at):
             stop = s.find("] ", at)
             if stop < 0:
+                if re.fullmatch(r"-?[0-9a-f]*\]?", s[at + 6 :]):
+                    return None
                 raise ValueError("a role mark has no end")
             name = s[at + 6 : stop]
             role, begin, close = None if name == "-" else bytes.fromhex(name).decode("utf-8", "surrogatepass"), stop + 2, " [/ROLE]"
