@@ -112,4 +112,47 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flag_contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """As flag_contaminated; item_id is -1 for clean documents."""
+    flagged = flag_contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return flagged.withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
+
+
+def _sql() -> str:
+    """The same in SQL, token by token (its regular expressions can't look around)."""
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    return rf"""
+WITH t AS (
+  SELECT TRUE AS own, doc_id AS id, coalesce(text, '') AS x FROM documents UNION ALL SELECT FALSE, item_id, coalesce(text, '') FROM benchmark),
+m AS (
+  SELECT own, id, row_number() OVER () AS r, regexp_extract_all(x, '({_NUMBER}|[\p{{L}}\p{{M}}]+)') AS v,
+    regexp_extract_all(regexp_replace(regexp_replace(x, '{_NUMBER}', ' {NUMBER} ', 'g'), '{NUMBER} +(?:{units})([^\p{{L}}\p{{M}}]|$)', '{NUMBER} {UNIT}\1', 'g'), '([\p{{L}}\p{{M}}{NUMBER}{UNIT}]+)') AS raw
+  FROM t),
+k AS (SELECT own, id, r, v, list_transform(raw, lambda y: CASE WHEN regexp_full_match(y, '\p{{Lu}}\p{{Ll}}+') THEN '{NAME}' ELSE lower(y) END) AS k FROM m WHERE len(raw) > 0),
+b AS (SELECT id AS item, r AS item_row, v, k, least(len(k), {WINDOW}) AS width, unnest(range(0, len(k) - least(len(k), {WINDOW}) + 1)) AS spot FROM k WHERE NOT own),
+bw AS (
+  SELECT item, item_row, spot, width, array_to_string(k[spot + 1:spot + width], ' ') AS words,
+    len(list_filter(k[spot + 1:spot + width], lambda y: y NOT IN ('{NUMBER}', '{NAME}', '{UNIT}'))) AS literals FROM b),
+d AS (SELECT id, r, k, width, unnest(range(0, len(k) - width + 1)) AS pos FROM k, (SELECT DISTINCT width FROM bw) WHERE own AND len(k) >= width),
+h AS (
+  SELECT d.id, d.r, d.pos, bw.item, bw.item_row, bw.spot, bw.width, bw.literals, d.pos - bw.spot AS shift
+  FROM d JOIN bw ON bw.width = d.width AND bw.words = array_to_string(d.k[d.pos + 1:d.pos + d.width], ' ')),
+c AS (SELECT DISTINCT r, item_row, shift, unnest(range(spot, spot + width)) AS spot FROM h),
+s AS (
+  SELECT c.r, c.item_row, c.shift, i.k[c.spot + 1] AS kind, i.v[c.spot + 1] AS value, o.v[c.spot + c.shift + 1] AS own
+  FROM c JOIN k i ON i.r = c.item_row JOIN k o ON o.r = c.r WHERE i.k[c.spot + 1] IN ('{NUMBER}', '{NAME}', '{UNIT}')),
+q AS (
+  SELECT r, item_row, shift, count(DISTINCT (kind, value, own)) AS pairs, count(DISTINCT (kind, value)) AS vals, count(DISTINCT (kind, own)) AS owns, bool_or(value <> own) AS changed
+  FROM s GROUP BY r, item_row, shift),
+a AS (SELECT id, r, item, item_row, shift, count(DISTINCT spot) AS windows, max(literals) AS literals FROM h GROUP BY id, r, item, item_row, shift),
+j AS (
+  SELECT a.*, coalesce(q.changed, FALSE) AS changed FROM a LEFT JOIN q USING (r, item_row, shift)
+  WHERE (q.pairs IS NULL OR (q.pairs = q.vals AND q.pairs = q.owns)) AND (a.literals >= {LITERALS} OR NOT coalesce(q.changed, FALSE))),
+f AS (SELECT id, r, item, max(windows) AS windows, bool_and(changed) AS changed FROM j GROUP BY id, r, item),
+top AS (
+  SELECT id, count(*) AS n_items, CAST(sum(windows) AS BIGINT) AS n_windows, arg_min(item, (-windows, item)) AS item_id, arg_max(changed, (windows, NOT changed)) AS reparameterised FROM f GROUP BY id, r)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(n_windows, 0) AS n_windows, coalesce(item_id, -1) AS item_id, coalesce(reparameterised, FALSE) AS reparameterised
+FROM documents LEFT JOIN top ON top.id = documents.doc_id
+"""
+
+
+ORACLE_SQL = _sql()

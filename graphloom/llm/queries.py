@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
