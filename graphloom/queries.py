@@ -14,8 +14,9 @@ from graphloom.operators.join import Extender, Index, extend, nominate
 from graphloom.operators.match import epoch_counts, match, raw_changes, running_total, track
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
 from graphloom.plans.pattern import Motif
-from graphloom.sources.edges import node_batches, percent_split, transitions
-from graphloom.storage import materialize
+from graphloom.sources.edges import edge_text, node_batches, percent_split, preload_and_batches, transitions
+from graphloom.storage import fresh_path, materialize
+from graphloom.streaming.runner import MotifStream
 
 FIRST_EPOCH, EPOCHS = 5, 10
 
@@ -95,7 +96,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         edges = g(spark, d).edges
         return Extender("dst", Index.forward(edges)).intersect(edges, "src")
 
+    def text_scan(spark: SparkSession, d: str) -> DataFrame:
+        """The graph written as edge-list text, with a comment, and read again."""
+        path = fresh_path(spark, "edge-text")
+        lines = g(spark, d).edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
+        lines.unionByName(spark.createDataFrame([("# src dst",), ("",)], "value string")).write.text(path)
+        return edge_text(spark, path)
+
+    def text_batches(spark: SparkSession, d: str) -> DataFrame:
+        """The same text by raw lines: how many edges are preloaded (t = 0) and in each batch of 500 lines."""
+        path = fresh_path(spark, "edge-text")
+        g(spark, d).edges.select(F.concat_ws(" ", "src", "dst").alias("value")).coalesce(1).write.text(path)
+        held, rest = preload_and_batches(spark, path, 100, 500)
+        return held.select(F.lit(0).alias("t")).unionByName(rest.select("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def streamed(spark: SparkSession, d: str) -> DataFrame:
+        """The triangles' changes by Structured Streaming: files of changes dropped epoch by epoch."""
+        rows = materialize(log(spark, d), "log")
+        path = fresh_path(spark, "stream")
+        stream = MotifStream(spark, TRIANGLE, path, VersionedEdges(rows).as_of(FIRST_EPOCH - 1))
+        for t in range(FIRST_EPOCH, EPOCHS):
+            rows.where(F.col("t") == t).select("src", "dst", "w").write.mode("append").parquet(f"{path}/in")
+            query = stream.start(spark.readStream.schema("src long, dst long, w int").parquet(f"{path}/in"))
+            query.processAllAvailable()
+            query.stop()
+        return stream.changes().withColumn("t", (F.col("t") + FIRST_EPOCH).cast("int"))
+
     return {
+        "edge_text_scan": text_scan,
+        "edge_text_batches": text_batches,
+        "streaming_triangle": streamed,
         "q0_triangle": lambda s, d: C.triangles(g(s, d)),
         "q1_four_cycle": lambda s, d: C.four_cycles(g(s, d)),
         "q2_strut": lambda s, d: C.struts(C.triangles(g(s, d))),
@@ -207,6 +237,8 @@ WHERE e1.q < e3.q AND e1.p NOT IN (e2.q, e3.q, e4.q) AND e1.q <> e4.q AND e2.q <
     five = "SELECT p.a AS v1, p.b AS v2, p.c AS v3, p.d AS v4, f.d AS v5 FROM k4 p JOIN f ON f.s = p.d WHERE (p.a, f.d) IN (SELECT (s, d) FROM f) AND (p.b, f.d) IN (SELECT (s, d) FROM f) AND (p.c, f.d) IN (SELECT (s, d) FROM f)"
     deg = "td AS (SELECT x AS node, count(*) AS degree FROM (SELECT src AS x FROM g UNION ALL SELECT dst FROM g) GROUP BY x), rk AS (SELECT node, row_number() OVER (ORDER BY degree, node) - 1 AS rank FROM td)"
     out = {
+        "edge_text_scan": "SELECT src, dst FROM g",
+        "edge_text_batches": "SELECT CAST(CASE WHEN rn <= 100 THEN 0 ELSE 1 + (rn - 101) // 500 END AS INT) AS t, count(*) AS n FROM (SELECT row_number() OVER () AS rn FROM g) GROUP BY 1",
         "q0_triangle": "SELECT a, b, c FROM tri",
         "q1_four_cycle": "SELECT count(*) AS n FROM f a JOIN f b ON a.s = b.s AND a.d < b.d JOIN u x ON x.a = a.d AND x.b > a.s JOIN u y ON y.a = b.d AND y.b = x.b",
         "q2_strut": "SELECT p.s AS v1, p.d AS v3, p.v AS v2, q.v AS v4 FROM sup p JOIN sup q ON p.s = q.s AND p.d = q.d AND p.v < q.v",
@@ -248,6 +280,7 @@ WHERE greatest(a.t, b.t, c.t) >= 1 GROUP BY 1"""
     out["triangles_preload_stream"] = f"WITH {preload}"
     for name, m in (("delta_triangle", TRIANGLE), ("delta_cycle3", CYCLE3), ("delta_k4", K4)):
         out[name] = _with("SELECT * FROM dm", f"{_LOG}, {_delta(m)}")
+    out["streaming_triangle"] = out["delta_triangle"]
     oriented = _LOG.replace("snap AS (SELECT ep.t, src, dst FROM", "snap AS (SELECT ep.t, least(src, dst) AS src, greatest(src, dst) AS dst FROM").replace("GROUP BY ep.t, src, dst HAVING", "GROUP BY ep.t, least(src, dst), greatest(src, dst) HAVING")
     out["delta_seed_k4"] = _with("SELECT * FROM dm", f"{oriented}, {_delta(K4)}")
     tri = f"{_LOG}, {_delta(TRIANGLE)}"
