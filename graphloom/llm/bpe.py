@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import bounded_batches
+
 #: Rows that are encoded together, and the number of chunks after which the cache starts anew.
-BLOCK_ROWS, CACHE_CHUNKS = 1000, 300_000
+BLOCK_ROWS, CACHE_CHUNKS = 500, 120_000
 #: Unicode's white space, as the tokenizers library has it.
 WHITE = "\t-\r \x85\xa0  -     　"
 _WHITE = regex.compile(f"[{WHITE}]+")
@@ -213,28 +215,36 @@ def loaded(path: str) -> PairIndexBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256, and with `with_ids` also token_ids and decoded. `path` is the vocabulary's place on every worker."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, and if asked for token_ids and decoded. `path` is the vocabulary's place on every worker."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                found = bpe.encode_block(batch["text"].to_pylist())
-                columns = [batch["id"], pa.array([n for _, _, n in found], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d, _, _ in found]), pa.array([hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest() for _, s, _ in found])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    flat = pa.Array.from_buffers(pa.int32(), sum(n for _, _, n in found), [None, pa.py_buffer(b"".join(d for d, _, _ in found))])
-                    ends = [0]
-                    for _, _, n in found:
-                        ends.append(ends[-1] + n)
-                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([s for _, s, _ in found], pa.string())]
-                    names += ["token_ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * with_ids
+                yield whole.slice(at, BLOCK_ROWS)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in blocks(batches):
+            found = bpe.encode_block(batch["text"].to_pylist())
+            columns = [batch["id"], pa.array([n for _, _, n in found], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d, _, _ in found]), pa.array([hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest() for _, s, _ in found])]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = pa.Array.from_buffers(pa.int32(), sum(n for _, _, n in found), [None, pa.py_buffer(b"".join(d for d, _, _ in found))])
+                ends = [0]
+                for _, _, n in found:
+                    ends.append(ends[-1] + n)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+                names.append("token_ids")
+            if with_text:
+                columns.append(pa.array([s for _, s, _ in found], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.ids, bpe.text = {}, {}  # workers live on, with other tasks to do
+
+    schema = f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", decoded string" * with_text
     return source.mapInArrow(encoded, schema).withColumnRenamed("id", id_col)
 
 
@@ -245,4 +255,4 @@ def vocabulary() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False, with_text=False)

@@ -47,6 +47,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Rows that are sent to Python at a time, each with a whole text or an array as long.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS; a lower setting stays. With the default of 10,000 whole texts, buffers outside the heap get large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import bounded_batches
+
 #: Texts of each class in the sample that models are fitted on.
 LANG_PER_CLASS, QUALITY_PER_CLASS = 96, 1000
 #: Bytes of a dictionary and of a block.
@@ -140,6 +142,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
                 batch = whole.slice(at, 500)
                 yield batch.filter(pa.array([not model.predict(t)[2] for t in batch[text_col].to_pylist()], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(kept, docs.schema)
 
 
@@ -162,6 +165,7 @@ def _scores(docs: DataFrame, score, schema: str, kinds: tuple) -> DataFrame:
                 found = [score(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names)
 
+    bounded_batches(docs.sparkSession)
     names = [id_col, *(p.split()[0] for p in schema.split(", "))]
     return docs.mapInArrow(scored, f"`{id_col}` {docs.schema[0].dataType.simpleString()}, {schema}")
 
