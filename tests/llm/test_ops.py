@@ -158,6 +158,38 @@ def test_near_classes_agree_with_all_pairs(spark, tmp_path):
     assert order_minhash.keep_one(docs).columns == docs.columns
 
 
+def test_near_copies_of_short_texts(spark, tmp_path):
+    """One word more or less at an end, from 4 against 5 shingles (a similarity of exactly 0.8) to the longest texts with exact candidates; a line they share links nothing."""
+    rnd = random.Random(11)
+    line = prose(rnd, 7)
+    texts, linked = [], []
+    for n in (*[8] * 8, *[9] * 4, *range(10, 36), *[14] * 8, *[20] * 8):
+        base = prose(rnd, n)
+        more = [base[:-1], base[1:], [*base, "end"], ["start", *base]][rnd.randrange(4)]
+        linked += [plain_similarity(" ".join(base), " ".join(more)) >= 0.8] * 2
+        texts += [" ".join(base), " ".join(more)]
+    for _ in range(12):
+        texts.append(" ".join([*line, *prose(rnd, 8)]))
+        linked.append(False)
+    assert sum(linked[:24]) > 8
+    docs = table(spark, tmp_path, texts)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in rows_of(order_minhash.near_classes(docs))}
+    assert got == {i: (i - i % 2, 2) if both else (i, 1) for i, both in enumerate(linked)}
+
+
+def test_sketches_of_longer_texts_miss_few(spark):
+    """The chance that all sketches differ, at the worst for texts of more than SHORT shingles; m of them are aligned."""
+    import math
+
+    chance = 0.0
+    for a in range(order_minhash.SHORT + 1, 400):
+        for b in range(a, int(a / 0.8) + 1):
+            m = math.ceil(0.8 / 1.8 * (a + b) - 1e-9)
+            if m <= a:
+                chance = max(chance, (1 - math.comb(m, order_minhash.LENGTH) / math.comb(a + b - m, order_minhash.LENGTH)) ** order_minhash.SKETCHES)
+    assert chance < 0.001
+
+
 def test_parity_never_rules_out_a_link(spark):
     rnd = random.Random(9)
     for n in (3, 200, 700, 1500):
