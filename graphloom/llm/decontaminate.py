@@ -3,9 +3,10 @@
 A text becomes its template: each number, unit (the word after a number, from a fixed list) and name (a word with one capital, first) is
 replaced by a typed placeholder, all other words are lower-cased. Windows of `WINDOW` template tokens of all documents are hash-joined with those of the
 benchmark; matching windows of a document and an item at the same distance form an alignment. The values in its slots must be consistent: equal values of the item stand
-for equal values in the document and different ones for different ones. A consistent alignment marks the document, so a question with other numbers
+for equal values in the document (different ones may coincide). A consistent alignment marks the document, so a question with other numbers
 or names is caught, and a mere likeness of form is not. A window with fewer than `LITERALS` plain words says little: an alignment of such
-windows alone counts only if all values are equal.
+windows alone counts only if all values are equal. An alignment that isn't consistent as a whole is judged by its runs of adjoining windows, each by itself in the same way, and its
+windows with enough plain words whose own values are all equal always count: one edited value doesn't clear the rest of a copy.
 
 Defined cases: null and empty texts have no tokens and never match; an item shorter than a window is one window of its own length; rows of the benchmark may
 repeat; repeated documents are judged alike; an empty table on either side gives no match; item identifiers may be null; columns other than identifier and text are not looked at.
@@ -13,7 +14,7 @@ repeat; repeated documents are judged alike; an empty table on either side gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import broadcast_if_small, materialize, text_or_empty, without_rows
@@ -62,8 +63,29 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[Dat
     return materialize(windows, "item-windows"), materialize(slots, "item-slots")
 
 
+def _checked(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """For each group: its pairs of an item's and a document's value, the item's values (as many if consistent), and whether any differ."""
+    both = pairs.groupBy(*by, "kind", "value", "own").agg(F.count("*").alias("n"))
+    return both.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_distinct("kind", "value").alias("values"), F.max(F.col("value") != F.col("own")).alias("changed"))
+
+
+def _parts(matched: DataFrame, pairs: DataFrame, broken: DataFrame) -> DataFrame:
+    """Of the alignments in `broken`, which aren't consistent: their windows and whether those changed, by what counts of them."""
+    key = ["rid", "item_row", "shift"]
+    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy("at"))
+    parts = materialize(matched.join(broken, key, "left_semi").withColumn("run", F.col("at") - rank), "parts")
+    inside = parts.select(*key, "run", "at", "width").join(pairs.withColumnRenamed("at", "slot"), key).where("slot >= at AND slot < at + width")
+    inside = materialize(inside, "part-slots")
+    runs = parts.groupBy(*key, "run").agg(F.max("literals").alias("most")).join(_checked(inside, [*key, "run"]), [*key, "run"], "left")
+    differs = inside.groupBy(*key, "at").agg(F.max(F.col("value") != F.col("own")).alias("differs"))
+    judged = parts.join(runs, [*key, "run"]).join(differs, [*key, "at"], "left").withColumn("differs", F.coalesce("differs", F.lit(False)))
+    whole_run = (F.col("pairs").isNull() | (F.col("pairs") == F.col("values"))) & ((F.col("most") >= LITERALS) | ~F.coalesce("changed", F.lit(False)))
+    verbatim = ~F.col("differs") & (F.col("literals") >= LITERALS)
+    return judged.where(whole_run | verbatim).groupBy("rid", "item", "item_row", "shift").agg(F.count_distinct("at").alias("windows"), F.max("differs").alias("changed"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(rid, item, windows, changed) for each document row and item with a consistent alignment. rid: the row's number in the scan of `docs`."""
+    """(rid, item, windows, changed) for each document row and item with an alignment that counts, whole or in part. rid: the row's number in the scan of `docs`."""
     windows, slots = benchmark_windows(items, item_col, item_text_col)
     keys = materialize(windows.select("hash", "width").distinct(), "item-keys")
     tokens = docs.select(F.monotonically_increasing_id().alias("rid"), template(text_or_empty(text_col)).alias("tokens"))
@@ -83,15 +105,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     needed = materialize(covered.join(slots, ["item_row", "at"]), "slots")
     rows = materialize(needed.select("rid").distinct(), "slot-rows")
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), text_or_empty(text_col).alias("text")).join(broadcast_if_small(rows, 24), "rid", "left_semi")
-    pairs = texts.select("rid", values(F.col("text")).alias("values")).join(needed, "rid").select("rid", "item_row", "shift", "kind", "value", F.element_at("values", F.col("at") + F.col("shift") + 1).alias("own"))
-    both = pairs.groupBy("rid", "item_row", "shift", "kind", "value", "own").agg(F.count("*").alias("n"))
-    checked = both.groupBy("rid", "item_row", "shift").agg(
-        F.count("*").alias("pairs"), F.count_distinct("kind", "value").alias("values"), F.count_distinct("kind", "own").alias("owns"), F.max(F.col("value") != F.col("own")).alias("changed")
-    )
+    pairs = texts.select("rid", values(F.col("text")).alias("values")).join(needed, "rid").select("rid", "item_row", "shift", "at", "kind", "value", F.element_at("values", F.col("at") + F.col("shift") + 1).alias("own"))
+    pairs = materialize(pairs, "slot-pairs")
+    checked = _checked(pairs, ["rid", "item_row", "shift"])
     alignments = matched.groupBy("rid", "item", "item_row", "shift").agg(F.count_distinct("at").alias("windows"), F.max("literals").alias("literals"), F.max(F.col("width") < WINDOW).alias("short"))
-    judged = alignments.join(checked, ["rid", "item_row", "shift"], "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
-    consistent = F.col("pairs").isNull() | ((F.col("pairs") == F.col("values")) & (F.col("pairs") == F.col("owns")))
-    judged = judged.where(consistent & ((F.col("literals") >= LITERALS) | ~F.col("changed")))
+    whole = alignments.join(checked, ["rid", "item_row", "shift"], "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    whole = materialize(whole, "alignments")
+    consistent = F.col("pairs").isNull() | (F.col("pairs") == F.col("values"))
+    judged = whole.where(consistent & ((F.col("literals") >= LITERALS) | ~F.col("changed"))).select("rid", "item", "item_row", "shift", "windows", "changed")
+    judged = judged.unionByName(_parts(matched, pairs, whole.where(~consistent).select("rid", "item_row", "shift")))
     return materialize(judged.groupBy("rid", "item").agg(F.max("windows").alias("windows"), F.min("changed").alias("changed")), "contaminated")
 
 

@@ -320,6 +320,23 @@ def test_decontamination(spark, tmp_path):
         assert not any(r["contaminated"] for r in rows_of(decontaminate.flag_contaminated(empty_docs, some_items)))
 
 
+def test_decontamination_of_edited_copies(spark, tmp_path):
+    long = "That first box held 12 red marbles which the children counted twice before lunch and then again in the late afternoon. That second box held 12 blue ones and nobody counted them at all because it was raining and everyone had gone home to sleep."
+    two = "the farmer sold 3 apples in the morning and then 5 apples in the evening to the same old lady"
+    texts = [
+        long.replace("held 12 blue", "held 13 blue"),  # a copy but for one value
+        long.replace("That second", "Another second"),
+        two.replace("3", "4").replace("5", "4"),  # two values meet in one
+        two.replace("3", "9").replace("5", "8"),
+        long.replace("12 red", "17 red").replace("nobody counted", "nobody ever counted").replace("12 blue", "18 blue"),  # verbatim in its plain windows
+        "nothing of the kind is in here at all, whatever 12 or That may stand for",
+    ]
+    docs = table(spark, tmp_path, texts)
+    items = spark.createDataFrame([(0, long), (1, two)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["reparameterised"]) for r in rows_of(decontaminate.flag_contaminated(docs, items)) if r["contaminated"]}
+    assert got == {0: (0, False), 1: (0, False), 2: (1, True), 3: (1, True), 4: (0, False)}
+
+
 def test_template_and_values_correspond(spark):
     rnd = random.Random(2)
     pieces = ["Ab", "ab", "12", "3.5", " ", "\n", ",", "km", "É", "éa", "É́", "", "", "İ", "!", "A", "ß"]
