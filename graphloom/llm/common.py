@@ -62,12 +62,17 @@ def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the rows whose number in the scan (monotonically_increasing_id) is in `dropped` (rid).
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` written once with a number for each row, and that column's name, which no other column has.
 
-    `docs` must be a table that was read from files, so that its rows have the same numbers each time. Its columns may have any names.
+    The numbers stay the rows' own: a scan that is planned again, with other cores registered, may cut the files differently and number rows anew.
     """
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in (f"_row{i}" for i in range(len(taken) + 1)) if n not in taken)
-    rows = materialize(dropped.select(F.col("rid").alias(name)).distinct(), "dropped")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(broadcast_if_small(rows, 24), name, "left_anti").select(docs.columns)
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(rows: DataFrame, rid: str, dropped: DataFrame) -> DataFrame:
+    """The table of `numbered` without the rows whose number is in `dropped` (rid), and without the number."""
+    gone = materialize(dropped.select(F.col("rid").alias(rid)).distinct(), "dropped")
+    return rows.join(broadcast_if_small(gone, 24), rid, "left_anti").drop(rid)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, materialize, text_or_empty, without_rows
+from graphloom.llm.common import broadcast_if_small, materialize, numbered, text_or_empty, without_rows
 
 WINDOW, LITERALS = 8, 4
 #: Units of measurement.
@@ -84,11 +84,11 @@ def _parts(matched: DataFrame, pairs: DataFrame, broken: DataFrame) -> DataFrame
     return judged.where(whole_run | verbatim).groupBy("rid", "item", "item_row", "shift").agg(F.count_distinct("at").alias("windows"), F.max("differs").alias("changed"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(rid, item, windows, changed) for each document row and item with an alignment that counts, whole or in part. rid: the row's number in the scan of `docs`."""
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rid_col: str = "rid") -> DataFrame:
+    """(rid, item, windows, changed) for each document row and item with an alignment that counts, whole or in part. rid: the row's number, which `docs` must hold as a written column `rid_col`."""
     windows, slots = benchmark_windows(items, item_col, item_text_col)
     keys = materialize(windows.select("hash", "width").distinct(), "item-keys")
-    tokens = docs.select(F.monotonically_increasing_id().alias("rid"), template(text_or_empty(text_col)).alias("tokens"))
+    tokens = docs.select(F.col(rid_col).alias("rid"), template(text_or_empty(text_col)).alias("tokens"))
     widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # at most WINDOW values
     hits = None
     for width in widths:
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = matched.select("rid", "item_row", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("at")).distinct()
     needed = materialize(covered.join(slots, ["item_row", "at"]), "slots")
     rows = materialize(needed.select("rid").distinct(), "slot-rows")
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), text_or_empty(text_col).alias("text")).join(broadcast_if_small(rows, 24), "rid", "left_semi")
+    texts = docs.select(F.col(rid_col).alias("rid"), text_or_empty(text_col).alias("text")).join(broadcast_if_small(rows, 24), "rid", "left_semi")
     pairs = texts.select("rid", values(F.col("text")).alias("values")).join(needed, "rid").select("rid", "item_row", "shift", "at", "kind", "value", F.element_at("values", F.col("at") + F.col("shift") + 1).alias("own"))
     pairs = materialize(pairs, "slot-pairs")
     checked = _checked(pairs, ["rid", "item_row", "shift"])
@@ -119,18 +119,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def flag_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, contaminated, n_items, n_windows, item_id (most windows, then least) and reparameterised (that item's values differ)."""
-    found = contamination(docs, items, id_col, text_col, item_col, item_text_col)
+    docs, rid = numbered(docs.select(id_col, text_col))
+    found = contamination(docs, items, id_col, text_col, item_col, item_text_col, rid)
     best = F.max(F.struct("windows", F.col("item").isNotNull().alias("named"), (~F.col("changed")).alias("same")))
     top = found.groupBy("rid").agg(F.count("*").alias("n_items"), F.sum("windows").alias("n_windows"), best.alias("best"), F.min_by("item", F.struct(-F.col("windows"), F.col("item").isNull(), "item")).alias("item_id"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id")).join(top, "rid", "left")
+    rows = docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id")).join(top, "rid", "left")
     return rows.select(
         F.col("id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), "item_id", F.coalesce(~F.col("best.same"), F.lit(False)).alias("reparameterised")
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs`, which must be a table that was read from files, without contaminated rows."""
-    return without_rows(docs, contamination(docs, items))
+    """`docs` without contaminated rows."""
+    rows, rid = numbered(docs)
+    return without_rows(rows, rid, contamination(rows, items, rid_col=rid))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

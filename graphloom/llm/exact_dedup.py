@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, materialize, table_path, text_or_empty, without_rows
+from graphloom.llm.common import broadcast_if_small, materialize, numbered, table_path, text_or_empty, without_rows
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -44,14 +44,14 @@ class DigestIndex:
         self.path = path or table_path(spark, "digest-index")
         self.n_runs = 0
 
-    def flush(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+    def flush(self, docs: DataFrame, id_col: str, text_col: str, rid_col: str | None = None) -> None:
         """Add the rows of `docs`: each task writes its memtables as sorted, filtered runs."""
         text = text_or_empty(text_col)
         rows = docs.select(
             F.col(id_col).alias("id"),
             self.digest(normalized(text)).alias("digest"),
             (-F.char_length(text)).cast("long").alias("order_key"),
-            F.monotonically_increasing_id().alias("rid"),
+            (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"),
         ).withColumn("batch", F.lit(self.n_runs))
         options = {"parquet.bloom.filter.enabled#digest": "true", "maxRecordsPerFile": str(self.memtable_rows)}
         rows.sortWithinPartitions("digest", "order_key", "id").write.mode("append").options(**options).parquet(f"{self.path}/runs")
@@ -82,14 +82,14 @@ def collisions(docs: DataFrame, hits: DataFrame, text_col: str, digest=sha256) -
     return texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, rid_col: str | None = None) -> DataFrame:
     """One row for each row of `docs`: id, keep_id, group_size, kept, text_sha256, rid, and the sizes it was judged by.
 
-    `rid` is the row's number in the scan (monotonically_increasing_id of `docs`).
+    `rid` is the row's number: that of the written column `rid_col`, or else one that names rows of this result only.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
-    index.flush(docs, id_col, text_col)
+    index.flush(docs, id_col, text_col, rid_col)
     compacted = index.compact()
     hits = compacted.where("n > 1")
     clash = materialize(collisions(docs, hits, text_col, index.digest), "collisions")
@@ -98,7 +98,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if n_clash:  # never with SHA-256; the texts of these digests are their own keys
         text = text_or_empty(text_col)
         small = broadcast_if_small(clash, 64)
-        own = docs.select(F.col(id_col).alias("id"), index.digest(normalized(text)).alias("digest"), normalized(text).alias("norm"), (-F.char_length(text)).cast("long").alias("order_key"), F.monotonically_increasing_id().alias("rid"), F.lit(index.n_runs - 1).alias("batch"))
+        own = docs.select(F.col(id_col).alias("id"), index.digest(normalized(text)).alias("digest"), normalized(text).alias("norm"), (-F.char_length(text)).cast("long").alias("order_key"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), F.lit(index.n_runs - 1).alias("batch"))
         own = materialize(own.join(small, "digest", "left_semi"), "collided")
         best = own.groupBy("digest", "norm").agg(F.min(F.struct("order_key", F.col("id").isNull().alias("no_id"), "id", "batch", "rid")).alias("best"), F.count("*").alias("n"))
         apart = own.join(best, ["digest", "norm"])
@@ -120,8 +120,9 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, which must be a table that was read from files, without the rows that dedup_exact drops."""
-    return without_rows(docs, dedup_exact(docs, id_col, text_col).where("not kept"))
+    """`docs` without the rows that dedup_exact drops."""
+    rows, rid = numbered(docs)
+    return without_rows(rows, rid, dedup_exact(rows, id_col, text_col, rid_col=rid).where("not kept"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

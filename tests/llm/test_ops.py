@@ -320,6 +320,21 @@ def test_decontamination(spark, tmp_path):
         assert not any(r["contaminated"] for r in rows_of(decontaminate.flag_contaminated(empty_docs, some_items)))
 
 
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """The files are cut differently between the first scan and the last."""
+    docs = table(spark, tmp_path, ["same"] * 9 + [f"other {i}" for i in range(9)])
+    items = spark.createDataFrame([(0, "same")], "item_id long, text string")
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "64")
+        one, clean = exact_dedup.keep_one(docs), decontaminate.keep_clean(docs, items)
+        spark.conf.set(key, "1")
+        assert sorted(r["doc_id"] for r in one.collect()) == [0, *range(9, 18)]
+        assert sorted(r["doc_id"] for r in clean.collect()) == [*range(9, 18)]
+    finally:
+        spark.conf.unset(key)
+
+
 def test_decontamination_of_edited_copies(spark, tmp_path):
     long = "That first box held 12 red marbles which the children counted twice before lunch and then again in the late afternoon. That second box held 12 blue ones and nobody counted them at all because it was raining and everyone had gone home to sleep."
     two = "the farmer sold 3 apples in the morning and then 5 apples in the evening to the same old lady"
