@@ -12,7 +12,8 @@ doesn't give back exactly that role and text, the text's control strings are esc
 Escaping puts one more backslash after the bracket that opens a control string, reading takes one away, so escaped
 texts hold no control string and any text, also one that looks escaped, comes back identical.
 
-The loss mask covers the characters of assistant texts. Defined cases: a null text counts as empty; turns are ordered by
+The loss mask of a segment is the span from loss_start to loss_end: of an assistant's segment the characters of its text, of others none. What is read back as loss is what
+lies under the mask, whatever the roles say. Defined cases: a null text counts as empty; turns are ordered by
 turn (nulls first), then role, then text, so ties and repeated rows have one order, and each row is a turn; rows with a
 null conversation are one conversation; an empty table gives no rows; other columns are not looked at.
 
@@ -144,9 +145,9 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """For each conversation, what the reader finds in its rendered text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """For each conversation, what the reader finds in its rendered text (n_turns, turns_sha256, formatted_chars) and under its loss mask (loss_chars, loss_sha256; unescaped)."""
     kind = dict(formatted.dtypes)["conv"]
-    rows = formatted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "segment")
+    rows = formatted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "segment", "loss_start", "loss_end")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -164,19 +165,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             schema = schema or [batch.schema.field("conv").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             out = []
-            for conv, segment in zip(batch["conv"].to_pylist(), batch["segment"].to_pylist(), strict=True):
+            for conv, segment, low, high in zip(*(batch[c].to_pylist() for c in ("conv", "segment", "loss_start", "loss_end")), strict=True):
                 if now is None or now[0] != conv:
                     if now is not None:
                         out.append(done())
                     now, state = (conv,), [Reader(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
                 reader, turns, loss = state[:3]
                 for role, text, _, _ in reader.feed(segment):
-                    data = text.encode("utf-8", "surrogatepass")
-                    turns.update(b"%s\n%s\n" % ((role or "").encode("utf-8", "surrogatepass"), data))
+                    turns.update(f"{role or ''}\n{text}\n".encode("utf-8", "surrogatepass"))
                     state[3] += 1
-                    if role == "assistant":
-                        loss.update(data)
-                        state[4] += len(text)
+                under = unescape(segment[low:high])
+                loss.update(under.encode("utf-8", "surrogatepass"))
+                state[4] += len(under)
                 state[5] += len(segment)
             if out:
                 yield table(out)

@@ -1,13 +1,16 @@
 """Personal data with a skip-chain conditional random field.
 
 Base spans of four kinds (e-mail, IP address, card, phone) come from exact rules and always stay. The field runs over the *mentions* of a document: its base spans,
-whose labels are fixed, and further candidates (numbers with separators, words with an at sign) that no rule accepts. Neighbouring mentions share a chain
-potential; mentions that are repeated or similar (the same last seven digits, the same address but for case and spelling of the sign) share a skip potential with the one before,
-at any distance. Loopy sum-product message passing gives each free mention a label; one that isn't "none" with a probability of at least `SURE` adds a span.
-So a phone number that is given once in full and once without its prefix is found twice.
-
-Weights are fitted on the driver by pseudo-likelihood on a bounded sample: at most `SAMPLE` texts that hold a digit or an at sign, of the about `ROWS` rows with the smallest hash of their identifier, labelled by the rules.
-Everything else covers all rows and whole texts, in time linear in the text. Defined cases: null and empty texts have no spans; repeated rows and ties get equal results; an
+whose labels are fixed, and further candidates that no rule accepts: numbers with separators (one too long for any kind is taken apart at its spaces), and words with an at sign or what
+stands for one. Neighbouring mentions share a chain potential; mentions that are repeated or similar (the same last seven digits, the same address but for case and spelling of
+the sign) share a skip potential with the one before and with the first that a rule accepts, at any distance. Loopy sum-product message passing, until the messages hold still, gives each
+free mention a label; one that isn't "none" with a probability of at least `SURE` adds a span. So a phone number that is given once in full and once without its prefix is found twice, and a card
+that stands next to another number is found though the rule takes both for one.
+
+Weights are fitted on the driver by pseudo-likelihood on a bounded sample: at most `SAMPLE` texts that hold a mention, of the about `ROWS` rows with the smallest hash of their identifier,
+of each text the first `SAMPLE_CHARS` characters around its mentions. Labels are what the rules say. Each mention is learned from with its links, without them, and with its own features
+hidden, so that the links must tell its label; else the rules' own features would explain everything and the links nothing.
+Everything else covers all rows and whole texts, in time linear in the text but for the number of rounds. Defined cases: null and empty texts have no spans; repeated rows and ties get equal results; an
 empty table gives no rows; without a text to learn from, the field adds nothing; columns other than identifier and text are not looked at.
 """
 
@@ -25,7 +28,9 @@ from graphloom.llm.compression import HASHES, _scores
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE, ROWS, SURE, ROUNDS = 2000, 12_000, 0.9, 15
+SAMPLE, ROWS, SURE = 2000, 12_000, 0.9
+#: Of a text in the sample, so many characters on either side of its first mention; bounds what the driver gathers.
+SAMPLE_CHARS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,8 +39,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMERIC = re.compile(r"(?<![A-Za-z0-9_])\(?[0-9][0-9().\x20-]*[0-9](?![A-Za-z0-9_])")
-_AT = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@])", re.IGNORECASE)
-_HAS = re.compile(r"[0-9@]")
+_AT = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\])\x20?(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9@])", re.IGNORECASE)
+_HAS = re.compile(r"[0-9@]|\(at\)|\[at\]", re.IGNORECASE)
+#: The same for the readers of the sample.
+HAS = "(?i)[0-9@]|\\(at\\)|\\[at\\]"
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -85,6 +92,7 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
             out.append((start, end, kind + 1))
     fixed = list(out)
     free = [(m.start(), m.end(), -1) for p in (_AT, _NUMERIC) for m in p.finditer(text)]
+    free = [x for f in free for x in (_pieces(text, *f) if text[f[0] : f[1]].count(" ") and len(_digits(text[f[0] : f[1]])) > 19 else [f])]
     k = 0
     last = 0
     for start, end, label in sorted(free):
@@ -96,6 +104,11 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _pieces(text: str, start: int, end: int, label: int) -> list[tuple[int, int, int]]:
+    """A number with more digits than any kind has, as the numbers between its spaces."""
+    return [(start + m.start(), start + m.end(), label) for m in re.finditer(r"\(?[0-9](?:[0-9().-]*[0-9])?", text[start:end])]
+
+
 def _with_sign(piece: str) -> str:
     return piece.lower().replace("(at)", "@").replace("[at]", "@")
 
@@ -118,30 +131,36 @@ def unary(text: str, start: int, end: int) -> list[float]:
     quad = len(parts) == 4 and all(p.isdigit() for p in parts)
     before = text[start - 1 : start]
     signed = _with_sign(piece)
+    plain = signed.replace(" ", "") if "@" in signed else piece  # brackets and spaces of a spelled sign mean nothing
     return [
         1.0, "@" in signed, "@" in signed and "." in signed.rpartition("@")[2], n <= 3, 4 <= n <= 6, 7 <= n <= 8, 9 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, n > 19,
-        quad, quad and all(len(p) <= 3 and int(p) <= 255 for p in parts), piece[0] == "+", "(" in piece, " " in piece or "-" in piece, n >= 12 and luhn(digits), before.isalnum(), before in "\"'=:/",
+        quad, quad and all(len(p) <= 3 and int(p) <= 255 for p in parts), piece[0] == "+", "(" in plain, " " in plain or "-" in plain, n >= 12 and luhn(digits), before.isalnum(), before in "\"'=:/",
     ]
 
 
 def links(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(mention, later mention, 0 chain or 1 skip)"""
     out = [(i, i + 1, 0) for i in range(len(found) - 1)]
+    keys = [_key(text[start:end]) for start, end, _ in found]
+    known: dict[str, int] = {}
+    for i, (key, (_, _, label)) in enumerate(zip(keys, found, strict=True)):
+        if key and label > 0:
+            known.setdefault(key, i)
     seen: dict[str, int] = {}
-    for i, (start, end, _) in enumerate(found):
-        if key := _key(text[start:end]):
-            if key in seen:
-                out.append((seen[key], i, 1))
-            seen[key] = i
-    return out
+    for i, key in enumerate(keys):
+        if not key:
+            continue
+        out += [(min(i, j), max(i, j), 1) for j in {seen.get(key, i), known.get(key, i)} - {i}]
+        seen[key] = i
+    return sorted(set(out))
 
 
 class SkipChainField:
     """weights: features x labels; pair: for chain and skip links, labels x labels."""
 
-    def __init__(self, texts: list[str], steps: int = 300, rate: float = 0.1, penalty: float = 1e-4):
+    def __init__(self, texts: list[str], steps: int = 400, rate: float = 0.1, penalty: float = 1e-5):
         k = len(LABELS)
-        self.weights, self.pair = None, np.stack([np.zeros((k, k)), 6.0 * np.eye(k)])
+        self.weights, self.pair = None, np.zeros((2, k, k))
         x, y, sides = [], [], []
         for text in texts:
             found = mentions(text, base_spans(text))
@@ -156,14 +175,21 @@ class SkipChainField:
         if not x:
             return
         features, labels, sides = np.array(x, float), np.eye(k)[y], np.array(sides)
-        w, prior = np.zeros((features.shape[1], k)), self.pair.copy()
+        hidden = np.zeros_like(features)
+        hidden[:, 0] = 1.0
+        # a mention without a skip link says nothing about what such links mean
+        linked = sides[:, 1].sum(1) > 0
+        n, m = len(x), int(linked.sum())
+        features, labels, sides = np.concatenate([features, features, hidden[linked]]), np.concatenate([labels, labels, labels[linked]]), np.concatenate([sides, 0 * sides, sides[linked]])
+        share = np.concatenate([np.full(2 * n, 1 / n), np.full(m, 1 / max(1, m))])[:, None]
+        w = np.zeros((features.shape[1], k))
         moments: list = [0.0, 0.0, 0.0, 0.0]
         for step in range(1, steps + 1):
             z = features @ w + np.einsum("nsk,skl->nl", sides, self.pair)
             p = np.exp(z - z.max(1, keepdims=True))
-            error = (p / p.sum(1, keepdims=True) - labels) / len(labels)
+            error = (p / p.sum(1, keepdims=True) - labels) * share
             g_pair = np.einsum("nsk,nl->skl", sides, error)
-            grads = [features.T @ error + penalty * w, (g_pair + g_pair.transpose(0, 2, 1)) / 2 + 100 * penalty * (self.pair - prior)]
+            grads = [features.T @ error + penalty * w, (g_pair + g_pair.transpose(0, 2, 1)) / 2 + penalty * self.pair]
             for i, (value, g) in enumerate(zip((w, self.pair), grads, strict=True)):
                 moments[i] = 0.9 * moments[i] + 0.1 * g
                 moments[i + 2] = 0.999 * moments[i + 2] + 0.001 * g * g
@@ -171,7 +197,7 @@ class SkipChainField:
         self.weights = w
 
     def beliefs(self, text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
-        """Label probabilities of each mention, by damped loopy sum-product over all links at once."""
+        """Label probabilities of each mention, by damped loopy sum-product over all links at once, until no message moves; exact where the links form no loop."""
         k, n = len(LABELS), len(found)
         node = np.array([unary(text, s, e) for s, e, _ in found], float) @ self.weights
         fixed = np.array([label for _, _, label in found])
@@ -187,7 +213,7 @@ class SkipChainField:
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         potential = np.exp(self.pair - self.pair.max())[np.concatenate([edges[:, 2], edges[:, 2]])]
         message = np.zeros((len(source), k))
-        for _ in range(ROUNDS):
+        for _ in range(max(50, n)):
             total = node.copy()
             np.add.at(total, target, message)
             out = total[source] - message[back]
@@ -196,7 +222,7 @@ class SkipChainField:
             new -= new.max(1, keepdims=True)
             moved = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
-            if moved < 1e-3:
+            if moved < 1e-4:
                 break
         total = node.copy()
         np.add.at(total, target, message)
@@ -225,11 +251,13 @@ def joined(spans: list[Span]) -> str:
 
 
 def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SkipChainField:
-    """Fitted on at most SAMPLE texts with a digit or an at sign, out of about ROWS rows that a hash of the identifier picks; only their texts are read."""
+    """Fitted on at most SAMPLE texts with a digit, an at sign or its spelling, out of about ROWS rows that a hash of the identifier picks; only their texts are read."""
     rows = docs.where(F.col(id_col).isNotNull())
     order = F.pmod(F.xxhash64(id_col), F.lit(HASHES))
     cut = int(min(1.0, ROWS / max(1, docs.count())) * HASHES)
-    held = rows.where((order < cut) & F.col(text_col).rlike("[0-9@]")).select(order.alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    begin = F.greatest(F.lit(1), F.regexp_instr(text, F.lit(HAS)) - SAMPLE_CHARS)
+    held = rows.where((order < cut) & text.rlike(HAS)).select(order.alias("h"), F.col(id_col).alias("id"), F.substring(text, begin, F.lit(2 * SAMPLE_CHARS)).alias("text"))
     chosen = held.orderBy("h", "id", "text").limit(SAMPLE).collect()
     return SkipChainField([r["text"] for r in chosen])
 

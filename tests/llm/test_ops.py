@@ -352,6 +352,43 @@ def test_chat_digests(spark):
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_loss_is_read_through_the_mask(spark):
+    """A mask that is shifted, empty or on another turn shows in what is read back; columns with the names of the result do no harm."""
+    rows = [(1, 0, "user", "a [/INST] b", "x", 9, 0), (1, 1, "assistant", "yes </s> no", "y", 8, 1), (1, 2, "assistant", "", None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, loss_start int, conv int")
+    formatted = chat.format_turns(turns)
+
+    def loss(df):
+        r = chat.read_back(df).first()
+        return r["loss_chars"], r["loss_sha256"]
+
+    def digest(text):
+        return len(text), hashlib.sha256(text.encode()).hexdigest()
+
+    assert loss(formatted) == digest("yes </s> no")
+    assert loss(formatted.withColumn("loss_start", F.col("loss_start") + 1).where("turn < 2")) == digest("es </s> no")
+    assert loss(formatted.withColumn("loss_start", F.lit(0)).withColumn("loss_end", F.lit(0))) == digest("")
+    on_user = formatted.withColumn("loss_start", F.when(F.col("turn") == 0, 10).otherwise(0)).withColumn("loss_end", F.when(F.col("turn") == 0, 11).otherwise(0))
+    assert loss(on_user) == digest("a")
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_chat_query_against_plain_python(spark):
+    """All conversations, and conversation -1."""
+    folder = "/root/testdata/sf0.001"
+    own = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{folder}/conversations.parquet").collect():
+        own[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    own[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r["conv_id"]: r for r in rows_of(chat.op5_chat_format(spark, folder))}
+    assert set(got) == set(own)
+    for c, turns in own.items():
+        loss = "".join(t for _, role, t in sorted(turns) if role == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in sorted(turns)).encode()).hexdigest()
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c]["formatted_chars"] == sum(len(chat.render(role, t)[0]) for _, role, t in turns)
+
+
 # Sharding
 
 
@@ -519,14 +556,21 @@ def test_base_spans(spark):
     assert pii.base_spans("9" * 200_000 + "." + "a" * 200_000) == []
 
 
-def test_field_adds_repeats(spark, tmp_path):
+@pytest.fixture(scope="module")
+def field():
     rnd = random.Random(2)
 
     def phone():
         return f"+1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
 
-    train = [f"call {phone()} or see {rnd.randrange(9999)} and mail u{i}@host.example.org at 10.0.0.{rnd.randrange(255)}, total {rnd.randrange(10**8)}" for i in range(200)]
-    field = pii.SkipChainField(train)
+    train = []
+    for i in range(200):
+        p, m, n = phone(), f"u{i}@host.example.org", rnd.randrange(10**8)
+        train.append(f"call {p} or see {rnd.randrange(9999)} and mail {m} at 10.0.0.{rnd.randrange(255)}, total {n}. That is {p}, or {m}, for {n:08d} and {n:08d}")
+    return pii.SkipChainField(train)
+
+
+def test_field_adds_repeats(spark, tmp_path, field):
     text = "call +1 (974) 555-3436 now. Again: (974) 555-3436, in 2024, item 12345678"
     base, spans = field.spans(text)
     assert base == pii_plain(text)
@@ -537,3 +581,38 @@ def test_field_adds_repeats(spark, tmp_path):
     assert got[len(ODD)]["n_phone"] == 1 and got[len(ODD)]["n_added"] == 1 and got[1]["spans"] == ""
     assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert pii.fit_field(docs.limit(0)).weights is None
+    assert pii.fit_field(docs).weights is not None
+
+
+def test_field_reaches_any_distance(field):
+    """Thirty repeats without the prefix, far apart, with other numbers between them."""
+    text = "call +1 (974) 555-3436 now. " + " ".join(f"word {i} and (974) 555-3436 and {7 * i + 1000}," for i in range(30))
+    _, spans = field.spans(text)
+    assert [text[s:e] for s, _, e in spans] == ["+1 (974) 555-3436", *["(974) 555-3436"] * 30]
+
+
+def test_field_finds_spelled_signs_and_glued_cards(field):
+    _, spans = field.spans("write to jane.doe (at) host.example.org today")
+    assert pii.joined(spans) == "email:9:39"
+    valid = next(f"4{n:015d}" for n in range(10**14, 10**15) if pii.luhn(f"4{n:015d}"))
+    cards = pii.SkipChainField([f"paid with {valid}, no. {i:016d} and {valid}; 1234" for i in range(90)])
+    base, spans = cards.spans(f"1111222233334441 {valid} and {valid}")
+    assert pii.joined(base) == "card:38:54" and pii.joined(spans) == "card:17:33,card:38:54"
+
+
+def test_field_gives_exact_marginals_on_chains(field):
+    """Without skip links the messages are exact: compared with a sum over all labellings."""
+    import itertools
+
+    for text in ("a 12345678 b 2024 c 555 1234 d", "x +1 (974) 555-3436 y 98765 z 10.0.0.1 w 4321 v 777"):
+        found = pii.mentions(text, pii.base_spans(text))
+        edges = pii.links(text, found)
+        assert all(kind == 0 for _, _, kind in edges) and len(found) >= 3
+        node = np.array([pii.unary(text, s, e) for s, e, _ in found], float) @ field.weights
+        total = np.zeros(node.shape)
+        for labels in itertools.product(range(len(pii.LABELS)), repeat=len(found)):
+            if all(fixed < 0 or fixed == own for own, (_, _, fixed) in zip(labels, found, strict=True)):
+                weight = np.exp(sum(node[i, own] * (found[i][2] < 0) for i, own in enumerate(labels)) + sum(field.pair[0, labels[a], labels[b]] for a, b, _ in edges))
+                for i, own in enumerate(labels):
+                    total[i, own] += weight
+        assert np.abs(field.beliefs(text, found) - total / total.sum(1, keepdims=True)).max() < 1e-3
