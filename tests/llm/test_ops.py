@@ -68,13 +68,27 @@ def test_exact_dedup_of_nothing(spark, tmp_path):
     assert exact_dedup.keep_one(docs).count() == 0
 
 
-def test_index_lookup(spark, tmp_path):
-    docs = table(spark, tmp_path, ["a", "b", "b ", "c"])
-    index = exact_dedup.DigestIndex(spark)
-    index.flush(docs, "doc_id", "text")
-    index.flush(docs, "doc_id", "text")
-    assert index.lookup([hashlib.sha256(b"b").digest()]).count() == 4
-    assert {r["n"] for r in index.compact().collect()} == {2, 4}
+@pytest.mark.parametrize("lookups", [0, 200], ids=["joined", "by value"])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 1).substr(1, 1))], ids=["sha256", "collisions"])
+def test_index_over_batches(spark, tmp_path, digest, lookups):
+    """Six batches, reopened by path each time: each is judged with all before it, and levels merge."""
+    rnd = random.Random(1)
+    path, so_far = str(tmp_path / "index"), []
+    for batch in range(6):
+        own = [(100 * batch + i, rnd.choice(["a", "b", "c", "a b", " b", "ab ", "d" + str(rnd.randrange(30)), None, ""])) for i in range(12)]
+        so_far += own
+        docs = table(spark, tmp_path, own, f"batch{batch}")
+        index = exact_dedup.DigestIndex(spark, path, digest=digest, texts=True, fanout=3, lookups=lookups)
+        got = {r["doc_id"]: r for r in rows_of(exact_dedup.dedup_exact(docs, index=index))}
+        want = exact_plain(so_far)
+        assert set(got) == {i for i, _ in own}
+        for i, t in own:
+            keep, n = want[re.sub(r"[\x20\x09-\x0D]", "", t or "")]
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (keep, n, keep == i)
+    names = [n.removeprefix(path) for n in index.runs()]
+    assert names == ["/level=1/run=5", "/level=1/run=2"] or sorted(names) == ["/level=1/run=2", "/level=1/run=5"]
+    with pytest.raises(ValueError, match="second batch"):
+        exact_dedup.dedup_exact(docs, index=exact_dedup.DigestIndex(spark, path))
 
 
 # Near-dedup
@@ -210,8 +224,11 @@ def test_a_large_group_around_one_text(spark, tmp_path):
     links = [(i, j) for i in range(len(rows)) for j in range(i) if bag_allows(bags[i], bags[j]) and order_minhash.similarity(*(order_minhash.word_hashes(rows[k])[0] for k in (i, j)))]
     want = classes_of(links, len(rows))
     got = {r["doc_id"]: r["class_id"] for r in rows_of(order_minhash.near_classes(table(spark, tmp_path, rows)))}
-    firsts = {}
-    assert got == {i: firsts.setdefault(w, i) for i, w in enumerate(want)}
+    found = collections.defaultdict(set)
+    for i, w in enumerate(want):
+        found[got[i]].add(w)
+    assert all(len(w) == 1 for w in found.values())
+    assert len(found) - len(set(want)) <= 0.01 * len(rows)  # classes left apart that brute force joins
 
 
 DATA = "/root/testdata/sf0.01"
@@ -270,17 +287,6 @@ def test_sketches_of_longer_texts_miss_few(spark):
     assert max(chance(n, 0.2) for n in lengths) < 0.12
 
 
-def test_parity_never_rules_out_a_link(spark):
-    rnd = random.Random(9)
-    for n in (3, 200, 700, 1500):
-        base = prose(rnd, n)
-        other = edited(rnd, base, 0.1)
-        x, y = (order_minhash.word_hashes(" ".join(t))[0] for t in (base, other))
-        a, b = (order_minhash.parity(order_minhash.labelled(w, 1)) for w in (x, y))
-        df = spark.createDataFrame([(len(x), len(y), a.tolist(), b.tolist())], "n int, m int, a array<long>, b array<long>")
-        assert df.select(order_minhash.possible("n", "m", "a", "b")).first()[0] or not order_minhash.similarity(x, y)
-
-
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + rnd.randrange(80), 2000 + rnd.randrange(80)) for _ in range(70)] + [(5, 5)]
@@ -409,8 +415,34 @@ def test_sharding(spark, tmp_path):
     assert sharding.hilbert_shards(docs.limit(0)).count() == 0
     few = rows_of(sharding.hilbert_shards(docs.where("doc_id in (0, 1)"), 16))
     assert sorted((r["shard"], r["slot"]) for r in few) == [(0, 0), (1, 0)]
-    sharding.write_shards(docs.where("doc_id >= 4"), sharding.hilbert_shards(docs.where("doc_id >= 4"), 4), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).where("shard = 0").count() > 0
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)  # with identifiers that repeat or are null
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, (tuple(r)[:-1] for r in out.collect()))) == sorted(map(str, map(tuple, docs.collect())))
+    assert {r["count"] for r in out.groupBy("shard").count().collect()} <= {14, 15}
+
+
+def test_equal_texts_share_a_shard_and_files_can_be_skipped(spark, tmp_path):
+    rnd = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, curve long, digest string, rid long, shard string"
+    rows = [(i, f"group {i % 150}" if i < 600 else f"text {i} " * rnd.randrange(1, 40), rnd.choice([None, "de", "en", "fr", "es"]), f"host{rnd.randrange(40):02d}", 1, "x", 2, "y") for i in range(3000)]
+    docs = spark.createDataFrame(rows, schema)
+    got = rows_of(sharding.hilbert_shards(docs, 16))
+    text, meta = {r[0]: r[1] for r in rows}, {r[0]: r for r in rows}
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[text[r["doc_id"]]].append(r["position"])
+    assert all(max(p) - min(p) == len(p) - 1 for p in groups.values())  # each group is a run, so at most one group lies across each cut
+    assert sum(len({r["shard"] for r in got if text[r["doc_id"]] == g}) > 1 for g in {f"group {i}" for i in range(150)}) <= 15
+    # a reader that wants one language, or one source, skips most of the shards
+    for col, most in ((2, 0.6), (3, 0.6)):
+        held = collections.defaultdict(set)
+        for r in got:
+            if r["doc_id"] >= 600:
+                held[meta[r["doc_id"]][col]].add(r["shard"])
+        assert sum(map(len, held.values())) / len(held) <= most * 16
+    out = str(tmp_path / "clash")
+    sharding.write_shards(docs, out, 3)
+    assert spark.read.parquet(out).count() == 3000 and set(spark.read.parquet(out).columns) == set(docs.columns)
 
 
 @pytest.mark.parametrize(("n", "bits"), [(2, 4), (3, 3)])
@@ -447,6 +479,14 @@ def test_decontamination(spark, tmp_path):
         assert not any(r["contaminated"] for r in rows_of(decontaminate.flag_contaminated(empty_docs, some_items)))
 
 
+def test_hits_are_compared_with_the_tokens(spark, tmp_path):
+    """A window that only shares a hash with an item's is no hit."""
+    docs = table(spark, tmp_path, ["one two three four five six seven eight nine"]).withColumn("rid", F.lit(4).cast("long"))
+    words = "two three four five six seven eight nine".split()
+    hits = spark.createDataFrame([(4, 1, 8, 9, words), (4, 0, 8, 9, words), (4, 5, 8, 9, words)], "rid long, pos int, width int, hash long, words array<string>")
+    assert [tuple(r)[:4] for r in decontaminate._verified(hits, docs, "rid", "text").collect()] == [(4, 1, 8, 9)]
+
+
 def test_rows_keep_their_numbers(spark, tmp_path):
     """The files are cut differently between the first scan and the last."""
     docs = table(spark, tmp_path, ["same"] * 9 + [f"other {i}" for i in range(9)])
@@ -455,7 +495,10 @@ def test_rows_keep_their_numbers(spark, tmp_path):
     try:
         spark.conf.set(key, "64")
         one, clean = exact_dedup.keep_one(docs), decontaminate.keep_clean(docs, items)
+        near, flagged = order_minhash.keep_one(docs), decontaminate.flag_contaminated(docs, items)
         spark.conf.set(key, "1")
+        assert sorted(r["doc_id"] for r in near.collect()) == [0, *range(9, 18)]
+        assert sorted(r["doc_id"] for r in flagged.where("contaminated").collect()) == list(range(9))
         assert sorted(r["doc_id"] for r in one.collect()) == [0, *range(9, 18)]
         assert sorted(r["doc_id"] for r in clean.collect()) == [*range(9, 18)]
     finally:
