@@ -8,6 +8,10 @@ or names is caught, and a mere likeness of form is not. A window with fewer than
 windows alone counts only if all values are equal. An alignment that isn't consistent as a whole is judged by its runs of adjoining windows, each by itself in the same way, and its
 windows with enough plain words whose own values are all equal always count: one edited value doesn't clear the rest of a copy.
 
+The corpus is read and templated once, with the windows of all widths of the benchmark (items shorter than a window have their own). They are looked up by hash while they stream by: the
+benchmark's windows are broadcast if their measured size allows, else Spark shuffles the join behind a Bloom filter of the smaller side. Hits are then compared with the documents' own tokens, so
+a collision of hashes marks nothing.
+
 Defined cases: null and empty texts have no tokens and never match; an item shorter than a window is one window of its own length; rows of the benchmark may
 repeat; repeated documents are judged alike; an empty table on either side gives no match; item identifiers may be null; columns other than identifier and text are not looked at.
 """
@@ -40,10 +44,24 @@ def values(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"({_NUMBER}|[\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+)"), F.lit(1))
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """A hash of each window of `width` tokens."""
-    last = F.size(tokens) - F.lit(width - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, width)))).otherwise(F.array().cast("array<long>"))
+def _windows(tokens: Column, widths: list[int]) -> Column:
+    """(pos, width, hash) of each window of each width."""
+
+    def of(width: int) -> Column:
+        last = F.size(tokens) - F.lit(width - 1)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice(tokens, i, width)).alias("hash")))
+        return F.when(last > 0, each).otherwise(F.array().cast("array<struct<pos:int,width:int,hash:bigint>>"))
+
+    return F.concat(*map(of, widths)) if len(widths) > 1 else of(widths[0])
+
+
+def _verified(hits: DataFrame, docs: DataFrame, rid_col: str, text_col: str) -> DataFrame:
+    """The hits (rid, pos, width, hash, words) whose words stand in the document. Only documents with hits are read again, and each is templated once."""
+    by_row = materialize(hits.groupBy("rid").agg(F.collect_list(F.struct("pos", "width", "hash", "words")).alias("hits")), "hits-by-row")
+    texts = docs.select(F.col(rid_col).alias("rid"), text_or_empty(text_col).alias("text")).join(broadcast_if_small(materialize(by_row.select("rid"), "hit-rows"), 24), "rid", "left_semi")
+    rows = texts.select("rid", template(F.col("text")).alias("tokens")).join(by_row, "rid")
+    real = F.filter("hits", lambda h: F.slice(F.col("tokens"), h["pos"] + 1, h["width"]) == h["words"])
+    return rows.select("rid", F.explode(real).alias("hit")).select("rid", "hit.*")
 
 
 def _is_slot(token: Column) -> Column:
@@ -51,14 +69,14 @@ def _is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(item, at, hash, width, literals) of each window, and (item, at, kind, value) of each slot."""
+    """(item, at, hash, words, width, literals) of each window, and (item, at, kind, value) of each slot."""
     text = text_or_empty(text_col)
     tokens = items.select(F.col(id_col).alias("item"), template(text).alias("tokens"), values(text).alias("values")).where(F.size("tokens") > 0)
     tokens = materialize(tokens.withColumn("item_row", F.monotonically_increasing_id()), "items")
     width = F.least(F.size("tokens"), F.lit(WINDOW))
     at = tokens.select("item", "item_row", "tokens", width.alias("width"), F.explode(F.sequence(F.lit(0), F.size("tokens") - width)).alias("at"))
     window = F.slice("tokens", F.col("at") + 1, F.col("width"))
-    windows = at.select("item", "item_row", "at", F.xxhash64(window).alias("hash"), "width", F.size(F.filter(window, lambda t: ~_is_slot(t))).alias("literals"))
+    windows = at.select("item", "item_row", "at", F.xxhash64(window).alias("hash"), window.alias("words"), "width", F.size(F.filter(window, lambda t: ~_is_slot(t))).alias("literals"))
     slots = tokens.select("item_row", F.posexplode(F.arrays_zip("tokens", "values")).alias("at", "t")).select("item_row", "at", F.col("t.tokens").alias("kind"), F.col("t.values").alias("value")).where(_is_slot(F.col("kind")))
     return materialize(windows, "item-windows"), materialize(slots, "item-slots")
 
@@ -87,18 +105,15 @@ def _parts(matched: DataFrame, pairs: DataFrame, broken: DataFrame) -> DataFrame
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rid_col: str = "rid") -> DataFrame:
     """(rid, item, windows, changed) for each document row and item with an alignment that counts, whole or in part. rid: the row's number, which `docs` must hold as a written column `rid_col`."""
     windows, slots = benchmark_windows(items, item_col, item_text_col)
-    keys = materialize(windows.select("hash", "width").distinct(), "item-keys")
-    tokens = docs.select(F.col(rid_col).alias("rid"), template(text_or_empty(text_col)).alias("tokens"))
+    keys = materialize(windows.select("hash", "width", "words").distinct(), "item-keys")
     widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # at most WINDOW values
-    hits = None
-    for width in widths:
-        own = materialize(keys.where(F.col("width") == width).select("hash"), "keys")
-        found = tokens.select("rid", F.posexplode(_windows(F.col("tokens"), width)).alias("pos", "hash")).join(broadcast_if_small(own, 24), "hash", "left_semi").withColumn("width", F.lit(width))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    if not widths:
         return docs.sparkSession.createDataFrame([], f"rid long, item {dict(items.dtypes)[item_col]}, windows long, changed boolean")
-    hits = materialize(hits, "hits")
-    matched = hits.join(windows, ["hash", "width"]).select("rid", "pos", "item", "item_row", "at", "width", "literals")
+    tokens = docs.select(F.col(rid_col).alias("rid"), template(text_or_empty(text_col)).alias("tokens"))
+    every = tokens.select("rid", F.explode(_windows(F.col("tokens"), widths)).alias("w")).select("rid", "w.pos", "w.width", "w.hash")
+    hits = materialize(every.join(broadcast_if_small(keys, 256), ["hash", "width"]), "hits")
+    hits = materialize(_verified(hits, docs, rid_col, text_col), "verified-hits")
+    matched = hits.join(windows, ["hash", "width", "words"]).select("rid", "pos", "item", "item_row", "at", "width", "literals")
     matched = materialize(matched.withColumn("shift", F.col("pos") - F.col("at")), "matched")
 
     covered = matched.select("rid", "item_row", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("at")).distinct()
