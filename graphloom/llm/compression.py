@@ -7,7 +7,8 @@
   each byte (it shows repetition), goes through a logistic function that was fitted on labelled texts that the dictionaries have not seen.
 
 Texts are compressed whole, in blocks, so that a long text can't hide its character behind what it says itself. The models are fitted on the driver
-on a bounded sample: at most `PER_CLASS` texts of each class, those with the smallest hash of their identifier. All else covers all rows.
+on a bounded sample: at most `LANG_PER_CLASS` or `QUALITY_PER_CLASS` texts of each class, those with the smallest hash of their identifier, of each at most `SAMPLE_CHARS` characters;
+a language's dictionary holds a piece of each of its texts. All else covers all rows.
 
 Defined cases: null and empty texts are `und` with score 0 for language, and get the score of a text of no bytes for quality; repeated rows and ties get equal
 results; an empty table gives no rows; if no training text exists, every language is `und` and every quality score 0.5; columns other than identifier and text (and label, for the sample) are not looked at.
@@ -16,6 +17,7 @@ results; an empty table gives no rows; if no training text exists, every languag
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches
+from graphloom.llm.common import bounded_batches, broadcast_if_small
 
 #: Texts of each class in the sample that models are fitted on.
 LANG_PER_CLASS, QUALITY_PER_CLASS = 96, 1000
+#: Characters of a text in the sample: with the rows, this bounds what the driver gathers.
+SAMPLE_CHARS = 20_000
 #: Bytes of a dictionary and of a block.
 LANG_DICT, LANG_BLOCK = 48 << 10, 1024
 QUALITY_DICT, QUALITY_BLOCK = 110 << 10, 2048
@@ -43,7 +47,7 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 
 def sample_by_class(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str) -> list[tuple[str, str]]:
-    """(label, text) of at most `per_class` texts of each label, in the order of a hash. `labels`: id, label; only rows to learn from.
+    """(label, text; of a longer one SAMPLE_CHARS characters from a place that a hash picks) of at most `per_class` texts of each label, in the order of a hash. `labels`: id, label; only rows to learn from.
 
     Labels are counted first. Of each, only rows whose hash is below a cut are ranked: one that leaves a few more than `per_class`, however large the table
     is. Then only the chosen texts are read.
@@ -53,13 +57,14 @@ def sample_by_class(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     if not cuts:
         return []
     below = labels.sparkSession.createDataFrame(cuts, f"label {dict(labels.dtypes)['label']}, cut long")
-    labels = labels.join(F.broadcast(below), "label").where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < F.col("cut")).select("id", "label")
+    labels = labels.join(broadcast_if_small(below, 64), "label").where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < F.col("cut")).select("id", "label")
     order = [F.pmod(F.xxhash64("id"), F.lit(HASHES)), F.col("id")]
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     ids = labels.withColumn("n", rank).where(F.col("n") <= per_class).select("id", "label")
-    chosen = labels.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most per_class a label
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
-    rows = found.select("label", F.xxhash64("id").alias("h"), "id", "text").collect()
+    chosen = labels.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most per_class a label, and labels are few
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(broadcast_if_small(chosen, 64), "id")
+    begin = 1 + F.pmod(F.xxhash64("id", F.lit("begin")), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int")
+    rows = found.select("label", F.xxhash64("id").alias("h"), "id", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).collect()
     return [(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["id"], r["text"]))]
 
 
@@ -82,6 +87,21 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _pieces(texts: list[bytes], size: int) -> list[bytes]:
+    """A piece of each text, from a place that its hash picks, all of the length at which they add up to `size` bytes (shorter texts whole): many texts, so that no one's own words dominate."""
+    low, high = 1, size
+    while low < high:  # the greatest length that fits
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(min(middle, len(t)) + 1 for t in texts) <= size else (low, middle - 1)
+    out = []
+    for t in texts:
+        begin = zlib.crc32(t) % (len(t) - low + 1) if len(t) > low else 0
+        if begin:
+            begin = t.find(b" ", begin, begin + low) + 1 or begin
+        out.append(t[begin : begin + low])
+    return out
+
+
 class LanguageModel:
     def __init__(self, sample: list[tuple[str, str]], rows: dict[str, int] | None = None):
         """`rows`: the number of rows of each language that may be learned from; the most frequent wins ties."""
@@ -94,9 +114,7 @@ class LanguageModel:
         self.names = sorted(texts, key=lambda k: (-rows.get(k, 0), k))
         self.contents = []
         for name in self.names:
-            share = max(256, 2 * LANG_DICT // len(texts[name]))  # many texts, so that no text's own words dominate
-            parts = [p for p in (t[:share] for t in texts[name]) if len(p) > 8]
-            self.contents.append(b" ".join(parts)[:LANG_DICT])
+            self.contents.append(b" ".join(_pieces(texts[name], LANG_DICT)))
         self.compressors: list[zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:

@@ -4,10 +4,11 @@ P(grade > k) = logistic(w . x - threshold_k): one weight vector for all threshol
 first four, five and six letters, as far as they were found in the sample significantly more (or less) often in toxic texts. The score is the expected
 severity, the sum over k of P(grade > k), between 0 and the number of grades less one.
 
-Labels only tell toxic from not toxic. Grade 0 are texts that aren't; toxic texts are graded 1 to 3 by thirds of how many words
-typical of toxic texts they hold. Thresholds and weights are fitted together on those grades by gradient steps with a quadratic penalty.
+Labels only tell toxic from not toxic, so degrees have to come from the texts: grade 0 are texts that aren't toxic; toxic ones are graded 1 to 3 by thirds of the share of their words that is typical of toxic
+texts, as learned from the other half of the sample. The share doesn't grow with the length of a text, and no text is graded by words that it helped to pick. Thresholds and
+weights are fitted together on those grades by gradient steps with a quadratic penalty.
 
-The model is fitted on the driver on a bounded sample, at most `PER_CLASS` texts of either label, those with the smallest hash of their identifier;
+The model is fitted on the driver on a bounded sample, at most `PER_CLASS` texts of either label, those with the smallest hash of their identifier, of each at most `compression.SAMPLE_CHARS` characters;
 everything else covers all rows and whole texts. Defined cases: null and empty texts have no features and get the severity of an empty text; without labels of both kinds every severity is 0;
 repeated rows and ties get equal results; an empty table gives no rows; columns other than identifier and text are not looked at.
 """
@@ -45,6 +46,25 @@ def _present(counts: Counter) -> set[str]:
     return {p for w in counts for p in parts(w)}
 
 
+def _typical(counts: list[tuple[int, Counter]]) -> list[tuple[float, str, bool]]:
+    """(less the chi-square, feature, whether toxic texts have it more often) of the features that tell the labels apart, the best first."""
+    n = [sum(k == c for k, _ in counts) for c in (0, 1)]
+    seen = [Counter(), Counter()]
+    for k, c in counts:
+        seen[k].update(_present(c))
+    ranked = []
+    for f in set(seen[0]) | set(seen[1]) if all(n) else ():
+        a, b = seen[1][f], seen[0][f]
+        if a + b < LEAST_TEXTS:
+            continue
+        # chi-square of the 2 x 2 table, each cell one half nearer to what is expected
+        p = (a + b) / (n[0] + n[1])
+        gap = max(0.0, abs(a - n[1] * p) - 0.5)
+        if 0 < p < 1 and (chi := gap * gap * (1 / (n[1] * p) + 1 / (n[0] * p)) / (1 - p)) >= CHI_SQUARE:
+            ranked.append((-chi, f, a / n[1] > b / n[0]))
+    return sorted(ranked)
+
+
 class OrdinalModel:
     def __init__(self, sample: list[tuple[int, str]]):
         counts = [(int(k), word_counts(t)) for k, t in sample]
@@ -54,27 +74,16 @@ class OrdinalModel:
         self.weights, self.thresholds = np.zeros(0), np.full(GRADES - 1, 20.0)
         if not all(n):
             return
-        seen = [Counter(), Counter()]
-        for k, c in counts:
-            seen[k].update(_present(c))
-        ranked = []
-        for f in set(seen[0]) | set(seen[1]):
-            a, b = seen[1][f], seen[0][f]
-            if a + b < LEAST_TEXTS:
-                continue
-            # chi-square of the 2 x 2 table, each cell one half nearer to what is expected
-            p = (a + b) / (n[0] + n[1])
-            gap = max(0.0, abs(a - n[1] * p) - 0.5)
-            if 0 < p < 1 and (chi := gap * gap * (1 / (n[1] * p) + 1 / (n[0] * p)) / (1 - p)) >= CHI_SQUARE:
-                ranked.append((-chi, f, a / n[1] > b / n[0]))
-        ranked.sort()
-        ranked = ranked[:FEATURES]
+        ranked = _typical(counts)[:FEATURES]
         self.index = {f: i for i, (_, f, _) in enumerate(ranked)}
-        typical = {f for _, f, more in ranked if more}
-        amount = np.array([sum(v for w, v in c.items() if not typical.isdisjoint(parts(w))) if k else -1 for k, c in counts])
+        halves = [{f for _, f, more in _typical(counts[1 - h :: 2]) if more} for h in (0, 1)]  # what the other half holds to be typical
+        amount = np.full(len(counts), -1.0)
+        for i, (k, c) in enumerate(counts):
+            if k:
+                amount[i] = sum(v for w, v in c.items() if not halves[i % 2].isdisjoint(parts(w))) / max(1, c.total())
         cuts = np.quantile(amount[amount >= 0], [1 / 3, 2 / 3])
-        grades = np.array([0 if not k else 1 + int((s > cuts).sum()) for (k, _), s in zip(counts, amount, strict=True)])
-        self._fit([self.features(c) for _, c in counts], grades)
+        self.grades = np.array([0 if not k else 1 + int((s > cuts).sum()) for (k, _), s in zip(counts, amount, strict=True)])
+        self._fit([self.features(c) for _, c in counts], self.grades)
 
     def features(self, counts: Counter) -> dict[int, float]:
         total: Counter = Counter()
