@@ -1,6 +1,6 @@
 """python -m graphloom.cli motif k s1 d1 ... sk dk FILE PRELOAD BATCH [inspect] [--parts N] [--updates FILE] [--strategy S]
 
-Loads the first PRELOAD raw lines of an edge list (with --parts, of FILE00000, FILE00001, ...) and tracks the motif over the rest, or over the lines of --updates,
+Loads the first PRELOAD raw lines of an edge list (with --parts, of FILE00000, FILE00001, ... one after the other) and tracks the motif over the rest, or over the lines of --updates,
 in epochs of BATCH lines. With "inspect" it prints each epoch's number of changes; it ends with the total.
 """
 
@@ -12,10 +12,11 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.columns import part_name
 from graphloom.operators.graph import normalise
 from graphloom.operators.match import epoch_counts, track
 from graphloom.plans.pattern import Motif
-from graphloom.sources.edges import edge_parts, preload_and_batches, update_batches
+from graphloom.sources.edges import preload_and_batches, update_batches
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -41,13 +42,9 @@ def main(argv: list[str] | None = None) -> int:
     args = parse(argv)
     spark = SparkSession.builder.getOrCreate()
     began = time.time()
-    if args.parts:
-        held, rest = edge_parts(spark, args.file, args.parts), None
-    else:
-        held, rest = preload_and_batches(spark, args.file, args.preload, args.batch)
+    files = [part_name(args.file, i) for i in range(args.parts)] if args.parts else args.file
+    held, rest = preload_and_batches(spark, files, args.preload, args.batch)
     changes = update_batches(spark, args.updates, args.batch) if args.updates else rest
-    if changes is None:
-        raise SystemExit("--parts needs --updates")
     log = normalise(held).select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(changes.where("src <> dst"))
     counts = epoch_counts(track(args.motif, log, 1, args.strategy)).cache()
     if args.inspect:

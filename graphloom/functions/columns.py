@@ -17,11 +17,6 @@ def pairs(n: str | Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
 
 
-def after(values: str | Column, x: Column) -> Column:
-    """The entries of an array that are greater than x."""
-    return F.filter(values, lambda v: v > x)
-
-
 def without(values: str | Column, *xs: Column) -> Column:
     """The entries of an array that equal none of xs."""
     def other(v: Column) -> Column:

@@ -9,19 +9,32 @@ a new attribute, by an index of (key, value) rows. `extend` keeps the values tha
 * `array`: candidates stay one array for each prefix (`factorised`), intersected with adjacency arrays; best for counting.
 
 Relations are sets. With `as_of`, index rows carry the epochs [since, until) in which they hold, and each prefix row its epoch t: "new" reads the index as
-of t, "old" as of just before t.
+of t, "old" as of just before t, and a function of (since, until, t) reads the rows for which the column it gives is true.
+
+No prefix is sent to a task for its hub alone: degrees are looked up in a table with one row a key, a join whose other side Spark splits where a key is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import materialize
+
 STRATEGIES = ("generic", "native", "array")
+Validator = Callable[[Column, Column, Column], Column]
+
+
+def choose(by: Column, options: Sequence[Column | int]) -> Column:
+    """The option with the number that `by` holds; without a choice if all are the same."""
+    options = [F.lit(o) if isinstance(o, int) else o for o in options]
+    if len({str(o) for o in options}) == 1:
+        return options[0]
+    return F.coalesce(*(F.when(by == i, o) for i, o in enumerate(options)))
 
 
 @dataclass
@@ -47,9 +60,9 @@ class Index:
         return cls(edges.select(F.col("dst").alias("key"), F.col("src").alias("val"), *more), versioned=bool(more))
 
     def degrees(self) -> DataFrame:
-        """How many values each key has; of a versioned index, in any epoch (an upper bound is enough to choose by)."""
+        """How many values each key has; of a versioned index, in any epoch (an upper bound is enough to choose by). Written once, for all joins that look degrees up."""
         if self._degrees is None:
-            self._degrees = self.rows.groupBy(*self.keys).agg(F.count("*").alias("n"))
+            self._degrees = materialize(self.rows.groupBy(*self.keys).agg(F.count("*").alias("n")), "degrees")
         return self._degrees
 
     def arrays(self) -> DataFrame:
@@ -65,15 +78,15 @@ class Extender:
 
     on: tuple[str | Column, ...]
     index: Index
-    as_of: str | None = None
+    as_of: str | Validator | None = None
 
-    def __init__(self, on: str | Column | Sequence[str | Column], index: Index, as_of: str | None = None):
+    def __init__(self, on: str | Column | Sequence[str | Column], index: Index, as_of: str | Validator | None = None):
         self.on = (on,) if isinstance(on, str | Column) else tuple(on)
         self.index, self.as_of = index, as_of
         if len(self.on) != len(index.keys):
             raise ValueError(f"the index has {len(index.keys)} key columns, not {len(self.on)}")
-        if as_of not in (None, "old", "new"):
-            raise ValueError(f"as_of is 'old' or 'new', not {as_of!r}")
+        if as_of not in (None, "old", "new") and not callable(as_of):
+            raise ValueError(f"as_of is 'old', 'new' or a function, not {as_of!r}")
         if as_of and not index.versioned:
             raise ValueError("only a versioned index can be read as of an epoch")
 
@@ -87,12 +100,17 @@ class Extender:
         conditions = [k == F.col(f"_{tag}_{c}") for k, c in zip(self._key(), self.index.keys, strict=True)]
         if value:
             conditions.append(F.col(value) == F.col(f"_{tag}_val"))
-        if self.as_of == "new":
-            conditions += [F.col(f"_{tag}_since") <= F.col("t"), F.col("t") < F.col(f"_{tag}_until")]
-        elif self.as_of == "old":
-            conditions += [F.col(f"_{tag}_since") < F.col("t"), F.col("t") <= F.col(f"_{tag}_until")]
+        if self.as_of:
+            conditions.append(self.valid(F.col(f"_{tag}_since"), F.col(f"_{tag}_until")))
         return renamed, reduce(Column.__and__, conditions)
 
+    def valid(self, since: Column, until: Column) -> Column:
+        """Whether an index row counts for a prefix row."""
+        t = F.col("t")
+        if callable(self.as_of):
+            return self.as_of(since, until, t)
+        return (since <= t) & (t < until) if self.as_of == "new" else (since < t) & (t <= until) if self.as_of else F.lit(True)
+
     def count(self, prefix: DataFrame, to: str) -> DataFrame:
         """The prefix with the number of its candidates; prefixes without any are dropped."""
         degrees = self.index.degrees().select(*(F.col(c).alias(f"_d_{c}") for c in self.index.keys), F.col("n").alias(to))
@@ -142,28 +160,27 @@ def _by_fewest(prefix: DataFrame, extenders: Sequence[Extender], to: str) -> Dat
     The first join proposes; the others, one less than there are extenders, look the value up with the nominee's successors, in a circle.
     """
     k = len(extenders)
-    widths = {len(e.on) for e in extenders}
-    if len(widths) > 1:
-        raise ValueError("extenders of one attribute need keys of the same width")
-    keys = [f"_k{i}" for i in range(widths.pop())]
+    keys = [f"_k{i}" for i in range(max(len(e.on) for e in extenders))]  # keys of other indexes may be narrower
     timed = any(e.as_of for e in extenders)
     indexes = list({id(e.index): e.index for e in extenders}.values())
     number = {id(x): n for n, x in enumerate(indexes)}
-    more = ["since", "until"] if timed else []
-    rows = reduce(DataFrame.unionByName, [x.rows.select(F.lit(n).alias("_index"), *(F.col(c).alias(k_) for c, k_ in zip(x.keys, keys, strict=True)), F.col("val").alias("_val"), *(F.col(c).alias(f"_{c}") for c in more)) for n, x in enumerate(indexes)])
+    none = F.lit(0).cast("long")
+
+    def padded(columns: Sequence[Column]) -> list[Column]:
+        return [*columns, *[none] * (len(keys) - len(columns))]
+
+    def part(n: int, x: Index) -> DataFrame:
+        epochs = [F.col("since").alias("_since"), F.col("until").alias("_until")] if x.versioned else [F.lit(None).cast("int").alias(c) for c in ("_since", "_until")]
+        return x.rows.select(F.lit(n).alias("_index"), *(c.alias(name) for c, name in zip(padded([F.col(c) for c in x.keys]), keys, strict=True)), F.col("val").alias("_val"), *(epochs if timed else []))
 
-    def choose(who: Column, options: Sequence[Column]) -> Column:
-        if len({str(o) for o in options}) == 1:
-            return options[0]
-        return F.coalesce(*(F.when(who == i, o) for i, o in enumerate(options)))
+    rows = reduce(DataFrame.unionByName, [part(n, x) for n, x in enumerate(indexes)])
 
     def condition(step: int) -> Column:
         who = F.pmod(F.col("who") + step, F.lit(k))
-        parts = [F.col("_index") == choose(who, [F.lit(number[id(e.index)]) for e in extenders])]
-        parts += [F.col(name) == choose(who, [e._key()[i] for e in extenders]) for i, name in enumerate(keys)]
-        if timed:  # "old" is the state as of one epoch earlier
-            at = choose(who, [F.col("t") - 1 if e.as_of == "old" else F.col("t") for e in extenders])
-            parts += [F.col("_since") <= at, at < F.col("_until")]
+        parts = [F.col("_index") == choose(who, [number[id(e.index)] for e in extenders])]
+        parts += [F.col(name) == choose(who, [padded(e._key())[i] for e in extenders]) for i, name in enumerate(keys)]
+        if timed:
+            parts.append(choose(who, [e.valid(F.col("_since"), F.col("_until")) for e in extenders]))
         return reduce(Column.__and__, parts)
 
     chosen = nominate(prefix, extenders)

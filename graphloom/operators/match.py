@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.join import Extender, Index, extend
-from graphloom.operators.versioned import consolidate, effective_changes, intervals
+from graphloom.operators.join import Extender, Index, choose, extend
+from graphloom.operators.versioned import FOREVER, consolidate, effective_changes, intervals, undirected
 from graphloom.plans.pattern import Motif
 from graphloom.storage import materialize
 
@@ -18,9 +18,9 @@ def _bound(rows: DataFrame, motif: Motif, start: int, *more: str) -> DataFrame:
     return rows.select(F.col("src").alias(f"x{a}"), F.col("dst").alias(f"x{b}"), *more)
 
 
-def match(motif: Motif, edges: DataFrame, seeds: DataFrame | None = None, strategy: str = "generic", constrained_first: bool = False) -> DataFrame:
+def match(motif: Motif, edges: DataFrame, seeds: DataFrame | None = None, strategy: str = "generic") -> DataFrame:
     """x0, x1, ...: all matches. `seeds` (src, dst) are the bindings of the first relation to start from; without them, all edges."""
-    plan = motif.plan(0, constrained_first)
+    plan = motif.plan(0)
     forward, reverse = Index.forward(edges), Index.reverse(edges)
     rows = _bound(edges if seeds is None else seeds, motif, 0)
     for src, dst, _ in plan.within:
@@ -45,12 +45,69 @@ def derivative(motif: Motif, start: int, changes: DataFrame, validity: DataFrame
     return rows.select(*motif.columns, "w", "t")
 
 
+def _all_derivatives(motif: Motif, changes: DataFrame, validity: DataFrame) -> DataFrame:
+    """The derivatives of all relations in one chain of joins.
+
+    Each change becomes a prefix for each relation it may stand for (`start`), bound to the places 0 and 1 of that relation's plan. A step of all plans is one round of joins against one
+    table of both index directions, in which a row's start and nominee say which direction it reads, by which place, and as of when. Plans with fewer constraints at a step repeat one.
+    """
+    plans = [motif.plan(i) for i in range(len(motif.edges))]
+    both = validity.select(F.lit(0).alias("_index"), F.col("src").alias("_key"), F.col("dst").alias("_val"), F.col("since").alias("_since"), F.col("until").alias("_until"))
+    both = materialize(both.unionByName(validity.select(F.lit(1), "dst", "src", "since", "until").toDF(*both.columns)), "index")
+    degrees = materialize(both.groupBy("_index", "_key").agg(F.count("*").alias("_n")), "degrees")
+
+    def at(prior: bool) -> Column:  # what held before an epoch held as of the one before
+        return F.col("t") if prior else F.col("t") - 1
+
+    rows = changes.select(F.col("src").alias("p0"), F.col("dst").alias("p1"), "w", "t", F.explode(F.array(*map(F.lit, range(len(plans))))).alias("start"))
+    for start, plan in enumerate(plans):
+        place = {a: i for i, a in enumerate(plan.order)}
+        for src, dst, prior in plan.within:
+            holds = (F.col("_index") == 0) & (F.col("_key") == F.col(f"p{place[src]}")) & (F.col("_val") == F.col(f"p{place[dst]}")) & (F.col("_since") <= at(prior)) & (at(prior) < F.col("_until"))
+            rows = rows.where(F.col("start") != start).unionByName(rows.where(F.col("start") == start).join(both, holds, "left_semi"))
+    for step in range(motif.width - 2):
+        width = max(len(plan.steps[step]) for plan in plans)
+        table: list[tuple[int, int, int]] = []  # by start and turn: direction, place, epochs to go back; a plan with fewer constraints repeats them
+        for plan in plans:
+            place = {a: i for i, a in enumerate(plan.order)}
+            own = [(0 if c.forward else 1, place[c.bound], 0 if c.prior else 1) for c in plan.steps[step]]
+            table += (own * width)[:width]
+        places = F.array(*(f"p{i}" for i in range(step + 2)))
+
+        def read(turn: Column | int, table: list = table, width: int = width, places: Column = places) -> tuple[Column, Column, Column]:
+            """The direction, key and epoch that a row reads the index with at a turn."""
+            spot = F.col("start") * width + turn
+            index, place, back = (F.lit(values[0]) if len(set(values)) == 1 else F.get(F.array(*map(F.lit, values)), spot) for values in zip(*table, strict=True))
+            return index, F.get(places, place), F.col("t") - back
+
+        bound = rows.columns
+        for i in range(width):
+            index, key, _ = read(i)
+            rows = rows.join(degrees.withColumnsRenamed({"_n": f"_n{i}"}), (F.col("_index") == index) & (F.col("_key") == key)).drop("_index", "_key")
+        counts = [F.col(f"_n{i}") for i in range(width)]
+        least = F.least(*counts) if width > 1 else counts[0]
+        rows = rows.select(*bound, F.coalesce(*(F.when(n == least, F.lit(i)) for i, n in enumerate(counts))).alias("who"))
+        new = f"p{step + 2}"
+        for turn in range(width):
+            index, key, when = read(F.pmod(F.col("who") + turn, F.lit(width)))
+            holds = (F.col("_index") == index) & (F.col("_key") == key) & (F.col("_since") <= when) & (when < F.col("_until"))
+            if turn:
+                rows = rows.join(both, holds & (F.col("_val") == F.col(new)), "left_semi")
+            else:
+                rows = rows.join(both, holds).select(*bound, "who", F.col("_val").alias(new))
+        rows = rows.drop("who")
+    named = [choose(F.col("start"), [F.col(f"p{plan.order.index(a)}") for plan in plans]).alias(f"x{a}") for a in range(motif.width)]
+    return rows.select(*named, "w", "t")
+
+
 def raw_changes(motif: Motif, log: DataFrame, since: int | None = None, strategy: str = "generic") -> DataFrame:
     """The derivatives of all relations together; a match may occur more than once, with weights that cancel."""
     # each is read by every join of every derivative: written once, so that plans stay small and nothing is computed twice
     log = materialize(log, "log")
     changes, validity = effective_changes(log), materialize(intervals(log), "intervals")
     changes = materialize(changes if since is None else changes.where(F.col("t") >= since), "changes")
+    if strategy == "generic":
+        return _all_derivatives(motif, changes, validity)
     return reduce(DataFrame.unionByName, [derivative(motif, i, changes, validity, strategy) for i in range(len(motif.edges))])
 
 
@@ -59,6 +116,34 @@ def track(motif: Motif, log: DataFrame, since: int | None = None, strategy: str
     return consolidate(raw_changes(motif, log, since, strategy))
 
 
+def track_cliques_by_triangles(log: DataFrame, since: int | None = None) -> DataFrame:
+    """(x0, ..., x3, w, t): the changes of 4-cliques x0 < x1 < x2 < x3 of the graph without directions, by way of those of triangles.
+
+    The changes of the triangle table T are a log of their own. A 4-clique is T(a, b, c), T(a, b, d) and T(a, c, d); each of the three is changed in turn and extended by the fourth node with indexes from
+    two nodes of a triangle to the third, earlier tables as of the epoch and later ones as of before it.
+    """
+    tri = materialize(track(Motif.clique(3), undirected(log)).select("x0", "x1", "x2", "w", "t"), "triangle-changes")
+    nodes = [F.col(f"x{i}") for i in range(3)]
+    life = F.lead("t").over(Window.partitionBy("x0", "x1", "x2").orderBy("t"))
+    held = tri.withColumn("until", F.coalesce(life, F.lit(FOREVER))).where("w > 0").select(*nodes, F.col("t").alias("since"), "until")
+    held = materialize(held, "triangles-held")
+
+    def index(key: tuple[int, int], val: int) -> Index:
+        return Index(held.select(nodes[key[0]].alias("k1"), nodes[key[1]].alias("k2"), nodes[val].alias("val"), "since", "until"), ("k1", "k2"), versioned=True)
+
+    last, middle = index((0, 1), 2), index((0, 2), 1)
+    changes = materialize(tri if since is None else tri.where(F.col("t") >= since), "recent-triangle-changes")
+    # the triangle that changes, the node it lacks, and how the two other triangles give it
+    terms = [
+        ("abc", "d", [(("a", "b"), last, "old"), (("a", "c"), last, "old")]),
+        ("abd", "c", [(("a", "b"), last, "new"), (("a", "d"), middle, "old")]),
+        ("acd", "b", [(("a", "c"), middle, "new"), (("a", "d"), middle, "new")]),
+    ]
+    parts = [extend(changes.toDF(*own, "w", "t"), [Extender(key, x, as_of) for key, x, as_of in using], new) for own, new, using in terms]
+    found = reduce(DataFrame.unionByName, parts).select(*(F.col(c).alias(f"x{i}") for i, c in enumerate("abcd")), "w", "t")
+    return consolidate(found)
+
+
 def epoch_counts(changes: DataFrame) -> DataFrame:
     """(t, n_changes, net) for each epoch with changes."""
     return changes.groupBy("t").agg(F.count("*").alias("n_changes"), F.sum("w").cast("long").alias("net"))

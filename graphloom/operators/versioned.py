@@ -1,7 +1,8 @@
 """Edges that change: a log of signed changes, its snapshots, effective changes and intervals of validity.
 
-The log has rows (src, dst, t, w): at epoch t the count of an edge changes by w. An edge is present while its count is positive. All functions take
-relations as sets: inserting a present edge or deleting an absent one changes nothing.
+The log has rows (src, dst, t, w). The weights of an edge's rows in one epoch are added; a positive sum inserts the edge, a negative one deletes it, and 0 does nothing. Relations are sets: inserting
+a present edge or deleting an absent one changes nothing, in whatever number. So an edge is present as of an epoch if the last of its sums other than 0 is positive. Batches,
+snapshots, merged bases and streams all follow this one rule.
 """
 
 from __future__ import annotations
@@ -22,14 +23,23 @@ def consolidate(rows: DataFrame, weight: str = "w", keep_positive: bool = False)
     return out.where(F.col(weight) > 0 if keep_positive else F.col(weight) != 0)
 
 
+def net_changes(log: DataFrame) -> DataFrame:
+    """(src, dst, t, w): the sum of an edge's weights in each epoch, where it isn't 0."""
+    return log.groupBy("src", "dst", "t").agg(F.sum("w").alias("w")).where("w <> 0")
+
+
 def history(log: DataFrame) -> DataFrame:
-    """(src, dst, t, before, now): whether an edge was and is present, for each epoch at which its count changes.
+    """(src, dst, t, before, now): whether an edge was and is present, for each epoch that inserts or deletes it.
 
     One shuffle by edge; everything else about versions follows from this table.
     """
-    net = log.groupBy("src", "dst", "t").agg(F.sum("w").alias("w"))
-    count = F.sum("w").over(Window.partitionBy("src", "dst").orderBy("t"))
-    return net.withColumn("count", count).select("src", "dst", "t", (F.col("count") - F.col("w") > 0).alias("before"), (F.col("count") > 0).alias("now"))
+    edge = Window.partitionBy("src", "dst").orderBy("t")
+    return net_changes(log).select("src", "dst", "t", F.coalesce(F.lag("w").over(edge) > 0, F.lit(False)).alias("before"), (F.col("w") > 0).alias("now"))
+
+
+def held_edges(log: DataFrame) -> DataFrame:
+    """The edges present after all epochs of the log: one aggregation, without an order."""
+    return net_changes(log).groupBy("src", "dst").agg(F.max_by("w", "t").alias("w")).where("w > 0").select("src", "dst")
 
 
 def effective_changes(log: DataFrame) -> DataFrame:
@@ -37,6 +47,14 @@ def effective_changes(log: DataFrame) -> DataFrame:
     return history(log).where("before <> now").select("src", "dst", "t", F.when(F.col("now"), 1).otherwise(-1).alias("w"))
 
 
+def undirected(log: DataFrame) -> DataFrame:
+    """The log (src < dst, t, w) of edges without direction: one is present while an edge either way is."""
+    turns = effective_changes(log).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "t").agg(F.sum("w").alias("w"))
+    ways = F.sum("w").over(Window.partitionBy("src", "dst").orderBy("t"))
+    counted = turns.withColumn("now", ways).where((F.col("now") > 0) != (F.col("now") - F.col("w") > 0))
+    return counted.select("src", "dst", "t", F.when(F.col("now") > 0, 1).otherwise(-1).alias("w"))
+
+
 def intervals(log: DataFrame) -> DataFrame:
     """(src, dst, since, until): the edge is present at epochs since <= t < until."""
     edge = Window.partitionBy("src", "dst").orderBy("t")
@@ -66,13 +84,12 @@ class VersionedEdges:
 
     def as_of(self, t: int, strict: bool = False) -> DataFrame:
         """The edges present at epoch t, or with `strict` just before it."""
-        return self.log.where(F.col("t") < t if strict else F.col("t") <= t).groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0").select("src", "dst")
+        return held_edges(self.log.where(F.col("t") < t if strict else F.col("t") <= t))
 
     def merge_to(self, t: int) -> VersionedEdges:
-        """Folds all changes up to t into the base: what held at t holds from t on, and history before is forgotten. The result is written as a table."""
-        held = self.log.where(F.col("t") <= t).groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0")
+        """Folds all changes up to t into the base: what held at t holds from t on, and history before is forgotten. No snapshot or change after t differs. The result is written as a table."""
         later = self.log.where(F.col("t") > t)
-        return VersionedEdges(materialize(held.select("src", "dst", F.lit(t).alias("t"), F.lit(1).alias("w")).unionByName(later), "base"))
+        return VersionedEdges(materialize(self.as_of(t).select("src", "dst", F.lit(t).alias("t"), F.lit(1).alias("w")).unionByName(later), "base"))
 
     def first_change_after(self, t: int) -> DataFrame:
         """The earliest epoch of a change after t, as one row."""

@@ -85,27 +85,28 @@ class Motif:
     def columns(self) -> list[str]:
         return [f"x{a}" for a in range(self.width)]
 
-    def _order(self, start: int, constrained_first: bool) -> list[int]:
-        """Attributes reachable from the start's two, each next to an earlier one.
-
-        By default in the order in which sweeps over the edges come upon them; or, each time, the one with most edges to bound ones.
-        """
+    def _order(self, start: int) -> list[int]:
+        """The start's two attributes, then each time the one with the most edges to those before it (ties: the least); attributes that can't be reached are left out."""
         order = list(self.edges[start])
-        if constrained_first:
-            while fresh := {b for e in self.edges for a, b in (e, e[::-1]) if a in order and b not in order}:
-                order.append(min(fresh, key=lambda x: (-sum(x in e and (e[0] in order or e[1] in order) for e in self.edges), x)))
-            return order
-        before = 0
-        while before != len(order):
-            before = len(order)
-            for edge in self.edges:
-                for known, new in (edge, edge[::-1]):
-                    if known in order and new not in order:
-                        order.append(new)
+        touching = {a: {b for e in self.edges if a in e for b in e} - {a} for a in range(self.width)}
+        while near := [a for a in touching if a not in order and touching[a] & set(order)]:
+            order.append(max(near, key=lambda a: (sum(a in e and not {*e} - {a, *order} for e in self.edges), -a)))
         return order
 
-    def plan(self, start: int, constrained_first: bool = False) -> Plan:
-        order = self._order(start, constrained_first)
+    def reach(self) -> tuple[int, int]:
+        """How many steps away from any one edge's ends the nearer end of another edge, and any attribute, can be."""
+        inner = outer = 0
+        for start in self.edges:
+            steps, level = dict.fromkeys(start, 0), 0
+            while fresh := {x for e in self.edges if steps.keys() & set(e) for x in e} - steps.keys():
+                level += 1
+                steps |= dict.fromkeys(fresh, level)
+            inner = max(inner, *(min(steps[a], steps[b]) for a, b in self.edges))
+            outer = max(outer, *steps.values())
+        return inner, outer
+
+    def plan(self, start: int) -> Plan:
+        order = self._order(start)
         place = {a: i for i, a in enumerate(order)}
         steps: dict[int, list[Constraint]] = {a: [] for a in order[2:]}
         within = []

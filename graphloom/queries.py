@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.columns import total
+from graphloom.functions.columns import part_name, total
 from graphloom.operators import cliques as C
 from graphloom.operators.graph import Graph
 from graphloom.operators.join import Extender, Index, extend, nominate
-from graphloom.operators.match import epoch_counts, match, raw_changes, running_total, track
+from graphloom.operators.match import epoch_counts, match, raw_changes, running_total, track, track_cliques_by_triangles
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
 from graphloom.plans.pattern import Motif
-from graphloom.sources.edges import edge_text, node_batches, percent_split, preload_and_batches, transitions
+from graphloom.sources.edges import edge_parts, edge_text, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, shuffled_batches, transitions, update_batches, write_csr
 from graphloom.storage import fresh_path, materialize
 from graphloom.streaming.runner import MotifStream
 
 FIRST_EPOCH, EPOCHS = 5, 10
+#: Epochs of the log with repeated inserts and deletes of absent edges.
+REPEATED_EPOCHS = 7
 
 
 def click_graph(spark: SparkSession, sf_dir: str, only: str | None = "click") -> Graph:
@@ -48,11 +50,21 @@ def edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entered.unionByName(left)
 
 
+def repeated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, t, w): every transition between users of two consecutive events of any type enters in its day's epoch, whether it is there or not, and some leave, whether they are there or not."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    placed = events.select(F.struct("user_id", "event_type", "ts").alias("event"), "ts", "event_id")
+    pairs = transitions(placed, "event", ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    t = F.pmod(F.dayofmonth("src.ts"), F.lit(REPEATED_EPOCHS)).cast("int")
+    rows = pairs.select((F.col("src.user_id") % 60).alias("src"), (F.col("dst.user_id") % 60).alias("dst"), t.alias("t"), F.when(F.col("src.event_type") == "click", -1).otherwise(1).alias("w"))
+    return rows.where("src <> dst")
+
+
 def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
 
-TRIANGLE, CYCLE3, K4, K5 = Motif.clique(3), Motif.cycle(3), Motif.clique(4), Motif.clique(5)
+TRIANGLE, CYCLE3, K4, K5, K6 = Motif.clique(3), Motif.cycle(3), Motif.clique(4), Motif.clique(5), Motif.clique(6)
 PATH3, SYMMETRIC = Motif.of((0, 1), (1, 2)), Motif.of((0, 1), (1, 0), (1, 2))
 
 
@@ -71,11 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         log = held.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(node_batches(rest, 10))
         return epoch_counts(track(TRIANGLE, log, 1))
 
-    def seeded_delta(spark: SparkSession, d: str) -> DataFrame:
-        """4-cliques a < b < c < e of the oriented graph, tracked as triangles that meet: the changes of the 4-clique on oriented edges."""
-        up = log(spark, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "t", "w")
-        return track(K4, up, FIRST_EPOCH)
-
     def separate_load(spark: SparkSession, d: str) -> DataFrame:
         """Triangles with the two directions of the index built from tables of their own."""
         edges = g(spark, d).edges
@@ -84,9 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return rows.select("x0", "x1", "x2")
 
     def static_build(spark: SparkSession, d: str) -> DataFrame:
-        """Triangles over given bindings of the first edge: those whose source is even."""
+        """Triangles over given bindings of the first edge (here all edges) in an index that never changes."""
         edges = g(spark, d).edges
-        return match(TRIANGLE, edges, seeds=edges.where("src % 2 = 0"))
+        return match(TRIANGLE, edges, seeds=edges)
 
     def nominated(spark: SparkSession, d: str) -> DataFrame:
         edges = g(spark, d).edges
@@ -110,22 +117,76 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         held, rest = preload_and_batches(spark, path, 100, 500)
         return held.select(F.lit(0).alias("t")).unionByName(rest.select("t")).groupBy("t").agg(F.count("*").alias("n"))
 
-    def streamed(spark: SparkSession, d: str) -> DataFrame:
+    def written(spark: SparkSession, d: str, parts: int = 1) -> str:
+        """The graph as edge-list text: a file, or with `parts` files prefix00000, prefix00001, ... by source."""
+        path, edges = fresh_path(spark, "edge-text"), g(spark, d).edges
+        line = F.concat_ws(" ", "src", "dst").alias("value")
+        for i in range(parts) if parts > 1 else ():
+            edges.where(F.pmod("src", F.lit(parts)) == i).select(line).write.text(part_name(path, i))
+        if parts == 1:
+            edges.select(line).coalesce(1).write.text(path)
+        return path
+
+    def part_files(spark: SparkSession, d: str) -> DataFrame:
+        return edge_parts(spark, written(spark, d, 3), 3)
+
+    def update_file(spark: SparkSession, d: str) -> DataFrame:
+        """All edges from a file of updates of their own, in one epoch each 400 lines, onto no graph: the triangles in the end."""
+        log = update_batches(spark, written(spark, d), 400)
+        return running_total(epoch_counts(track(TRIANGLE, log))).agg(F.max_by("total", "t").alias("n"))
+
+    def csr(spark: SparkSession, d: str) -> DataFrame:
+        """Written as offsets and targets, and read again."""
+        with_loops_out = g(spark, d).edges
+        path = fresh_path(spark, "csr").removeprefix("file:")
+        write_csr(with_loops_out, path)
+        return read_csr(spark, path, 40)
+
+    def percent_preload(spark: SparkSession, d: str) -> DataFrame:
+        """Triangles with 90 % of an edge list's lines preloaded and the rest in epochs of 20: how many there are after each stage."""
+        held, rest = percent_of_lines(spark, written(spark, d), 90, 20)
+        log = held.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(rest)
+        return epoch_counts(track(TRIANGLE, log)).agg(total("net").alias("n"))
+
+    def shuffled(m: Motif, batch: int) -> Callable[[SparkSession, str], DataFrame]:
+        """Edges fed in a random order: how many matches there are in the end."""
+        return lambda spark, d: epoch_counts(track(m, shuffled_batches(g(spark, d).edges, batch, 7))).agg(total("net").alias("n"))
+
+    def streamed_log(spark: SparkSession, rows: DataFrame, epochs: range, base: DataFrame | None, **options) -> MotifStream:
         """The triangles' changes by Structured Streaming: files of changes dropped epoch by epoch."""
-        rows = materialize(log(spark, d), "log")
+        rows = materialize(rows, "log")
         path = fresh_path(spark, "stream")
-        stream = MotifStream(spark, TRIANGLE, path, VersionedEdges(rows).as_of(FIRST_EPOCH - 1))
-        for t in range(FIRST_EPOCH, EPOCHS):
-            rows.where(F.col("t") == t).select("src", "dst", "w").write.mode("append").parquet(f"{path}/in")
+        stream = MotifStream(spark, TRIANGLE, path, base, buckets=4, **options)
+        for t in epochs:
+            rows.where(F.col("t") == t).select("src", "dst", "w").coalesce(1).write.mode("append").parquet(f"{path}/in")
             query = stream.start(spark.readStream.schema("src long, dst long, w int").parquet(f"{path}/in"))
             query.processAllAvailable()
             query.stop()
+        return stream
+
+    def streamed(spark: SparkSession, d: str) -> DataFrame:
+        rows = materialize(log(spark, d), "log")
+        stream = streamed_log(spark, rows, range(FIRST_EPOCH, EPOCHS), VersionedEdges(rows).as_of(FIRST_EPOCH - 1))
         return stream.changes().withColumn("t", (F.col("t") + FIRST_EPOCH).cast("int"))
 
+    def streamed_repeated(spark: SparkSession, d: str) -> DataFrame:
+        stream = streamed_log(spark, repeated_log(spark, d), range(REPEATED_EPOCHS), None)
+        return stream.changes().select("x0", "x1", "x2", "w", F.col("t").cast("int").alias("t"))
+
+    def merged_track(spark: SparkSession, d: str) -> DataFrame:
+        return track(TRIANGLE, VersionedEdges(repeated_log(spark, d)).merge_to(3).log, 4)
+
     return {
         "edge_text_scan": text_scan,
         "edge_text_batches": text_batches,
+        "edge_parts": part_files,
+        "update_file": update_file,
+        "csr_round_trip": csr,
+        "percent_of_edges": percent_preload,
+        "shuffled_k4": shuffled(K4, 400),
+        "shuffled_k5": shuffled(K5, 400),
         "streaming_triangle": streamed,
+        "streaming_repeated": streamed_repeated,
         "q0_triangle": lambda s, d: C.triangles(g(s, d)),
         "q1_four_cycle": lambda s, d: C.four_cycles(g(s, d)),
         "q2_strut": lambda s, d: C.struts(C.triangles(g(s, d))),
@@ -136,9 +197,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q5_fan": lambda s, d: C.count_fans(C.triangles(g(s, d))),
         "q6_hat": lambda s, d: C.hats(g(s, d)),
         "q6_star": lambda s, d: C.count_hats(g(s, d)),
-        "q6_alt": lambda s, d: C.count_hats(g(s, d), "edges"),
+        "q6_alt": lambda s, d: C.count_hats_by_common(g(s, d)),
         "q6_seeded": lambda s, d: C.count_hats(g(s, d), "triangles"),
-        "q6_seeded_alt": lambda s, d: C.count_hats(g(s, d), "edges"),
+        "q6_seeded_alt": lambda s, d: C.count_hats(g(s, d), "index"),
         "q7_five_clique": lambda s, d: C.cliques(g(s, d), 5),
         "q7_seeded": lambda s, d: C.cliques_from_triangles(C.triangles(g(s, d)), 5),
         "diamonds": lambda s, d: C.diamonds(g(s, d)),
@@ -153,13 +214,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "motif_path3": lambda s, d: _count(match(PATH3, g(s, d).edges)),
         "motif_symmetric": motif(SYMMETRIC),
         "k5_motif": motif(K5),
+        "k6_motif": motif(K6),
         "motif_separate_load": separate_load,
         "motif_static_build": static_build,
         "triangles_preload_stream": preload_stream,
         "delta_triangle": delta(TRIANGLE),
         "delta_cycle3": delta(CYCLE3),
         "delta_k4": delta(K4),
-        "delta_seed_k4": seeded_delta,
+        "delta_seed_k4": lambda s, d: track_cliques_by_triangles(log(s, d), FIRST_EPOCH),
+        "delta_k5": delta(K5),
         "delta_epoch_counts": lambda s, d: epoch_counts(track(TRIANGLE, log(s, d), FIRST_EPOCH)),
         "delta_raw_counts": lambda s, d: raw_changes(TRIANGLE, log(s, d), FIRST_EPOCH).groupBy("t").agg(F.count("*").alias("n_raw"), total("w").alias("net")),
         "delta_running_total": lambda s, d: running_total(epoch_counts(track(TRIANGLE, log(s, d)))),
@@ -167,6 +230,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "asof_before": lambda s, d: VersionedEdges(log(s, d)).as_of(7, strict=True),
         "effective_changes": lambda s, d: effective_changes(log(s, d)).where(F.col("t") >= FIRST_EPOCH),
         "merge_to": lambda s, d: VersionedEdges(log(s, d)).merge_to(6).as_of(EPOCHS),
+        "asof_repeated": lambda s, d: VersionedEdges(repeated_log(s, d)).as_of(4),
+        "merge_repeated": lambda s, d: VersionedEdges(repeated_log(s, d)).merge_to(3).as_of(5),
+        "track_repeated": lambda s, d: track(TRIANGLE, repeated_log(s, d)),
+        "track_merged": merged_track,
+        "first_change": lambda s, d: VersionedEdges(log(s, d)).first_change_after(6),
+        "index_update": lambda s, d: VersionedEdges.initial(g(s, d).edges).update(g(s, d).edges.where("src < 5").withColumn("w", F.lit(-1)), 3).as_of(3),
         "consolidate": lambda s, d: consolidate(log(s, d).select("src", "dst", "w"), keep_positive=True),
         "single_extender_propose": lambda s, d: _count(Extender("dst", Index.forward(g(s, d).edges)).propose(g(s, d).edges, "x")),
         "nominate_min_count": nominated,
@@ -198,6 +267,15 @@ ep AS (SELECT CAST(range AS INT) AS t FROM range(0, {EPOCHS})),
 snap AS (SELECT ep.t, src, dst FROM ep JOIN log ON log.t <= ep.t GROUP BY ep.t, src, dst HAVING sum(w) > 0)"""
 
 
+_REPEATED = f"""tr AS (
+  SELECT event_type, ts, user_id % 60 AS src, lead(user_id) OVER (ORDER BY ts, event_id) % 60 AS dst FROM events),
+net AS (
+  SELECT src, dst, CAST(dayofmonth(ts) % {REPEATED_EPOCHS} AS INT) AS t, sum(CASE WHEN event_type = 'click' THEN -1 ELSE 1 END) AS w
+  FROM tr WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2, 3 HAVING w <> 0),
+ep AS (SELECT CAST(range AS INT) AS t FROM range(0, {REPEATED_EPOCHS})),
+snap AS (SELECT ep.t, src, dst FROM ep JOIN net ON net.t <= ep.t GROUP BY ep.t, src, dst HAVING arg_max(w, net.t) > 0)"""
+
+
 def _with(body: str, ctes: str = _G) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -217,7 +295,7 @@ def _matches(motif: Motif, edges: str, cond: str = "") -> str:
     return f"SELECT DISTINCT {', '.join(f'{seen[a]} AS x{a}' for a in sorted(seen))} FROM {tables}" + (f" WHERE {where}" if where else "")
 
 
-def _delta(motif: Motif, since: int = FIRST_EPOCH, snapshots: str = "snap") -> str:
+def _delta(motif: Motif, since: int = FIRST_EPOCH, snapshots: str = "snap", epochs: int = EPOCHS) -> str:
     """Differences of the matches in consecutive snapshots."""
     cols = ", ".join(motif.columns)
     same = " AND ".join(f"e0.t = e{i}.t" for i in range(1, len(motif.edges))) or "TRUE"
@@ -225,7 +303,7 @@ def _delta(motif: Motif, since: int = FIRST_EPOCH, snapshots: str = "snap") -> s
     return f"""m AS ({every}),
 dm AS (
   SELECT {cols}, t, CAST(1 AS BIGINT) AS w FROM (SELECT t, {cols} FROM m WHERE t >= {since} EXCEPT SELECT t + 1, {cols} FROM m)
-  UNION ALL SELECT {cols}, t, CAST(-1 AS BIGINT) AS w FROM (SELECT t + 1 AS t, {cols} FROM m WHERE t + 1 >= {since} AND t + 1 < {EPOCHS} EXCEPT SELECT t, {cols} FROM m))"""
+  UNION ALL SELECT {cols}, t, CAST(-1 AS BIGINT) AS w FROM (SELECT t + 1 AS t, {cols} FROM m WHERE t + 1 >= {since} AND t + 1 < {epochs} EXCEPT SELECT t, {cols} FROM m))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -254,13 +332,18 @@ WHERE e1.q < e3.q AND e1.p NOT IN (e2.q, e3.q, e4.q) AND e1.q <> e4.q AND e2.q <
         "triangles_lean": "SELECT p.src AS x, e.src AS y, e.dst AS z FROM g e JOIN g p ON p.dst = e.src JOIN g q ON q.src = p.src AND q.dst = e.dst",
         "triangles_per_edge": "SELECT e.src, e.dst, count(*) AS n FROM g e JOIN g p ON p.src = e.src JOIN g q ON q.src = e.dst AND q.dst = p.dst GROUP BY e.src, e.dst",
         "triangles_by_vertex": "SELECT e.src AS node, count(*) AS n FROM g e JOIN g p ON p.src = e.src JOIN g q ON q.src = e.dst AND q.dst = p.dst GROUP BY e.src",
-        **dict.fromkeys(("motif_triangle", "motif_triangle_array", "motif_triangle_native", "motif_separate_load"), _matches(TRIANGLE, "g")),
+        **dict.fromkeys(("motif_triangle", "motif_triangle_array", "motif_triangle_native", "motif_separate_load", "motif_static_build"), _matches(TRIANGLE, "g")),
         "motif_cycle3": _matches(CYCLE3, "g"),
         "motif_k4": _matches(K4, "g"),
         "motif_path3": f"SELECT count(*) AS n FROM ({_matches(PATH3, 'g')})",
         "motif_symmetric": _matches(SYMMETRIC, "g"),
         "k5_motif": _matches(K5, "g"),
-        "motif_static_build": _matches(TRIANGLE, "g", "e0.src % 2 = 0"),
+        "k6_motif": _matches(K6, "g"),
+        **dict.fromkeys(("edge_parts", "csr_round_trip"), "SELECT src, dst FROM g"),
+        **dict.fromkeys(("update_file", "percent_of_edges"), f"SELECT count(*) AS n FROM ({_matches(TRIANGLE, 'g')})"),
+        "shuffled_k4": f"SELECT count(*) AS n FROM ({_matches(K4, 'g')})",
+        "shuffled_k5": f"SELECT count(*) AS n FROM ({_matches(K5, 'g')})",
+        "index_update": "SELECT src, dst FROM g WHERE src >= 5",
         "single_extender_propose": "SELECT count(*) AS n FROM g a JOIN g b ON b.src = a.dst",
         "nominate_min_count": "SELECT g.src, g.dst, least(p.n, q.n) AS cnt, CASE WHEN p.n <= q.n THEN 0 ELSE 1 END AS who FROM g JOIN (SELECT src, count(*) AS n FROM g GROUP BY src) p ON p.src = g.src JOIN (SELECT src, count(*) AS n FROM g GROUP BY src) q ON q.src = g.dst",
         "intersect_semijoin": "SELECT a.src, a.dst FROM g a WHERE EXISTS (SELECT 1 FROM g b WHERE b.src = a.dst AND b.dst = a.src)",
@@ -278,7 +361,7 @@ e AS (SELECT src, dst, CASE WHEN src < cut THEN 0 ELSE 1 + src // 10 END AS t FR
 SELECT CAST(greatest(a.t, b.t, c.t) AS INT) AS t, count(*) AS n_changes, count(*) AS net FROM e a JOIN e b ON b.src = a.src JOIN e c ON c.src = a.dst AND c.dst = b.dst
 WHERE greatest(a.t, b.t, c.t) >= 1 GROUP BY 1"""
     out["triangles_preload_stream"] = f"WITH {preload}"
-    for name, m in (("delta_triangle", TRIANGLE), ("delta_cycle3", CYCLE3), ("delta_k4", K4)):
+    for name, m in (("delta_triangle", TRIANGLE), ("delta_cycle3", CYCLE3), ("delta_k4", K4), ("delta_k5", K5)):
         out[name] = _with("SELECT * FROM dm", f"{_LOG}, {_delta(m)}")
     out["streaming_triangle"] = out["delta_triangle"]
     oriented = _LOG.replace("snap AS (SELECT ep.t, src, dst FROM", "snap AS (SELECT ep.t, least(src, dst) AS src, greatest(src, dst) AS dst FROM").replace("GROUP BY ep.t, src, dst HAVING", "GROUP BY ep.t, least(src, dst), greatest(src, dst) HAVING")
@@ -298,6 +381,11 @@ SELECT t, count(*) AS n_raw, CAST(sum(w) AS BIGINT) AS net FROM raw GROUP BY t""
 ch AS (SELECT src, dst, t, 1 AS w FROM (SELECT t, src, dst FROM snap WHERE t >= {FIRST_EPOCH} EXCEPT SELECT t + 1, src, dst FROM snap)
   UNION ALL SELECT src, dst, t, -1 FROM (SELECT t + 1 AS t, src, dst FROM snap WHERE t + 1 >= {FIRST_EPOCH} AND t + 1 < {EPOCHS} EXCEPT SELECT t, src, dst FROM snap)),""",
     )
+    out["asof_repeated"] = _with("SELECT src, dst FROM snap WHERE t = 4", _REPEATED)
+    out["merge_repeated"] = _with("SELECT src, dst FROM snap WHERE t = 5", _REPEATED)
+    for name, since in (("track_repeated", 0), ("streaming_repeated", 0), ("track_merged", 4)):
+        out[name] = _with("SELECT * FROM dm", f"{_REPEATED}, {_delta(TRIANGLE, since, epochs=REPEATED_EPOCHS)}")
+    out["first_change"] = _with("SELECT min(t) AS t FROM log WHERE t > 6", _LOG)
     out["asof_snapshot"] = _with("SELECT src, dst FROM snap WHERE t = 7", _LOG)
     out["asof_before"] = _with("SELECT src, dst FROM snap WHERE t = 6", _LOG)
     out["merge_to"] = _with(f"SELECT src, dst FROM snap WHERE t = {EPOCHS - 1}", _LOG)

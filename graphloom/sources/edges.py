@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import part_name
+from graphloom.storage import materialize
 
 
 def edge_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line_no, value): the raw lines of edge-list text with their number, comments and blanks included.
+    """(line_no, value): the raw lines of edge-list text with their number, comments and blanks included; files count in the order of their paths.
 
-    Lines are numbered by file, partition and place; only the partitions' line counts are gathered.
+    The lines are written once with their place in the scan, so no later step depends on how a scan cuts the files. Numbers follow from the lines of each split of a file: a table with
+    one row a split, whose running sum is the only thing that a single task orders.
     """
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("file", F.col("_metadata.file_path")).withColumn("offset", F.col("_metadata.file_block_start"))
-    counts = rows.groupBy("file", "offset").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("file", "offset").collect()  # a row for each split of a file
-    starts, seen = [], 0
-    for r in counts:
-        starts.append((r["file"], r["offset"], r["first"], seen))
-        seen += r["n"]
-    table = spark.createDataFrame(starts, "file string, offset long, first long, start long")
-    return rows.join(F.broadcast(table), ["file", "offset"]).select((F.col("start") + F.col("at") - F.col("first")).alias("line_no"), "value")
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
+    rows = materialize(rows, "lines")
+    splits = rows.groupBy("file", "offset").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "offset")) - F.col("n")
+    splits = materialize(splits.select("file", "offset", "first", before.alias("start")), "splits")
+    return rows.join(splits, ["file", "offset"]).select((F.col("start") + F.col("at") - F.col("first")).alias("line_no"), "value")
 
 
 def parse_edges(lines: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def edge_parts(spark: SparkSession, prefix: str, number: int) -> DataFrame:
     return edge_text(spark, [part_name(prefix, i) for i in range(number)])
 
 
-def preload_and_batches(spark: SparkSession, path: str, preload: int, batch: int) -> tuple[DataFrame, DataFrame]:
+def preload_and_batches(spark: SparkSession, path: str | list[str], preload: int, batch: int) -> tuple[DataFrame, DataFrame]:
     """The edges of the first `preload` raw lines, and the rest as (src, dst, t, w) in epochs of `batch` raw lines, counted from 1."""
     rows = parse_edges(edge_lines(spark, path))
     t = (1 + F.floor((F.col("line_no") - preload) / batch)).cast("int")
@@ -73,6 +75,12 @@ def percent_split(edges: DataFrame, percent: float) -> tuple[DataFrame, DataFram
     return edges.where(F.col("src") < cut), edges.where(F.col("src") >= cut)
 
 
+def percent_of_lines(spark: SparkSession, path: str | list[str], percent: float, batch: int) -> tuple[DataFrame, DataFrame]:
+    """The edges of the first `percent` of the raw lines, the line at the cut not included, and the rest in epochs of `batch` lines."""
+    n = spark.read.text(path).count()
+    return preload_and_batches(spark, path, math.floor(n * percent / 100), batch)
+
+
 def shuffled_batches(edges: DataFrame, batch: int, seed: int = 0) -> DataFrame:
     """Edges in a random order that the seed fixes, about `batch` to an epoch: a hash deals them out, so nothing is sorted."""
     n = max(1, -(-edges.count() // batch))
@@ -95,6 +103,7 @@ def transitions(events: DataFrame, key: str, order: list[str], bucket: Column) -
 
 def write_csr(edges: DataFrame, path: str) -> None:
     """path.offsets (64-bit) and path.targets (32-bit) on the driver's disk, streamed in order: a format for single machines; parquet is for the rest."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     rows = edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True)
     with open(f"{path}.targets", "wb") as targets, open(f"{path}.offsets", "wb") as offsets:
         node, written, block = -1, 0, []

@@ -1,6 +1,11 @@
 """Structured Streaming: micro-batches of signed edge changes in, changes of a motif's matches out.
 
-The state is the edge set, one table version for each batch. A batch that runs again reads the version before it and writes the same versions anew, so replays are safe.
+The state has two tiers. The base holds the edges as of some batch, once by source and once by target, each dealt into buckets of its key and sorted within them. The tail is a log of the
+effective changes of each batch since. A batch reads of both only the neighbourhood of what it changes: the buckets of the nodes concerned, by partition pruning, with semi-joins that need no
+shuffle of the base; then it writes its own changes. When the tail has grown to `MERGE_SHARE` of the base, both are merged into a new base. So the work of a batch follows the batch and its
+neighbourhood, and rewriting the base costs each change a constant amount, however large the graph.
+
+Edges are sets, by the rule of `operators.versioned`. A batch that runs again reads what was there before it and writes the same tables anew, so replays are safe.
 """
 
 from __future__ import annotations
@@ -12,40 +17,118 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.operators.match import track
+from graphloom.operators.versioned import held_edges
 from graphloom.plans.pattern import Motif
+from graphloom.storage import materialize
+
+#: The tail is merged into the base when it has more than this share of the base's rows.
+MERGE_SHARE = 0.25
+BUCKETS = 32
 
 
 class MotifStream:
-    """Tracks one motif; `path` is a folder in the shared file system, with state/v=N and changes/t=N below it."""
+    """Tracks one motif; `path` is a folder in the shared file system, with base/v=N, log/t=N and changes/t=N below it."""
 
-    def __init__(self, spark: SparkSession, motif: Motif, path: str, base: DataFrame | None = None, strategy: str = "generic", keep_versions: int = 2):
+    def __init__(self, spark: SparkSession, motif: Motif, path: str, base: DataFrame | None = None, strategy: str = "generic", keep_versions: int = 2, merge_share: float = MERGE_SHARE, buckets: int = BUCKETS):
         self.spark, self.motif, self.path, self.strategy, self.keep_versions = spark, motif, path, strategy, keep_versions
-        edges = base if base is not None else spark.createDataFrame([], "src long, dst long")
-        edges.select("src", "dst").where("src <> dst").distinct().write.mode("overwrite").parquet(self._version(-1))
+        self.merge_share, self.buckets = merge_share, buckets
+        self.inner, self.outer = motif.reach()
+        if not self._numbers("base", "v"):  # else a stream that goes on
+            edges = base if base is not None else spark.createDataFrame([], "src long, dst long")
+            self._write_base(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct(), -1)
 
-    def _version(self, batch: int) -> str:
-        return f"{self.path}/state/v={batch}"
+    # Tables
+
+    def _fs(self, name: str) -> tuple:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, table: str, key: str) -> list[int]:
+        """The versions or batches of a table that were written to the end."""
+        fs, path = self._fs(table)
+        if not fs.exists(path):
+            return []
+        found = [str(f.getPath().getName()) for f in fs.listStatus(path)]
+        done = "_SUCCESS" if table == "log" else "reverse/_SUCCESS"
+        return sorted(int(n.partition("=")[2]) for n in found if n.startswith(f"{key}=") and fs.exists(self._fs(f"{table}/{n}/{done}")[1]))
+
+    def _bucket(self, col: str):
+        return F.pmod(F.xxhash64(col), F.lit(self.buckets)).cast("int")
+
+    def _write_base(self, edges: DataFrame, version: int) -> None:
+        edges = materialize(edges, "merged")
+        for name, key in (("forward", "src"), ("reverse", "dst")):
+            rows = edges.withColumn("bucket", self._bucket(key)).repartition("bucket", key).sortWithinPartitions("bucket", key)
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/v={version}/{name}")
+
+    def _base(self, version: int, name: str) -> DataFrame:
+        return self.spark.read.schema("src long, dst long, bucket int").parquet(f"{self.path}/base/v={version}/{name}")
+
+    def _tail(self, after: int, until: int) -> DataFrame:
+        """(src, dst, t, w): the effective changes of the batches after one and before another."""
+        batches = [t for t in self._numbers("log", "t") if after < t < until]
+        if not batches:
+            return self.spark.createDataFrame([], "src long, dst long, t int, w int")
+        rows = self.spark.read.schema("src long, dst long, w int, t int").option("basePath", f"{self.path}/log").parquet(*(f"{self.path}/log/t={t}" for t in batches))
+        return rows.select("src", "dst", "t", "w")
+
+    def _around(self, nodes: DataFrame, version: int, tail: DataFrame, both_ends: bool = False) -> DataFrame:
+        """(src, dst): the edges with an end (or both) among `nodes` (node), as of the tail's end. Only the buckets of these nodes are read."""
+        keys = nodes.select("node", self._bucket("node").alias("bucket")).where("bucket >= 0")  # a filter, so that Spark takes the nodes for a reason to prune by
+
+        def ends(rows: DataFrame, key: str, *more: str) -> DataFrame:
+            on = (rows[key] == keys["node"]) & (rows["bucket"] == keys["bucket"]) if "bucket" in rows.columns else rows[key] == keys["node"]
+            return rows.join(keys, on, "left_semi").select("src", "dst", *more)
+
+        held = ends(self._base(version, "forward"), "src")
+        if both_ends:
+            held, own = ends(held, "dst"), ends(ends(tail, "src", "t", "w"), "dst", "t", "w")
+        else:
+            held = held.unionByName(ends(self._base(version, "reverse"), "dst")).distinct()
+            own = ends(tail, "src", "t", "w").unionByName(ends(tail, "dst", "t", "w")).distinct()
+        log = held.select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(own)
+        return held_edges(log)
+
+    # Batches
 
     def process(self, changes: DataFrame, batch: int) -> None:
         """One micro-batch of (src, dst, w): weights of an edge are added up, then only effective changes count."""
-        old = self.spark.read.schema("src long, dst long").parquet(self._version(batch - 1))
-        held = old.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w"))
-        net = changes.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        # an edge is there or not: one more insertion doesn't outlast a deletion
-        step = net.where("w <> 0").select("src", "dst", F.lit(1).alias("t"), F.signum("w").cast("int").alias("w"))
-        present = F.max(F.when(F.col("t") == 0, 1).otherwise(0))
-        moved = F.max(F.when(F.col("t") == 1, F.col("w")))
-        state = held.unionByName(step).groupBy("src", "dst").agg(present.alias("was"), moved.alias("move"))
-        effective = state.where("(was = 1 and move = -1) or (was = 0 and move = 1)").select("src", "dst", F.lit(1).alias("t"), F.col("move").cast("int").alias("w"))
-        state.where("move = 1 or (was = 1 and move is null)").select("src", "dst").write.mode("overwrite").parquet(self._version(batch))
-        found = track(self.motif, held.unionByName(effective), 1, self.strategy)
-        found.drop("t").write.mode("overwrite").parquet(f"{self.path}/changes/t={batch}")
-        self._forget(batch - self.keep_versions)
-
-    def _forget(self, batch: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        old = jvm.org.apache.hadoop.fs.Path(self._version(batch))
-        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        version = max(v for v in self._numbers("base", "v") if v < batch)
+        tail = self._tail(version, batch)
+        net = changes.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0")
+        net = materialize(net.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.signum("w").cast("int").alias("w")), "net")
+        there = self._around(net.select(F.col("src").alias("node")).distinct(), version, tail).withColumn("was", F.lit(True))
+        effective = net.join(there, ["src", "dst"], "left").where((F.col("w") > 0) != F.coalesce("was", F.lit(False))).select("src", "dst", "w")
+        effective.write.mode("overwrite").parquet(f"{self.path}/log/t={batch}")
+        effective = self.spark.read.schema("src long, dst long, w int").parquet(f"{self.path}/log/t={batch}")
+
+        nodes = materialize(effective.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "changed-nodes")
+        for _ in range(self.inner):
+            near = self._around(nodes, version, tail)
+            nodes = materialize(nodes.unionByName(near.select(F.explode(F.array("src", "dst")).alias("node"))).distinct(), "near-nodes")
+        local = self._around(nodes, version, tail, both_ends=self.inner == self.outer and self.inner > 0)
+        log = local.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(effective.select("src", "dst", F.lit(1).alias("t"), "w"))
+        track(self.motif, log, 1, self.strategy).drop("t").write.mode("overwrite").parquet(f"{self.path}/changes/t={batch}")
+        self._merge(version, batch)
+
+    def _merge(self, version: int, batch: int) -> None:
+        """Merges the tail into a new base if it has grown large, and forgets what no replay of the last batches can need."""
+        tail, base = self._tail(version, batch + 1), self._base(version, "forward")
+        if tail.count() > self.merge_share * base.count():
+            log = base.select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(tail)
+            self._write_base(held_edges(log), batch)
+        old = [v for v in self._numbers("base", "v") if v < batch + 1 - self.keep_versions]
+        gone = [f"base/v={v}" for v in old[:-1]] + [f"log/t={t}" for t in self._numbers("log", "t") if old and t <= old[-1]]
+        for name in gone:
+            fs, path = self._fs(name)
+            fs.delete(path, True)
+
+    def edges(self) -> DataFrame:
+        """(src, dst): the graph after all batches so far."""
+        version = max(self._numbers("base", "v"))
+        log = self._base(version, "forward").select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(self._tail(version, 2**31 - 1))
+        return held_edges(log)
 
     def start(self, stream: DataFrame, on_batch: Callable[[int], None] | None = None, **options: str) -> StreamingQuery:
         """Runs over a streaming DataFrame of (src, dst, w)."""

@@ -34,11 +34,13 @@ def cliques(edges, k: int) -> set[tuple[int, ...]]:
 
 
 def snapshots(log, epochs) -> dict[int, set[tuple[int, int]]]:
-    out = {}
-    for t in epochs:
-        count: dict[tuple[int, int], int] = {}
+    """Epoch by epoch: a positive sum of an edge's weights inserts it, a negative one deletes it."""
+    out, held = {}, set()
+    for t in range(min([x[2] for x in log], default=0), max(epochs) + 1):
+        net: dict[tuple[int, int], int] = {}
         for s, d, at, w in log:
-            if at <= t:
-                count[s, d] = count.get((s, d), 0) + w
-        out[t] = {e for e, n in count.items() if n > 0}
-    return out
+            if at == t:
+                net[s, d] = net.get((s, d), 0) + w
+        held = (held | {e for e, n in net.items() if n > 0}) - {e for e, n in net.items() if n < 0}
+        out[t] = set(held)
+    return {t: out.get(t, set()) for t in epochs}

@@ -43,6 +43,6 @@ def test_edges_within_the_first_pair():
 
 
 def test_most_constrained_first():
-    motif = Motif.of((0, 1), (1, 2), (0, 3), (1, 3))
-    assert motif.plan(0).order == (0, 1, 2, 3)
-    assert motif.plan(0, constrained_first=True).order == (0, 1, 3, 2)
+    assert Motif.of((0, 1), (1, 2), (0, 3), (1, 3)).plan(0).order == (0, 1, 3, 2)
+    assert Motif.of((0, 1), (0, 2), (0, 3), (2, 3), (3, 1)).plan(0).order == (0, 1, 3, 2)
+    assert Motif.of((0, 1), (0, 1), (1, 2), (0, 3)).plan(0).order == (0, 1, 2, 3)  # ties go to the least attribute

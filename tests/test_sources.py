@@ -65,6 +65,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["motif", *"3 0 1 0 2 1 2".split(), str(tmp_path / "g.txt"), "2", "2", "inspect"]) == 4
     assert "epoch 1: 1 changes" in capsys.readouterr().out
     (tmp_path / "p00000").write_text("0 1\n0 2\n")
-    assert main(["motif", *"3 0 1 0 2 1 2".split(), str(tmp_path / "p"), "0", "1", "--parts", "1", "--updates", str(tmp_path / "g.txt")]) == 4
+    assert main(["motif", *"3 0 1 0 2 1 2".split(), str(tmp_path / "p"), "2", "1", "--parts", "1", "--updates", str(tmp_path / "g.txt")]) == 4
+    (tmp_path / "p00001").write_text("1 2\n1 3\n2 3\n0 3\n")
+    assert main(["motif", *"3 0 1 0 2 1 2".split(), str(tmp_path / "p"), "2", "2", "--parts", "2"]) == 4  # the lines after PRELOAD are the updates
+    assert main(["motif", *"3 0 1 0 2 1 2".split(), str(tmp_path / "p"), "3", "2", "--parts", "2"]) == 3
     with pytest.raises(SystemExit):
         parse(["motif", "1", "0", "2", "f", "1", "1"])
+
+
+def test_lines_keep_their_numbers(spark, tmp_path):
+    """The files are cut differently between the first scan and the last."""
+    for i in range(3):
+        (tmp_path / f"f{i}").write_text("".join(f"{i} {k}\n" for k in range(5000)))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for key in keys:
+            spark.conf.set(key, "4096")
+        lines = E.edge_lines(spark, str(tmp_path))
+        for key in keys:
+            spark.conf.set(key, "1000000")
+        assert rows(lines) == [(i * 5000 + k, f"{i} {k}") for i in range(3) for k in range(5000)]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_percent_of_lines_leaves_the_line_at_the_cut_out(spark, tmp_path):
+    path = tmp_path / "g.txt"
+    path.write_text("# c\n1 2\n2 3\n3 4\n4 5\n")
+    held, rest = E.percent_of_lines(spark, str(path), 40, 2)
+    assert rows(held) == [(1, 2)] and rows(rest) == [(2, 3, 1, 1), (3, 4, 1, 1), (4, 5, 2, 1)]

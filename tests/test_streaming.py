@@ -1,36 +1,69 @@
+import random
+
 import brute
+import pytest
 
 from graphloom.operators.match import track
 from graphloom.plans.pattern import Motif
 from graphloom.streaming.runner import MotifStream
 
+SCHEMA = "src long, dst long, w int"
+
+
+def changes_of(frame):
+    return sorted(tuple(r) for r in frame.select(*sorted(c for c in frame.columns if c[0] == "x"), "w", "t").collect())
+
 
 def test_stream_agrees_with_batch_and_replays(spark, tmp_path):
     motif = Motif.clique(3)
     base = brute.random_edges(1, 6, 10)
-    batches = [[(s, d, 1) for s, d in brute.random_edges(2, 6, 8)], [(s, d, -1) for s, d in sorted(base)[:4]] + [(0, 1, 1), (0, 1, -1)]]
+    # inserts of present edges, deletes of absent ones, and both at once
+    batches = [[(s, d, 1) for s, d in brute.random_edges(2, 6, 8)], [(s, d, -1) for s, d in sorted(base)[:4]] + [(0, 1, 1), (0, 1, -1), (5, 4, -3)]]
     edges = spark.createDataFrame(sorted(base), "src long, dst long")
     stream = MotifStream(spark, motif, str(tmp_path / "m"), edges, keep_versions=5)
     source = tmp_path / "in"
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "src long, dst long, w int").coalesce(1).write.mode("append").parquet(str(source))
-        query = stream.start(spark.readStream.schema("src long, dst long, w int").option("maxFilesPerTrigger", "100").parquet(str(source)))
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        query = stream.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "100").parquet(str(source)))
         query.processAllAvailable()
         query.stop()
-        assert i < 2
-    log = [(s, d, -1, 1) for s, d in base]
-    held = set(base)
-    for t, rows in enumerate(batches):
-        net: dict[tuple[int, int], int] = {}
-        for s, d, w in rows:
-            net[s, d] = net.get((s, d), 0) + w
-        for e, w in net.items():
-            if w > 0 and e not in held or w < 0 and e in held:
-                log.append((*e, t, 1 if w > 0 else -1))
-                held ^= {e}
-    want = sorted(tuple(r) for r in track(motif, spark.createDataFrame(log, "src long, dst long, t int, w int"), 0).select("x0", "x1", "x2", "w", "t").collect())
-    got = sorted(tuple(r) for r in stream.changes().select("x0", "x1", "x2", "w", "t").collect())
-    assert got == want
-    stream.process(spark.createDataFrame(batches[1], "src long, dst long, w int"), 1)
-    assert sorted(tuple(r) for r in stream.changes().select("x0", "x1", "x2", "w", "t").collect()) == want
+    log = [(s, d, -1, 1) for s, d in base] + [(s, d, t, w) for t, rows in enumerate(batches) for s, d, w in rows]
+    want = changes_of(track(motif, spark.createDataFrame(log, "src long, dst long, t int, w int"), 0))
+    assert changes_of(stream.changes()) == want
+    stream.process(spark.createDataFrame(batches[1], SCHEMA), 1)
+    assert changes_of(stream.changes()) == want
     assert {r["t"] for r in stream.counts().collect()} <= {0, 1}
+
+
+@pytest.mark.parametrize(("motif", "share"), [(Motif.clique(4), 0.25), (Motif.of((0, 1), (1, 2), (2, 3)), 100.0)], ids=["K4", "path"])
+def test_many_batches(spark, tmp_path, motif, share):
+    """Random inserts and deletes, with a base that is merged again and again or never, and a stream object that is made anew in between."""
+    rnd = random.Random(motif.width)
+    batches = [[(a, b, rnd.choice([1, 1, -1])) for a, b in ((rnd.randrange(7), rnd.randrange(7)) for _ in range(12))] for _ in range(5)]
+    path = str(tmp_path / "m")
+    stream = MotifStream(spark, motif, path, merge_share=share, buckets=3)
+    for t, rows in enumerate(batches):
+        if t == 3:
+            stream = MotifStream(spark, motif, path, merge_share=share, buckets=3)
+        stream.process(spark.createDataFrame(rows, SCHEMA), t)
+    log = [(a, b, t, w) for t, rows in enumerate(batches) for a, b, w in rows if a != b]
+    assert changes_of(stream.changes()) == changes_of(track(motif, spark.createDataFrame(log, "src long, dst long, t int, w int")))
+    assert {tuple(r) for r in stream.edges().collect()} == brute.snapshots(log, [4])[4]
+    assert (len(stream._numbers("base", "v")) > 1) == (share < 1)
+
+
+def test_a_batch_reads_the_buckets_that_it_needs(spark, tmp_path):
+    edges = spark.range(4000).selectExpr("id AS src", "id + 1 AS dst")
+    stream = MotifStream(spark, Motif.clique(3), str(tmp_path / "m"), edges, buckets=40)
+    nodes = spark.createDataFrame([(17,)], "node long")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    near = stream._around(spark.read.parquet(str(tmp_path / "nodes")), -1, stream._tail(-1, 0))
+    assert {tuple(r) for r in near.collect()} == {(16, 17), (17, 18)}
+    files, todo = [], [near._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("numFiles") and node.metrics().contains("numPartitions"):
+            files.append(node.metrics().apply("numPartitions").value())
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert files == [1, 1]
