@@ -95,3 +95,16 @@ def test_percent_of_lines_leaves_the_line_at_the_cut_out(spark, tmp_path):
     path.write_text("# c\n1 2\n2 3\n3 4\n4 5\n")
     held, rest = E.percent_of_lines(spark, str(path), 40, 2)
     assert rows(held) == [(1, 2)] and rows(rest) == [(2, 3, 1, 1), (3, 4, 1, 1), (4, 5, 2, 1)]
+
+
+def test_intermediate_tables_can_be_forgotten(spark):
+    import os
+
+    from graphloom.storage import forget, fresh_path, materialize
+
+    rows_ = materialize(spark.range(3), "some")
+    assert rows_.count() == 3
+    folder = os.path.dirname(fresh_path(spark, "x"))
+    assert os.listdir(folder)
+    forget(spark)
+    assert not os.path.exists(folder)
