@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if its measured size is at most this many bytes.
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a session without that setting (a local test) gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from graphloom.storage import fresh_path as table_path
+from graphloom.storage import materialize
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["bounded_batches", "broadcast_if_small", "materialize", "numbered", "table_path", "text_or_empty", "without_rows"]
 
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    This cuts the lineage, and a lost executor costs no more than the tasks that it ran.
-    """
-    path = table_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table is broadcast only if its measured size is at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -52,7 +27,10 @@ BATCH_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows in an Arrow batch to BATCH_ROWS; a lower setting stays. With the default of 10,000 whole texts, buffers outside the heap get large."""
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS; a lower setting stays. With the default of 10,000 whole texts, buffers outside the heap get large.
+
+    Bytes are bounded by Spark's own limit on a batch (64 MB by default). The setting stays lowered, as results are lazy and the session decides only when they run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
