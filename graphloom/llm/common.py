@@ -15,11 +15,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if count x row_bytes is within `limit`; else leave the join to shuffle.
+    """Hint a broadcast if the table's measured size is within `limit`; else leave the join to shuffle.
 
-    `df` should be a written table, as it is counted here.
+    The size is `row_bytes` (what a row takes at least) for each row, and the bytes that its strings, binaries and arrays of strings hold. `df` should be a written table, as it is read here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    kinds = {c: k for c, k in df.dtypes if k in ("string", "binary", "array<string>")}
+    held = [F.sum(F.octet_length(F.concat_ws("", c) if k == "array<string>" else F.col(c))) for c, k in kinds.items()]
+    n, *parts = df.agg(F.count("*"), *held).first()
+    return F.broadcast(df) if n * row_bytes + sum(x or 0 for x in parts) <= limit else df
 
 
 #: Rows that are sent to Python at a time, each with a whole text or an array as long.
