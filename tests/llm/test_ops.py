@@ -287,17 +287,6 @@ def test_sketches_of_longer_texts_miss_few(spark):
     assert max(chance(n, 0.2) for n in lengths) < 0.12
 
 
-def test_parity_never_rules_out_a_link(spark):
-    rnd = random.Random(9)
-    for n in (3, 200, 700, 1500):
-        base = prose(rnd, n)
-        other = edited(rnd, base, 0.1)
-        x, y = (order_minhash.word_hashes(" ".join(t))[0] for t in (base, other))
-        a, b = (order_minhash.parity(order_minhash.labelled(w, 1)) for w in (x, y))
-        df = spark.createDataFrame([(len(x), len(y), a.tolist(), b.tolist())], "n int, m int, a array<long>, b array<long>")
-        assert df.select(order_minhash.possible("n", "m", "a", "b")).first()[0] or not order_minhash.similarity(x, y)
-
-
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + rnd.randrange(80), 2000 + rnd.randrange(80)) for _ in range(70)] + [(5, 5)]
