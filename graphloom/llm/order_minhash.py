@@ -14,10 +14,10 @@ threshold itself (0.2). A class is missed only if all its links are. Texts of up
 similar to one, are candidates if they share a word of their prefixes. A prefix is the n - ceil(0.8 n) + 1 rarest of a text's n labelled words (by the number of such texts that hold them, then by
 hash); two similar texts share at least ceil(0.8 n) words of either, so the rarest shared one is in both prefixes.
 
-No pairs of all members of a bucket (equal sketches or prefix words) are made: texts with the same words are one node; all nodes of a bucket are compared with one of it that a hash picks, so that a
-node meets as many others as it has sketches, then with the node that proved similar to the largest share of those it was compared with: the middle of a group of copies. Nodes that are still in
-another class than that are compared with one more that a hash picks, in `TURNS` rounds. Each round costs one comparison for a node and bucket, however large the bucket is. Two texts of a large
-group that are similar to each other but to none of the heads that either meets can stay apart; the README has figures.
+No candidate is left out, and no pairs of all members of a bucket (equal sketches or prefix words) are made. Texts with the same words are one node; all nodes of a bucket are compared with one of it,
+the first by a hash of the node. What is still in several classes then is compared within the bucket, in tiles of `TILE` by `TILE` nodes whose words a task holds: each two nodes of different classes are aligned, once for all keys that they share, unless
+their lengths or their bags of words (counts of hashed words in `BINS` bins, which two similar texts can't differ in by more than in their words) show that they are under the threshold. A
+tile gives only the links that join two classes, so fewer than it has nodes, however many pairs it compares. Its time still grows with the square of the nodes that are in different classes of a bucket.
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case text. Defined cases: null texts count as empty; texts
 without a word are one class; repeated rows and texts with equal words share a class; identifiers may be null or repeated; an empty table gives no rows; columns other than identifier
@@ -46,8 +46,8 @@ SHORT = 40
 PARTNER = math.floor(SHORT / SIMILARITY + 1e-9)
 #: Pairs with one head that a task compares in a row before it needs the head again.
 CHUNK = 256
-#: Rounds of comparisons with heads that a hash picks, after those with the middle of a group.
-TURNS = 2
+#: Bins of a text's bag of words (a power of two); rows and words of a bucket's part, two of which a task compares at a time.
+BINS, TILE, TILE_WORDS = 256, 256, 2_000_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -226,10 +226,13 @@ def _prefixes(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) of `pairs` (a, b, chunks) whose texts are similar. A head a with many pairs is split into as many chunks as its pairs say; its words are sent once for each."""
+    """The pairs (a, b) of `pairs` (a, b, chunks) whose texts are similar. A head a with many pairs is split into as many chunks as its pairs say; its words are sent once for each.
+
+    The joins with words shuffle whatever their size, so that what a small input costs carries over to a large one.
+    """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    heads = dealt.select("a", "chunk").distinct().join(words.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "words")
-    others = dealt.join(words.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "words")
+    heads = dealt.select("a", "chunk").distinct().join(words.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "words")
+    others = dealt.join(words.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "chunk", "b", "words")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = items = None
@@ -247,6 +250,84 @@ def _linked(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return heads.unionByName(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "words").mapInArrow(rows, "a long, b long")
 
 
+class _Tile:
+    """Rows of one bucket (part, node, root, all keys, words), of one part or of two, and the links that are needed to join what is similar in them."""
+
+    def __init__(self, key: int) -> None:
+        self.key = key
+        self.part: list[int] = []
+        self.node: list[int] = []
+        self.root: list[int] = []
+        self.keys: list[set[int]] = []
+        self.words: list[np.ndarray] = []
+
+    def add(self, part: int, node: int, root: int, keys: list[int], words: np.ndarray) -> None:
+        self.part.append(part)
+        self.node.append(node)
+        self.root.append(root)
+        self.keys.append(set(keys))
+        self.words.append(words)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Compares each two rows of different classes, until all that is similar is in one class: by length, by bags of words, then by alignment. Two rows that share several keys are
+        aligned for the least of them alone.
+
+        A bag holds how many words fall in each of `BINS` bins, 255 at most. Two texts with s words in common differ in n + m - 2s words, and their bags by no more than that.
+        """
+        n = np.array([len(w) for w in self.words])
+        order = np.argsort(n, kind="stable")
+        n, part, root = n[order], np.array(self.part)[order], np.array(self.root)[order]
+        words, keys = [self.words[i] for i in order], [self.keys[i] for i in order]
+        if (root == root[0]).all():
+            return
+        both = (part != part[0]).any()  # pairs within a part are for the tile of that part
+        bags = np.stack([np.minimum(np.bincount(w & (BINS - 1), minlength=BINS), 255).astype(np.int16) for w in words])
+        ends = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")
+        need = np.ceil(SIMILARITY * n - 1e-9)  # by the longer text, which is the later one
+        items: dict[int, np.ndarray] = {}
+        for x in range(len(n) - 1):
+            fit = root[x + 1 : ends[x]] != root[x]
+            if both:
+                fit &= part[x + 1 : ends[x]] != part[x]
+            others = np.flatnonzero(fit) + x + 1
+            for low in range(0, len(others), 1024):
+                some = others[low : low + 1024]
+                far = np.abs(bags[some] - bags[x]).sum(axis=1, dtype=np.int64)
+                for y in some[n[x] + n[some] - far >= 2 * need[some]].tolist():
+                    if root[x] == root[y] or min(keys[x] & keys[y]) != self.key:
+                        continue
+                    for k in (x, y):
+                        if k not in items:
+                            items[k] = labelled(words[k], 1)
+                    if aligned(words[x], words[y], items[x], items[y]):
+                        root[root == root[y]] = root[x]
+                        yield self.node[order[x]], self.node[order[y]]
+
+
+def _rest(rows_of: DataFrame) -> DataFrame:
+    """Links (a, b) that join all similar texts of a bucket; `rows_of` has key, parts, node, root, keys (all that `rows_of` has of the node) and words. A bucket's rows are cut into `parts` parts, and each two parts are compared in a tile of their own."""
+    tiles = rows_of.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    tiles = tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "keys", "words")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(tile: _Tile) -> pa.RecordBatch:
+            found = list(tile.links())
+            return pa.RecordBatch.from_arrays([pa.array([link[k] for link in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        last, tile = None, _Tile(0)
+        for batch in batches:
+            for key, i, j, *row, words in zip(*(c.to_pylist() for c in batch.columns[:-1]), _arrays(batch["words"]), strict=True):
+                if (key, i, j) != last:
+                    if len(tile.node) > 1:
+                        yield given(tile)
+                    last, tile = (key, i, j), _Tile(key)
+                tile.add(*row, words.copy())
+        if len(tile.node) > 1:
+            yield given(tile)
+
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(rows, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (one node of its component) for every node of `edges` (a, b).
 
@@ -279,48 +360,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = materialize(sketches.groupBy("sig").agg(F.min("rid").alias("node"), F.count("*").alias("rows"), by_id), "nodes")
     heads = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
     by_word = _prefixes(heads.where(F.col("n") <= PARTNER), "short").select(F.xxhash64(F.lit("prefix"), "item").alias("key"), "node")
-    buckets = heads.select(F.explode("keys").alias("key"), "node").unionByName(by_word)
-    shared = buckets.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(buckets.join(materialize(shared, "shared"), "key").select("key", "node", "leader", F.ceil(F.col("size") / CHUNK).alias("chunks")), "buckets")
+    dealt = heads.select(F.explode("keys").alias("key"), "node").unionByName(by_word).repartition("key")  # the one shuffle of all keys: both sides of the join read it
+    shared = dealt.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(dealt.hint("shuffle_hash").join(shared, "key").select("key", "node", "leader", "size"), "buckets")
     ids = broadcast_if_small(materialize(buckets.select("node").distinct(), "wanted-nodes"), 24)  # the words of all other texts need not be shuffled
     wanted = materialize(sketches.withColumnRenamed("rid", "node").join(ids, "node").select("node", "n", "words"), "wanted")
     words = wanted.select("node", "words")
 
-    def compare(pairs: DataFrame, name: str, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The pairs of `pairs` (head, node, chunks) that aren't in `tested` (low, high), as (low, high), and those that are linked, as (a, b)."""
-        pairs = pairs.withColumns({"low": F.least("head", "node"), "high": F.greatest("head", "node")})
-        pairs = pairs.groupBy("low", "high").agg(F.max(F.struct("chunks", F.col("head").alias("a"), F.col("node").alias("b"))).alias("pair"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["low", "high"], "left_anti")
-        pairs = materialize(pairs, f"{name}-pairs")
-        return pairs.select("low", "high"), materialize(_linked(pairs.select("pair.a", "pair.b", "pair.chunks"), words), f"{name}-links")
-
-    def ranked(roots: DataFrame, tested: DataFrame, links: DataFrame) -> DataFrame:
-        """node, root and rank: the share of links among a node's comparisons, lower where these are few."""
-
-        def ends(pairs: DataFrame, linked: int) -> DataFrame:
-            return pairs.toDF("a", "b").select(F.explode(F.array("a", "b")).alias("node"), F.lit(linked).alias("linked"))
-
-        both = ends(tested, 0).unionByName(ends(links, 1)).groupBy("node").agg(F.sum("linked").alias("linked"), F.count_if(F.col("linked") == 0).alias("tested"))
-        rank = (F.col("linked") + 1) / (F.col("tested") + 4)
-        return roots.join(both, "node", "left").select("node", "root", F.coalesce(rank, F.lit(0.0)).alias("rank"))
-
     def joined(roots: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-        """`roots` (node, root) with the components that `edges` connect as one."""
-        ends = edges.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        """`roots` (node, n, root) with the components that `edges` connect as one."""
+        ends = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         moved = components(ends).toDF("root", "to")
-        return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots")
-
-    tested, links = compare(buckets.where("node <> leader").select(F.col("leader").alias("head"), "node", "chunks"), "first")
-    roots = joined(wanted.select("node", F.col("node").alias("root")), links, "first")
-
-    for turn in range(1 + TURNS):
-        rank = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("rank")
-        now = materialize(buckets.join(ranked(roots, tested, links), "node").select("key", "node", "chunks", "root", rank.alias("rank")), f"round{turn}")
-        best = now.groupBy("key").agg(F.max(F.struct("rank", "node", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        best = materialize(best.select("key", F.col("top.node").alias("head"), F.col("top.root").alias("head_root")), f"heads{turn}")
-        more, edges = compare(now.join(best, "key").where(F.col("root") != F.col("head_root")).select("head", "node", "chunks"), f"round{turn}", tested)
-        tested, links, roots = tested.unionByName(more), links.unionByName(edges), joined(roots, edges, f"round{turn}")
+        return materialize(roots.join(moved, "root", "left").select("node", "n", F.coalesce("to", "root").alias("root")), f"{name}-roots")
+
+    pairs = buckets.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(F.ceil(F.col("size") / CHUNK)).alias("chunks"))
+    roots = joined(wanted.select("node", "n", F.col("node").alias("root")), materialize(_linked(pairs, words), "first-links"), "first")
+
+    # a leader was compared with all of its bucket; of the others, those in different classes may still be similar
+    rest = materialize(buckets.where("size > 2 and node <> leader").select("key", "node").join(roots, "node"), "rest")
+    parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_WORDS)).alias("parts")
+    mixed = rest.groupBy("key").agg(parts, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "parts")
+    rest = materialize(rest.join(materialize(mixed, "open"), "key").select("key", "parts", "node", "root"), "rest-open")
+    held = rest.groupBy("node").agg(F.collect_list("key").alias("keys")).join(words.hint("merge"), "node")
+    roots = joined(roots, materialize(_rest(rest.join(held.hint("merge"), "node")), "rest-links"), "rest")
 
     own = nodes.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "rows", "first")
     own = materialize(own, "node-roots")

@@ -231,6 +231,32 @@ def test_a_large_group_around_one_text(spark, tmp_path):
     assert len(found) - len(set(want)) <= 0.01 * len(rows)  # classes left apart that brute force joins
 
 
+def test_no_link_within_a_bucket_is_lost(spark, tmp_path, monkeypatch):
+    """All texts in one bucket, and in one of two more, in which pairs and chains are similar to each other but to no other text: the classes are those of all pairs."""
+
+    def few_keys(words):
+        return np.array([0, 1 + int(words[0]) % 2])
+
+    monkeypatch.setattr(order_minhash, "sketch", few_keys)
+    rnd = random.Random(31)
+    rows = []
+    for i in range(90):
+        words = prose(rnd, rnd.choice([45, 60, 300]))
+        rows.append(" ".join(words))
+        for _ in range(i % 4):
+            words = edited(rnd, words, 0.12)
+            rows.append(" ".join(words))
+    hashes = [order_minhash.word_hashes(t)[0] for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if order_minhash.similarity(hashes[i], hashes[j])]
+    want = classes_of(links, len(rows))
+    assert len(links) > 100 and len(set(want)) > 80
+    docs = table(spark, tmp_path, rows)
+    for tile in (order_minhash.TILE, 50):  # in one tile, and in several
+        monkeypatch.setattr(order_minhash, "TILE", tile)
+        got = {r["doc_id"]: r["class_id"] for r in rows_of(order_minhash.near_classes(docs))}
+        assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
 DATA = "/root/testdata/sf0.01"
 
 
