@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, broadcast_if_small, materialize, numbered, without_rows
+from graphloom.storage import delete, recorded
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text.
 KMER, LENGTH, SKETCHES = 2, 3, 30
@@ -358,7 +359,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketches = materialize(_sketches(source), "sketches")
     by_id = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first")
     nodes = materialize(sketches.groupBy("sig").agg(F.min("rid").alias("node"), F.count("*").alias("rows"), by_id), "nodes")
-    heads = sketches.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
+    heads = sketches.join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").withColumnRenamed("rid", "node")
     by_word = _prefixes(heads.where(F.col("n") <= PARTNER), "short").select(F.xxhash64(F.lit("prefix"), "item").alias("key"), "node")
     dealt = heads.select(F.explode("keys").alias("key"), "node").unionByName(by_word).repartition("key")  # the one shuffle of all keys: both sides of the join read it
     shared = dealt.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.count("*").alias("size")).where("size > 1")
@@ -394,7 +395,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each class."""
     rows, rid = numbered(docs)
-    return without_rows(rows, rid, near_classes(rows, id_col, text_col, rid).where("not kept"))
+    with recorded() as tables:
+        classes = near_classes(rows, id_col, text_col, rid)
+    kept = without_rows(rows, rid, classes.where("not kept"))  # writes the numbers of the dropped rows; nothing reads the classes after that
+    delete(docs.sparkSession, tables)
+    return kept
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +33,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that this application has written in the shared folder. Results read them, so only after these are written elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, [_own_folder(spark)])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables (or folders of them) that nothing reads any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_records: ContextVar[tuple[list[str], ...]] = ContextVar("records", default=())
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that `materialize` writes within the block."""
+    paths: list[str] = []
+    token = _records.set((*_records.get(), paths))
+    try:
+        yield paths
+    finally:
+        _records.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: cuts the lineage, and what a lost executor had is still there."""
     path = fresh_path(df.sparkSession, name)
+    for paths in _records.get():
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

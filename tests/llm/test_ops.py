@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import storage
 from graphloom.llm import bpe, chat, compression, decontaminate, exact_dedup, order_minhash, pii, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, score double, rid string, `_row0` int"
@@ -257,6 +258,17 @@ def test_no_link_within_a_bucket_is_lost(spark, tmp_path, monkeypatch):
         assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
 
 
+def test_near_dedup_leaves_only_what_its_result_reads(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = [" ".join(prose(rnd, 60)) for _ in range(20)]
+    texts += [" ".join(edited(rnd, t.split(), 0.05)) for t in texts[:5]] + texts[:3]
+    with storage.recorded() as tables:
+        kept = order_minhash.keep_one(table(spark, tmp_path, texts))
+    left = [t for t in tables if __import__("os").path.isdir(t.removeprefix("file://").removeprefix("file:"))]
+    assert len(tables) > 10 and sorted(t.rsplit("/", 1)[1].split("-")[0] for t in left) == ["dropped", "numbered"]
+    assert kept.count() == 20
+
+
 DATA = "/root/testdata/sf0.01"
 
 
