@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat, compression, decontaminate, exact_dedup, order_minhash, pii, sharding, toxicity
+from graphloom.llm import agenda, bpe, chat, compression, decontaminate, exact_dedup, fill_middle, merkle, order_minhash, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_sentencepiece": agenda.op13_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
