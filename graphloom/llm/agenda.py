@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding for vocabularies of the merge type, with a score-ordered agenda.
 
-A text's characters are symbols, linked to their neighbours. The agenda (a heap) holds each two adjacent symbols that together are a piece of the vocabulary, the highest score first and of equal scores
+A text's characters are symbols, linked to their neighbours. The agenda holds each two adjacent symbols that together are a piece of the vocabulary, the highest score first and of equal scores
 the leftmost. The first entry is merged if both its symbols are still as they were; then the pairs that the new symbol makes with its neighbours enter the agenda. What remains are the tokens; a character that
-is no piece becomes the pieces of its bytes.
+is no piece becomes the pieces of its bytes. The agenda is a heap; for a chunk of up to `SHORT` symbols, a list of their pairs' scores, in which finding the best costs less.
 
 A text is normalised as the vocabulary says (a space at the front, spaces as U+2581), then cut where no piece can reach across: before a run of spaces, as no piece holds a space after another character,
 and around line feeds, tabs and returns, if no longer piece holds them (both are checked when the vocabulary is loaded). Merges on either side of a cut don't affect each other, so a chunk is encoded once and
-kept in a bounded cache. In each Arrow batch the library encodes and decodes the same texts, and `agrees` says whether ids and decoded text are equal.
+kept in a bounded cache of two generations: when the newer one is full, it becomes the older, and chunks that occur again move on. In each Arrow batch the library encodes and decodes the same texts, and `agrees` says whether ids and decoded text are equal.
 
 The vocabulary's path is a parameter; each worker loads it once. Vocabularies of another type, with a character map, user-defined or unused pieces, or without byte pieces are refused.
 
@@ -19,9 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +30,18 @@ from sentencepiece import sentencepiece_model_pb2
 from graphloom.llm.common import bounded_batches
 
 SPACE = "▁"
-#: Rows that are encoded together; chunks after which the cache starts anew, and the most characters of a chunk that is kept.
-BLOCK_ROWS, CACHE_CHUNKS, CACHE_CHARS = 250, 150_000, 64
+#: Rows that are encoded together; chunks of a generation of the cache, and the most characters of a chunk that is kept.
+BLOCK_ROWS, CACHE_CHUNKS, CACHE_CHARS = 250, 200_000, 64
+#: The most symbols of a chunk whose agenda is a list.
+SHORT = 24
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 
 
+#: The order of a pair that is no piece.
+NEVER = float("inf")
+
+
 class AgendaBpe:
     """Encoder and decoder of one model file."""
 
@@ -66,11 +71,29 @@ class AgendaBpe:
         within = {c for p in self.order for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in within)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + f"|[{alone}]" * bool(alone))
-        #: The cache: a chunk's ids as text (each after a comma) and as bytes, and its decoded bytes.
-        self.known: dict[str, tuple[str, bytes, bytes]] = {}
+        #: What a piece gives: its id as text, after a comma, and its surface.
+        self.given = {p: (f",{i}", p.replace(SPACE, " ")) for p, i in self.ids.items()}
+        #: The cache, newer and older: what a chunk gives.
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def short_merge(self, chunk: str) -> list[str]:
+        """The pieces of a chunk, by an agenda that is a list with the score of each symbol and its right neighbour."""
+        order, symbols = self.order.get, list(chunk)
+        agenda = [order(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            piece = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = [piece]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = order(piece + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = order(symbols[i - 1] + piece, NEVER)
+        return symbols
 
     def merge(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, by the agenda."""
+        """The pieces of a chunk, by an agenda that is a heap."""
         order, symbols = self.order, list(chunk)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -96,40 +119,45 @@ class AgendaBpe:
                 heapq.heappush(agenda, (order[grown], h, i, grown))
         return [s for s in symbols if s]
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes, bytes]:
-        ids: list[int] = []
-        for piece in self.merge(chunk):
-            at = self.ids.get(piece)
-            if at is None:
-                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            else:
-                ids.append(at)
-        found = "".join(f",{i}" for i in ids), np.array(ids, np.int32).tobytes(), self._surface(ids)
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """A chunk's ids as decimal numbers, each after a comma, and what they stand for."""
+        found = self.older.get(chunk)
+        if found is None:
+            numbers, surface = [], []
+            for piece in self.short_merge(chunk) if len(chunk) <= SHORT else self.merge(chunk):
+                own = self.given.get(piece)
+                if own is None:
+                    data = piece.encode("utf-8", "surrogatepass")
+                    numbers += [f",{self.bytes[b]}" for b in data]
+                    surface.append(bytes(int(self.pieces[self.bytes[b]][3:-1], 16) for b in data).decode("utf-8", "surrogatepass"))
+                else:
+                    numbers.append(own[0])
+                    surface.append(own[1])
+            found = "".join(numbers), "".join(surface)
         if len(chunk) <= CACHE_CHARS:
             self.known[chunk] = found
         return found
 
-    def _surface(self, ids: Iterable[int]) -> bytes:
-        """The bytes that ids stand for, the space at the front included."""
-        return b"".join(bytes([int(self.pieces[i][3:-1], 16)]) if self.kinds[i] == BYTE else self.pieces[i].replace(SPACE, " ").encode("utf-8") for i in ids)
-
-    def encode_text(self, text: str | None) -> tuple[str, bytes, str]:
-        """The ids of a text as decimal numbers joined by commas and as 32-bit integers, and the decoded text."""
+    def encode_text(self, text: str | None) -> tuple[str, str]:
+        """The ids of a text as decimal numbers joined by commas, and the text that they decode to."""
         if not text:
-            return "", b"", ""
-        known, parts = self.known, []
-        for c in self.cut.findall(self.dummy + text.replace(" ", SPACE)):
-            parts.append(known.get(c) or self._chunk(c))
-        numbers, ids, surface = zip(*parts, strict=True)
-        decoded = b"".join(surface)
-        return "".join(numbers)[1:], b"".join(ids), (decoded[1:] if self.dummy else decoded).decode("utf-8", "surrogatepass")
+            return "", ""
+        chunks = self.cut.findall(self.dummy + text.replace(" ", SPACE))
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            found = [f or self.known.get(c) or self._chunk(c) for f, c in zip(found, chunks, strict=True)]
+        numbers, surface = zip(*found, strict=True)
+        return "".join(numbers)[1:], "".join(surface)[len(self.dummy) :]
 
     def trim(self) -> None:
         if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
+            self.known, self.older = {}, self.known
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_text(text)[1], np.int32).tolist()
+        return _numbers(self.encode_text(text)[0])
 
     def decode(self, ids: list[int]) -> str:
         """Any ids as text: control pieces give nothing, bytes that aren't UTF-8 one replacement character each, and one space at the front goes."""
@@ -197,23 +225,27 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 texts = batch["text"].to_pylist()
                 bpe.trim()
                 found = [bpe.encode_text(t) for t in texts]
-                columns = {"id": batch["id"], "n_tokens": pa.array([len(d) // 4 for _, d, _ in found], pa.int64()), "ids_sha256": pa.array([sha(s) for s, _, _ in found]), "decoded_sha256": pa.array([sha(t) for _, _, t in found])}
+                n = [ids.count(",") + 1 if ids else 0 for ids, _ in found]
+                columns = {"id": batch["id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array([sha(ids) for ids, _ in found]), "decoded_sha256": pa.array([sha(t) for _, t in found])}
                 if check:
-                    columns["agrees"] = pa.array([_same(bpe.library, t or "", d, s) for t, (_, d, s) in zip(texts, found, strict=True)], pa.bool_())
+                    columns["agrees"] = pa.array([_same(bpe.library, t or "", *own) for t, own in zip(texts, found, strict=True)], pa.bool_())
                 if with_ids:
-                    ends = np.cumsum([0, *(len(d) // 4 for _, d, _ in found)])
-                    flat = pa.array(np.frombuffer(b"".join(d for _, d, _ in found), np.int32))
-                    columns |= {"token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "decoded": pa.array([s for _, _, s in found], pa.string())}
+                    flat = [_numbers(ids) for ids, _ in found]
+                    columns |= {"token_ids": pa.array(flat, pa.list_(pa.int32())), "decoded": pa.array([t for _, t in found], pa.string())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-        bpe.known = {}  # workers live on, with other tasks to do
+        bpe.forget()  # workers live on, with other tasks to do
 
     schema = f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", agrees boolean" * check + ", token_ids array<int>, decoded string" * with_ids
     return source.mapInArrow(rows, schema).withColumnRenamed("id", id_col)
 
 
-def _same(library: sentencepiece.SentencePieceProcessor, text: str, ids: bytes, decoded: str) -> bool:
+def _numbers(ids: str) -> list[int]:
+    return list(map(int, ids.split(","))) if ids else []
+
+
+def _same(library: sentencepiece.SentencePieceProcessor, text: str, ids: str, decoded: str) -> bool:
     theirs = library.encode(text)
-    return np.array(theirs, np.int32).tobytes() == ids and library.decode(theirs) == decoded
+    return ",".join(map(str, theirs)) == ids and library.decode(theirs) == decoded
 
 
 def vocabulary() -> str:

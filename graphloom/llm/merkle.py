@@ -113,7 +113,7 @@ def manifest(docs: DataFrame, tampered: Callable[[Column], Column] | None = None
     subroots = above.select("grp", "subroot").distinct()
     placed = ranked(subroots.select(F.col("grp").alias("of"), F.lit("").alias("grp"), F.col("subroot").alias("digest")), "grp", ["of"], "subroots-ranked")
     tops, over = trees(placed, "root")
-    up = tops.join(over.select("blk", F.col("subroot").alias("root"), F.col("path").alias("rest")), "blk").select(F.col("of").alias("grp"), "root", F.concat("path", "rest").alias("last"))
+    up = tops.join(over.select("grp", "blk", F.col("subroot").alias("root"), F.col("path").alias("rest")), ["grp", "blk"]).select(F.col("of").alias("grp"), "root", F.concat("path", "rest").alias("last"))
     above = materialize(above.join(up, "grp").select("grp", "blk", "subroot", "root", F.concat("path", "last").alias("rest")), "above-blocks")
 
     width = 64 * 2 * 24  # a path of 24 levels

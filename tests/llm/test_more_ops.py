@@ -204,7 +204,7 @@ def test_cache_is_bounded(spark, tmp_path, monkeypatch, piece):
         own.trim()
         text = f"word{k} other{k} " + "y" * 500
         assert own.encode(text) == piece.library.encode(text)
-        assert len(own.known) <= 10 + 10 and all(len(c) <= agenda.CACHE_CHARS for c in own.known)
+        assert len(own.known) + len(own.older) <= 40 and all(len(c) <= agenda.CACHE_CHARS for c in own.known)
 
 
 def test_other_vocabularies_are_refused(tmp_path):
