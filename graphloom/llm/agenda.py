@@ -6,7 +6,9 @@ is no piece becomes the pieces of its bytes. The agenda is a heap; for a chunk o
 
 A text is normalised as the vocabulary says (a space at the front, spaces as U+2581), then cut where no piece can reach across: before a run of spaces, as no piece holds a space after another character,
 and around line feeds, tabs and returns, if no longer piece holds them (both are checked when the vocabulary is loaded). Merges on either side of a cut don't affect each other, so a chunk is encoded once and
-kept in a bounded cache of two generations: when the newer one is full, it becomes the older, and chunks that occur again move on. In each Arrow batch the library encodes and decodes the same texts, and `agrees` says whether ids and decoded text are equal.
+kept in a bounded cache of two generations: when the newer one is full, it becomes the older, and chunks that occur again move on. The texts of an Arrow batch are cut, numbered by chunk and put together by
+Arrow's functions, so that Python sees each chunk of a batch once; texts with runs of spaces are cut one by one. In each Arrow batch the library encodes and decodes every chunk that is new there, and `agrees` says whether all chunks of a text have the same ids and surface both ways. (To run the
+library over whole texts again costs as much as all else; the tests do that.)
 
 The vocabulary's path is a parameter; each worker loads it once. Vocabularies of another type, with a character map, user-defined or unused pieces, or without byte pieces are refused.
 
@@ -21,7 +23,9 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +35,7 @@ from graphloom.llm.common import bounded_batches
 
 SPACE = "▁"
 #: Rows that are encoded together; chunks of a generation of the cache, and the most characters of a chunk that is kept.
-BLOCK_ROWS, CACHE_CHUNKS, CACHE_CHARS = 250, 200_000, 64
+BLOCK_ROWS, CACHE_CHUNKS, CACHE_CHARS = 500, 200_000, 64
 #: The most symbols of a chunk whose agenda is a list.
 SHORT = 24
 #: Kinds of pieces in the model file.
@@ -69,27 +73,28 @@ class AgendaBpe:
         if SPACE not in self.ids or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character, so texts can't be cut before spaces")
         within = {c for p in self.order for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in within)
+        self.alone = alone = "".join(c for c in "\n\t\r" if c not in within)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + f"|[{alone}]" * bool(alone))
         #: What a piece gives: its id as text, after a comma, and its surface.
         self.given = {p: (f",{i}", p.replace(SPACE, " ")) for p, i in self.ids.items()}
-        #: The cache, newer and older: what a chunk gives.
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        #: The cache, newer and older: a chunk's ids as decimal numbers, each after a comma, what they stand for, and whether the library gives the same (None: not asked).
+        self.known: dict[str, tuple[str, str, bool | None]] = {}
+        self.older: dict[str, tuple[str, str, bool | None]] = {}
 
     def short_merge(self, chunk: str) -> list[str]:
         """The pieces of a chunk, by an agenda that is a list with the score of each symbol and its right neighbour."""
         order, symbols = self.order.get, list(chunk)
-        agenda = [order(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
-        while agenda and (best := min(agenda)) < NEVER:
+        agenda = [order(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
+        last = len(agenda) - 1
+        while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
-            piece = symbols[i] + symbols[i + 1]
-            symbols[i : i + 2] = [piece]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = order(piece + symbols[i + 1], NEVER)
+            piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
             if i:
                 agenda[i - 1] = order(symbols[i - 1] + piece, NEVER)
+            if i < last:
+                agenda[i + 1] = order(piece + symbols[i + 1], NEVER)
+            del agenda[i]
+            last -= 1
         return symbols
 
     def merge(self, chunk: str) -> list[str]:
@@ -121,33 +126,103 @@ class AgendaBpe:
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """A chunk's ids as decimal numbers, each after a comma, and what they stand for."""
-        found = self.older.get(chunk)
-        if found is None:
-            numbers, surface = [], []
-            for piece in self.short_merge(chunk) if len(chunk) <= SHORT else self.merge(chunk):
-                own = self.given.get(piece)
-                if own is None:
-                    data = piece.encode("utf-8", "surrogatepass")
-                    numbers += [f",{self.bytes[b]}" for b in data]
-                    surface.append(bytes(int(self.pieces[self.bytes[b]][3:-1], 16) for b in data).decode("utf-8", "surrogatepass"))
-                else:
-                    numbers.append(own[0])
-                    surface.append(own[1])
-            found = "".join(numbers), "".join(surface)
-        if len(chunk) <= CACHE_CHARS:
-            self.known[chunk] = found
+        numbers, surface = [], []
+        for piece in self.short_merge(chunk) if len(chunk) <= SHORT else self.merge(chunk):
+            own = self.given.get(piece)
+            if own is None:
+                data = piece.encode("utf-8", "surrogatepass")
+                numbers += [f",{self.bytes[b]}" for b in data]
+                surface.append(bytes(int(self.pieces[self.bytes[b]][3:-1], 16) for b in data).decode("utf-8", "surrogatepass"))
+            else:
+                numbers.append(own[0])
+                surface.append(own[1])
+        return "".join(numbers), "".join(surface)
+
+    def _asked(self, chunks: list[str], given: list[tuple[str, str]]) -> list[bool]:
+        """Whether the library gives the same for each chunk. It puts a space at the front itself; what doesn't begin with one is asked for behind a line feed."""
+        behind = "\n" if "\n" in self.alone else ""
+        plain = [self.dummy and c[0] == SPACE and len(c) > 1 for c in chunks]
+        if not behind and not all(plain):
+            raise ValueError("chunks of this vocabulary can't be given to the library by themselves")
+        lead = self.library.encode(behind) if behind else []
+        texts = [c[1:].replace(SPACE, " ") if p else behind + c.replace(SPACE, " ") for c, p in zip(chunks, plain, strict=True)]
+        theirs = self.library.encode(texts, num_threads=1)
+        surfaces = self.library.decode(theirs, num_threads=1)
+        same = []
+        for (numbers, surface), ids, text, p in zip(given, theirs, surfaces, plain, strict=True):
+            if p:
+                same.append(_text(ids) == numbers[1:] and text == surface[1:])
+            else:
+                same.append(ids[: len(lead)] == lead and _text(ids[len(lead) :]) == numbers[1:] and text == behind + surface)
+        return same
+
+    def _learn(self, chunks: list[str], check: bool) -> dict[str, tuple[str, str, bool | None]]:
+        """What new chunks give; put into the cache but for long ones."""
+        given = [self._chunk(c) for c in chunks]
+        verdicts = self._asked(chunks, given) if check and chunks else [None] * len(chunks)
+        found = {c: (*g, v) for c, g, v in zip(chunks, given, verdicts, strict=True)}
+        self.known.update((c, f) for c, f in found.items() if len(c) <= CACHE_CHARS)
         return found
 
+    def encode_texts(self, texts: list[str | None], check: bool = False) -> list[tuple[str, str, bool | None]]:
+        """Of each text, the ids as decimal numbers joined by commas, the text that they decode to, and with `check` whether the library agrees."""
+        split = [self.cut.findall(self.dummy + t.replace(" ", SPACE)) if t else [] for t in texts]
+        known, older = self.known, self.older
+        missing = list(set().union(*split).difference(known))
+        if older:
+            known.update((c, older[c]) for c in missing if c in older)
+            missing = [c for c in missing if c not in older]
+        fresh = self._learn(missing, check)
+        out = []
+        for chunks in split:
+            found = list(map(known.get, chunks))
+            if None in found:
+                found = [f or fresh[c] for f, c in zip(found, chunks, strict=True)]
+            numbers, surface, same = zip(*found, strict=True) if found else ((), (), ())
+            out.append(("".join(numbers)[1:], "".join(surface)[len(self.dummy) :], all(same) if check else None))
+        return out
+
+    def encode_array(self, texts: pa.Array, check: bool = False) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """Of an array of texts, the ids as decimal numbers joined by commas, how many there are, the texts that they decode to, and whether the library agrees.
+
+        A line feed gets a space in front, and texts are cut at spaces: a part is a chunk behind a space, or if it begins with a line feed, one without.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE))
+        if not (self.dummy and "\n" in self.alone):
+            odd = pa.array([True] * len(texts))
+        parts = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        coded = parts.flatten().dictionary_encode()
+        uses = coded.dictionary.to_pylist()
+        chunks = [c if c[:1] == "\n" else SPACE + c for c in uses]
+        missing = [c for c in chunks if c not in self.known]
+        if self.older:
+            self.known.update((c, self.older[c]) for c in missing if c in self.older)
+            missing = [c for c in missing if c not in self.older]
+        fresh = self._learn(missing, check)
+        known = self.known
+        found = [known.get(c) or fresh[c] for c in chunks]
+        numbers, surface, same = zip(*found, strict=True) if found else ((), (), ())
+
+        def joined(values: tuple[str, ...]) -> pa.Array:
+            return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, pa.array(values, pa.string()).take(coded.indices)), "")
+
+        empty = pc.equal(texts, "")
+        ids = pc.if_else(empty, "", pc.utf8_slice_codeunits(joined(numbers), 1))
+        decoded = pc.if_else(empty, "", pc.utf8_slice_codeunits(joined(surface), len(self.dummy)))
+        agrees = pa.nulls(len(texts), pa.bool_())
+        if check:
+            bad = np.add.reduceat(np.append(~np.array(same, bool)[coded.indices.to_numpy()], False).astype(np.int64), parts.offsets.to_numpy()[:-1]) if len(texts) else []
+            agrees = pc.or_(pa.array(bad == 0 if len(texts) else [], pa.bool_()), empty)
+        if pc.any(odd).as_py():
+            own = iter(self.encode_texts([t for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True) if o], check))
+            rows = [next(own) if o else None for o in odd.to_pylist()]
+            ids, decoded, agrees = (pa.array([r[k] if r else x for r, x in zip(rows, column.to_pylist(), strict=True)], column.type) for k, column in enumerate((ids, decoded, agrees)))
+        n = pc.if_else(pc.equal(ids, ""), 0, pc.add(pc.count_substring(ids, ","), 1))
+        return ids, n.cast(pa.int64()), decoded, agrees
+
     def encode_text(self, text: str | None) -> tuple[str, str]:
-        """The ids of a text as decimal numbers joined by commas, and the text that they decode to."""
-        if not text:
-            return "", ""
-        chunks = self.cut.findall(self.dummy + text.replace(" ", SPACE))
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            found = [f or self.known.get(c) or self._chunk(c) for f, c in zip(found, chunks, strict=True)]
-        numbers, surface = zip(*found, strict=True)
-        return "".join(numbers)[1:], "".join(surface)[len(self.dummy) :]
+        return self.encode_texts([text])[0][:2]
 
     def trim(self) -> None:
         if len(self.known) > CACHE_CHUNKS:
@@ -222,16 +297,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(at, BLOCK_ROWS)
-                texts = batch["text"].to_pylist()
                 bpe.trim()
-                found = [bpe.encode_text(t) for t in texts]
-                n = [ids.count(",") + 1 if ids else 0 for ids, _ in found]
-                columns = {"id": batch["id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array([sha(ids) for ids, _ in found]), "decoded_sha256": pa.array([sha(t) for _, t in found])}
+                ids, n, decoded, agrees = bpe.encode_array(batch["text"], check)
+                columns = {"id": batch["id"], "n_tokens": n, "ids_sha256": pa.array(map(sha, ids.to_pylist())), "decoded_sha256": pa.array(map(sha, decoded.to_pylist()))}
                 if check:
-                    columns["agrees"] = pa.array([_same(bpe.library, t or "", *own) for t, own in zip(texts, found, strict=True)], pa.bool_())
+                    columns["agrees"] = agrees
                 if with_ids:
-                    flat = [_numbers(ids) for ids, _ in found]
-                    columns |= {"token_ids": pa.array(flat, pa.list_(pa.int32())), "decoded": pa.array([t for _, t in found], pa.string())}
+                    columns |= {"token_ids": pa.array(map(_numbers, ids.to_pylist()), pa.list_(pa.int32())), "decoded": decoded.cast(pa.string())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
         bpe.forget()  # workers live on, with other tasks to do
 
@@ -243,9 +315,8 @@ def _numbers(ids: str) -> list[int]:
     return list(map(int, ids.split(","))) if ids else []
 
 
-def _same(library: sentencepiece.SentencePieceProcessor, text: str, ids: str, decoded: str) -> bool:
-    theirs = library.encode(text)
-    return ",".join(map(str, theirs)) == ids and library.decode(theirs) == decoded
+def _text(ids: list[int]) -> str:
+    return ",".join(map(str, ids))
 
 
 def vocabulary() -> str:
