@@ -51,7 +51,7 @@ def main() -> None:
         "q2_star": lambda: C.count_struts(C.triangles(g)),
         "q3_four_clique": lambda: C.cliques(g, 4),
         "q3_count": lambda: C.count_cliques(g, 4),
-        "q5_fan": lambda: C.count_fans(C.triangles(g)),
+        "q5_fan": lambda: C.count_fans(C.triangles(g), C.cliques(g, 4)),
         "q6_star": lambda: C.count_hats(g),
         "q7_five_clique": lambda: C.cliques(g, 5),
         "diamonds": lambda: C.diamonds(g),

@@ -42,9 +42,25 @@ def held_edges(log: DataFrame) -> DataFrame:
     return net_changes(log).groupBy("src", "dst").agg(F.max_by("w", "t").alias("w")).where("w > 0").select("src", "dst")
 
 
+def turns(log: DataFrame) -> DataFrame:
+    """(src, dst, t, now, until): each epoch in which an edge appears (now) or goes, and the epoch of its next turn. Both `changes_of` and `held_in` follow from it without another shuffle."""
+    edge = Window.partitionBy("src", "dst").orderBy("t")
+    return history(log).where("before <> now").select("src", "dst", "t", "now", F.coalesce(F.lead("t").over(edge), F.lit(FOREVER)).alias("until"))
+
+
+def changes_of(turned: DataFrame) -> DataFrame:
+    """(src, dst, t, w): w is 1 where an edge appears and -1 where it goes."""
+    return turned.select("src", "dst", "t", F.when(F.col("now"), 1).otherwise(-1).alias("w"))
+
+
+def held_in(turned: DataFrame) -> DataFrame:
+    """(src, dst, since, until): the edge is present at epochs since <= t < until."""
+    return turned.where("now").select("src", "dst", F.col("t").alias("since"), "until")
+
+
 def effective_changes(log: DataFrame) -> DataFrame:
     """(src, dst, t, w): w is 1 where an edge appears and -1 where it goes."""
-    return history(log).where("before <> now").select("src", "dst", "t", F.when(F.col("now"), 1).otherwise(-1).alias("w"))
+    return changes_of(history(log).where("before <> now"))
 
 
 def undirected(log: DataFrame) -> DataFrame:
@@ -57,9 +73,7 @@ def undirected(log: DataFrame) -> DataFrame:
 
 def intervals(log: DataFrame) -> DataFrame:
     """(src, dst, since, until): the edge is present at epochs since <= t < until."""
-    edge = Window.partitionBy("src", "dst").orderBy("t")
-    turns = history(log).where("before <> now").withColumn("until", F.coalesce(F.lead("t").over(edge), F.lit(FOREVER)))
-    return turns.where("now").select("src", "dst", F.col("t").alias("since"), "until")
+    return held_in(turns(log))
 
 
 class VersionedEdges:

@@ -1,6 +1,6 @@
 """Patterns (motifs) and their attribute-at-a-time plans; plain Python, nothing here touches Spark.
 
-A motif is a list of directed edges over attributes 0, 1, ... Its matches are homomorphisms: attributes may take equal values.
+A motif is a list of directed edges over attributes 0, 1, ... Its matches are homomorphisms: attributes may take equal values. Each edge reads a relation that it names; by default all read one, `EDGES`.
 """
 
 from __future__ import annotations
@@ -9,6 +9,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 
+#: The relation that edges without a name read.
+EDGES = "edges"
+
+
 class MotifError(ValueError):
     """The description can't be planned."""
 
@@ -20,6 +24,7 @@ class Constraint:
     bound: int  #: the attribute that is already bound
     forward: bool  #: the bound attribute is the source
     prior: bool  #: the relation comes before the one the plan starts from, so it is read as of now, else as of before
+    relation: str = EDGES
 
 
 @dataclass(frozen=True)
@@ -28,8 +33,9 @@ class Plan:
 
     start: int  #: the relation whose rows, or changes, the plan starts from
     order: tuple[int, ...]  #: attributes in the order they are bound
-    within: tuple[tuple[int, int, bool], ...]  #: other relations between the two first attributes: source, target, prior
+    within: tuple[tuple[int, int, bool], ...]  #: other edges between the two first attributes: source, target, prior
     steps: tuple[tuple[Constraint, ...], ...]  #: constraints on each attribute that is added
+    within_names: tuple[str, ...] = ()  #: the relations of the edges of `within`
 
     def relabelled(self) -> list[list[tuple[int, bool, bool]]]:
         """The steps with attributes numbered by their place in the order."""
@@ -40,8 +46,12 @@ class Plan:
 @dataclass(frozen=True)
 class Motif:
     edges: tuple[tuple[int, int], ...]
+    names: tuple[str, ...] = ()  #: the relation of each edge
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "names", self.names or (EDGES,) * len(self.edges))
+        if len(self.names) != len(self.edges):
+            raise MotifError("each edge needs the name of its relation")
         used = {a for e in self.edges for a in e}
         if not self.edges:
             raise MotifError("a motif needs an edge")
@@ -53,8 +63,9 @@ class Motif:
             raise MotifError("the motif isn't connected")
 
     @classmethod
-    def of(cls, *edges: tuple[int, int]) -> Motif:
-        return cls(tuple((int(a), int(b)) for a, b in edges))
+    def of(cls, *edges: tuple[int, int] | tuple[int, int, str]) -> Motif:
+        """From (source, target) or (source, target, relation) for each edge."""
+        return cls(tuple((int(e[0]), int(e[1])) for e in edges), tuple(e[2] if len(e) > 2 else EDGES for e in edges))
 
     @classmethod
     def parse(cls, description: str | list[str]) -> Motif:
@@ -85,6 +96,11 @@ class Motif:
     def columns(self) -> list[str]:
         return [f"x{a}" for a in range(self.width)]
 
+    @property
+    def relations(self) -> list[str]:
+        """The names of all relations, in the order of the edges."""
+        return list(dict.fromkeys(self.names))
+
     def _order(self, start: int) -> list[int]:
         """The start's two attributes, then each time the one with the most edges to those before it (ties: the least); attributes that can't be reached are left out."""
         order = list(self.edges[start])
@@ -109,13 +125,14 @@ class Motif:
         order = self._order(start)
         place = {a: i for i, a in enumerate(order)}
         steps: dict[int, list[Constraint]] = {a: [] for a in order[2:]}
-        within = []
+        within, names = [], []
         for i, (src, dst) in enumerate(self.edges):
             if i == start or src not in place or dst not in place:
                 continue
             late = max(src, dst, key=place.__getitem__)
             if place[late] < 2:
                 within.append((src, dst, i < start))
+                names.append(self.names[i])
             else:
-                steps[late].append(Constraint(src if late == dst else dst, late == dst, i < start))
-        return Plan(start, tuple(order), tuple(within), tuple(tuple(steps[a]) for a in order[2:]))
+                steps[late].append(Constraint(src if late == dst else dst, late == dst, i < start, self.names[i]))
+        return Plan(start, tuple(order), tuple(within), tuple(tuple(steps[a]) for a in order[2:]), tuple(names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,13 +10,17 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import part_name, total
 from graphloom.operators import cliques as C
+from graphloom.operators.counting import count_matches
 from graphloom.operators.graph import Graph
 from graphloom.operators.join import Extender, Index, extend, nominate
 from graphloom.operators.match import epoch_counts, match, raw_changes, running_total, track, track_cliques_by_triangles
+from graphloom.operators.parts import track_in_parts
+from graphloom.operators.shares import match_by_shares
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
-from graphloom.plans.pattern import Motif
+from graphloom.plans.pattern import EDGES, Motif
 from graphloom.sources.edges import edge_parts, edge_text, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, shuffled_batches, transitions, update_batches, write_csr
 from graphloom.storage import fresh_path, materialize
+from graphloom.streaming.epochs import EpochStream
 from graphloom.streaming.runner import MotifStream
 
 FIRST_EPOCH, EPOCHS = 5, 10
@@ -33,10 +38,15 @@ def click_graph(spark: SparkSession, sf_dir: str, only: str | None = "click") ->
     return Graph(materialize(graph.edges, "click-graph"))  # every join of a query reads it
 
 
-def edge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, t, w): each transition enters at its tenth of the clicks; some leave two epochs later."""
-    clicks = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").select("user_id", "ts", "event_id")
+def edge_log(spark: SparkSession, sf_dir: str, kind: str = "click", folded: bool = False) -> DataFrame:
+    """(src, dst, t, w): each transition between events of one type enters at its tenth of these events; some leave two epochs later.
+
+    `folded` takes users by their remainder, for fewer nodes and a denser graph: with n events n ** 0.625 nodes or so, among which large cliques neither vanish nor explode as n grows.
+    """
+    clicks = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
     n = clicks.count()
+    if folded:
+        clicks = clicks.withColumn("user_id", F.col("user_id") % max(1, math.ceil((n / 1.85) ** 0.625)))
     hour = F.date_trunc("hour", "ts")
     # the number of each click: those in earlier hours, and its place within the hour
     hours = clicks.groupBy(hour.alias("bucket")).agg(F.count("*").alias("k"))
@@ -66,11 +76,25 @@ def _count(df: DataFrame) -> DataFrame:
 
 TRIANGLE, CYCLE3, K4, K5, K6 = Motif.clique(3), Motif.cycle(3), Motif.clique(4), Motif.clique(5), Motif.clique(6)
 PATH3, SYMMETRIC = Motif.of((0, 1), (1, 2)), Motif.of((0, 1), (1, 0), (1, 2))
+PATH4, LOLLIPOP = Motif.of((0, 1), (1, 2), (2, 3), (3, 4)), Motif.of((0, 1), (0, 2), (1, 2), (2, 3), (3, 4))
+SYMMETRIC3, SYMMETRIC4 = (Motif(tuple((a, b) for a in range(k) for b in range(k) if a != b)) for k in (3, 4))
+#: Queries about the graph of clicks: an edge of the relation `asked`, closed by two edges of `edges`.
+TWO_RELATIONS = Motif.of((0, 1, "asked"), (0, 2), (1, 2))
+#: What the second relation of the catalogue holds, and how the edges of a stream of queries are dealt: so many hundredths are there at the outset, the others come in so many epochs.
+ASKED, HELD_PERCENT, QUERY_EPOCHS = "view", 60, 6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     g, log = click_graph, edge_log
 
+    def folded(spark: SparkSession, d: str) -> DataFrame:
+        return materialize(edge_log(spark, d, folded=True), "log")
+
+    def mutual(spark: SparkSession, d: str) -> DataFrame:
+        """The folded log, a third of its edges both ways."""
+        rows = folded(spark, d)
+        return rows.unionByName(rows.where((F.col("src") + F.col("dst")) % 3 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "t", "w"))
+
     def motif(m: Motif, strategy: str = "generic") -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, d: match(m, g(spark, d).edges, strategy=strategy)
 
@@ -83,6 +107,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         log = held.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(node_batches(rest, 10))
         return epoch_counts(track(TRIANGLE, log, 1))
 
+    def fans(spark: SparkSession, d: str) -> DataFrame:
+        graph = g(spark, d)
+        return C.count_fans(C.triangles(graph), C.cliques(graph, 4))
+
     def separate_load(spark: SparkSession, d: str) -> DataFrame:
         """Triangles with the two directions of the index built from tables of their own."""
         edges = g(spark, d).edges
@@ -173,6 +201,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream = streamed_log(spark, repeated_log(spark, d), range(REPEATED_EPOCHS), None)
         return stream.changes().select("x0", "x1", "x2", "w", F.col("t").cast("int").alias("t"))
 
+    def streamed_epochs(spark: SparkSession, d: str) -> DataFrame:
+        """The same changes with their epochs in the rows, out of order: each file has rows of three epochs from one of two senders, whose marks come later and complete several epochs at once."""
+        rows = materialize(log(spark, d), "log")
+        stream = EpochStream(spark, TRIANGLE, fresh_path(spark, "epochs"), VersionedEdges(rows).as_of(FIRST_EPOCH - 1), senders=("even", "odd"), buckets=4)
+        early = F.greatest(F.lit(0), F.col("t") - FIRST_EPOCH - F.pmod(F.col("dst"), F.lit(3)))  # a row comes up to two files before its epoch is over
+        later = materialize(rows.where(F.col("t") >= FIRST_EPOCH).withColumn("file", early.cast("int")), "dealt")
+        sessions = {name: stream.session(name) for name in stream.senders}
+        for file in range(EPOCHS - FIRST_EPOCH):
+            for odd, session in enumerate(sessions.values()):
+                for t in range(EPOCHS - 1, FIRST_EPOCH - 1, -1):
+                    if t >= FIRST_EPOCH + file and file + 2 >= t - FIRST_EPOCH:
+                        session.send(later.where((F.col("t") == t) & (F.col("file") == file) & (F.pmod("src", F.lit(2)) == odd)).select("src", "dst", "w"), t)
+                # the odd sender says what it has done only after every other file
+                session.advance_to(FIRST_EPOCH + file + 1 if not odd or file % 2 else session.time)
+            if file == EPOCHS - FIRST_EPOCH - 1:
+                for session in sessions.values():
+                    session.close()
+            query = stream.start()
+            query.processAllAvailable()
+            query.stop()
+        return stream.changes()
+
+    def two_relations(spark: SparkSession, d: str) -> DataFrame:
+        """Triangles whose first edge is in a relation of its own, both relations with logs of their own."""
+        return track(TWO_RELATIONS, {EDGES: log(spark, d), "asked": edge_log(spark, d, ASKED)}, FIRST_EPOCH)
+
+    def query_stream(spark: SparkSession, d: str) -> DataFrame:
+        """5-cliques over an index of the graph and the queries together, followed for the queries alone: six tenths of the edges are the graph, the others are asked for in six epochs."""
+        edges = folded(spark, d).where("w = 1").select("src", "dst")
+        spread = (F.col("src") * 7919 + F.col("dst") * 104729) % 100
+        held = edges.where(spread < HELD_PERCENT).select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w"))
+        asked = edges.where(spread >= HELD_PERCENT).select("src", "dst", (1 + spread % QUERY_EPOCHS).cast("int").alias("t"), F.lit(1).alias("w"))
+        return track(K5, held.unionByName(asked), driven_by={EDGES: asked})
+
     def merged_track(spark: SparkSession, d: str) -> DataFrame:
         return track(TRIANGLE, VersionedEdges(repeated_log(spark, d)).merge_to(3).log, 4)
 
@@ -187,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shuffled_k5": shuffled(K5, 400),
         "streaming_triangle": streamed,
         "streaming_repeated": streamed_repeated,
+        "streaming_epochs": streamed_epochs,
         "q0_triangle": lambda s, d: C.triangles(g(s, d)),
         "q1_four_cycle": lambda s, d: C.four_cycles(g(s, d)),
         "q2_strut": lambda s, d: C.struts(C.triangles(g(s, d))),
@@ -194,7 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q3_four_clique": lambda s, d: C.cliques(g(s, d), 4),
         "q3_count": lambda s, d: C.count_cliques(g(s, d), 4),
         "q3_seeded": lambda s, d: C.cliques_from_triangles(C.triangles(g(s, d)), 4),
-        "q5_fan": lambda s, d: C.count_fans(C.triangles(g(s, d))),
+        "q5_fan": fans,
         "q6_hat": lambda s, d: C.hats(g(s, d)),
         "q6_star": lambda s, d: C.count_hats(g(s, d)),
         "q6_alt": lambda s, d: C.count_hats_by_common(g(s, d)),
@@ -213,6 +276,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "motif_k4": motif(K4),
         "motif_path3": lambda s, d: _count(match(PATH3, g(s, d).edges)),
         "motif_symmetric": motif(SYMMETRIC),
+        "count_motif_path4": lambda s, d: count_matches(PATH4, g(s, d).edges),
+        "count_motif_lollipop": lambda s, d: count_matches(LOLLIPOP, g(s, d).edges),
+        "shares_triangle": lambda s, d: match_by_shares(TRIANGLE, g(s, d).edges),
+        "shares_k4": lambda s, d: match_by_shares(K4, g(s, d).edges),
         "k5_motif": motif(K5),
         "k6_motif": motif(K6),
         "motif_separate_load": separate_load,
@@ -220,9 +287,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triangles_preload_stream": preload_stream,
         "delta_triangle": delta(TRIANGLE),
         "delta_cycle3": delta(CYCLE3),
-        "delta_k4": delta(K4),
+        "delta_k4": lambda s, d: track(K4, log(s, d), FIRST_EPOCH, copartition=True),
         "delta_seed_k4": lambda s, d: track_cliques_by_triangles(log(s, d), FIRST_EPOCH),
         "delta_k5": delta(K5),
+        "delta_k6": lambda s, d: track_in_parts(K6, folded(s, d), fresh_path(s, "parts"), FIRST_EPOCH),
+        "delta_symmetric_triangle": lambda s, d: track(SYMMETRIC3, mutual(s, d)),
+        "delta_symmetric_k4": lambda s, d: track(SYMMETRIC4, mutual(s, d)),
+        "delta_two_relations": two_relations,
+        "query_stream_k5": query_stream,
         "delta_epoch_counts": lambda s, d: epoch_counts(track(TRIANGLE, log(s, d), FIRST_EPOCH)),
         "delta_raw_counts": lambda s, d: raw_changes(TRIANGLE, log(s, d), FIRST_EPOCH).groupBy("t").agg(F.count("*").alias("n_raw"), total("w").alias("net")),
         "delta_running_total": lambda s, d: running_total(epoch_counts(track(TRIANGLE, log(s, d)))),
@@ -259,14 +331,24 @@ k4 AS (SELECT p.a, p.b, p.c, q.c AS d FROM tri p JOIN tri q ON p.a = q.a AND p.b
 sup AS (SELECT f.s, f.d, x.b AS v FROM f JOIN u x ON x.a = f.s JOIN u y ON y.a = f.d AND y.b = x.b),
 k AS (SELECT s, d, count(*) AS n FROM sup GROUP BY s, d)"""
 
-_LOG = f"""tr AS (
-  SELECT row_number() OVER (ORDER BY ts, event_id) AS rn, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'click'),
-ins AS (SELECT src, dst, CAST((min(rn) - 1) * {EPOCHS} // (SELECT count(*) FROM tr) AS INT) AS t FROM tr WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
-log AS (SELECT src, dst, t, 1 AS w FROM ins UNION ALL SELECT src, dst, t + 2, -1 FROM ins WHERE (src * 31 + dst) % 7 = 0 AND t + 2 <= {EPOCHS - 1}),
-ep AS (SELECT CAST(range AS INT) AS t FROM range(0, {EPOCHS})),
-snap AS (SELECT ep.t, src, dst FROM ep JOIN log ON log.t <= ep.t GROUP BY ep.t, src, dst HAVING sum(w) > 0)"""
+def _log_sql(kind: str = "click", mark: str = "", user: str = "user_id") -> str:
+    """The log of one event type and its snapshots, under names with a mark."""
+    return f"""tr{mark} AS (
+  SELECT row_number() OVER (ORDER BY ts, event_id) AS rn, {user} AS src, lead({user}) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = '{kind}'),
+ins{mark} AS (SELECT src, dst, CAST((min(rn) - 1) * {EPOCHS} // (SELECT count(*) FROM tr{mark}) AS INT) AS t FROM tr{mark} WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
+log{mark} AS (SELECT src, dst, t, 1 AS w FROM ins{mark} UNION ALL SELECT src, dst, t + 2, -1 FROM ins{mark} WHERE (src * 31 + dst) % 7 = 0 AND t + 2 <= {EPOCHS - 1}),
+ep{mark} AS (SELECT CAST(range AS INT) AS t FROM range(0, {EPOCHS})),
+snap{mark} AS (SELECT ep{mark}.t, src, dst FROM ep{mark} JOIN log{mark} ON log{mark}.t <= ep{mark}.t GROUP BY ep{mark}.t, src, dst HAVING sum(w) > 0)"""
+
+
+_LOG = _log_sql()
+_FOLDED = _log_sql(user="user_id % (SELECT CAST(ceil(pow(count(*) / 1.85, 0.625)) AS BIGINT) FROM events WHERE event_type = 'click')")
 
 
+_MUTUAL = f"""{_FOLDED},
+net AS (SELECT src, dst, t, sum(w) AS w FROM (SELECT * FROM log UNION ALL SELECT dst, src, t, w FROM log WHERE (src + dst) % 3 = 0) GROUP BY 1, 2, 3 HAVING sum(w) <> 0),
+twoway AS (SELECT ep.t, src, dst FROM ep JOIN net ON net.t <= ep.t GROUP BY ep.t, src, dst HAVING arg_max(w, net.t) > 0)"""
+
 _REPEATED = f"""tr AS (
   SELECT event_type, ts, user_id % 60 AS src, lead(user_id) OVER (ORDER BY ts, event_id) % 60 AS dst FROM events),
 net AS (
@@ -281,7 +363,7 @@ def _with(body: str, ctes: str = _G) -> str:
 
 
 def _matches(motif: Motif, edges: str, cond: str = "") -> str:
-    """All matches by plain joins, one alias for each edge of the motif."""
+    """All matches by plain joins, one alias for each edge of the motif; `edges` is the table of all, or has a place for the relation's name."""
     seen: dict[int, str] = {}
     on: list[str] = []
     for i, pair in enumerate(motif.edges):
@@ -290,22 +372,35 @@ def _matches(motif: Motif, edges: str, cond: str = "") -> str:
                 on.append(f"{seen[a]} = e{i}.{col}")
             else:
                 seen[a] = f"e{i}.{col}"
-    tables = ", ".join(f"{edges} e{i}" for i in range(len(motif.edges)))
+    tables = ", ".join(f"{edges.format(name='' if name == EDGES else name)} e{i}" for i, name in enumerate(motif.names))
     where = " AND ".join([*on, *([cond] if cond else [])])
     return f"SELECT DISTINCT {', '.join(f'{seen[a]} AS x{a}' for a in sorted(seen))} FROM {tables}" + (f" WHERE {where}" if where else "")
 
 
 def _delta(motif: Motif, since: int = FIRST_EPOCH, snapshots: str = "snap", epochs: int = EPOCHS) -> str:
     """Differences of the matches in consecutive snapshots."""
-    cols = ", ".join(motif.columns)
     same = " AND ".join(f"e0.t = e{i}.t" for i in range(1, len(motif.edges))) or "TRUE"
     every = _matches(motif, snapshots, same).replace("SELECT DISTINCT", "SELECT DISTINCT e0.t AS t,", 1)
-    return f"""m AS ({every}),
-dm AS (
+    return f"m AS ({every}),\n{_changes(motif, since, epochs)}"
+
+
+def _changes(motif: Motif, since: int, epochs: int) -> str:
+    """What each epoch adds to the matches of the one before, and removes, from a table m of the matches of all."""
+    cols = ", ".join(motif.columns)
+    return f"""dm AS (
   SELECT {cols}, t, CAST(1 AS BIGINT) AS w FROM (SELECT t, {cols} FROM m WHERE t >= {since} EXCEPT SELECT t + 1, {cols} FROM m)
   UNION ALL SELECT {cols}, t, CAST(-1 AS BIGINT) AS w FROM (SELECT t + 1 AS t, {cols} FROM m WHERE t + 1 >= {since} AND t + 1 < {epochs} EXCEPT SELECT t, {cols} FROM m))"""
 
 
+def _clique_steps(k: int) -> str:
+    """The k-cliques of all snapshots as m, one node after another: as one join of all edges they take minutes."""
+    steps = ["c2 AS (SELECT t, src AS x0, dst AS x1 FROM snap)"]
+    for n in range(2, k):
+        closed = "".join(f" SEMI JOIN snap e{i} ON e{i}.t = c{n}.t AND e{i}.src = x{i} AND e{i}.dst = e.dst" for i in range(1, n))
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.*, e.dst AS x{n} FROM c{n} JOIN snap e ON e.t = c{n}.t AND e.src = x0{closed})")
+    return ",\n".join([*steps, f"m AS (SELECT * FROM c{k})"])
+
+
 def oracle_sql() -> dict[str, str]:
     hats = "SELECT CAST(coalesce(sum(k.n - 2), 0) AS BIGINT) AS n FROM sup p JOIN sup q ON p.s = q.s AND p.d = q.d AND p.v < q.v JOIN f ON f.s = p.v AND f.d = q.v JOIN k ON k.s = p.s AND k.d = p.d"
     fans = """, w AS (SELECT x.a AS h, x.b AS p, y.b AS q FROM u x JOIN u y ON x.a = y.a JOIN u z ON z.a = x.b AND z.b = y.b)
@@ -337,6 +432,10 @@ WHERE e1.q < e3.q AND e1.p NOT IN (e2.q, e3.q, e4.q) AND e1.q <> e4.q AND e2.q <
         "motif_k4": _matches(K4, "g"),
         "motif_path3": f"SELECT count(*) AS n FROM ({_matches(PATH3, 'g')})",
         "motif_symmetric": _matches(SYMMETRIC, "g"),
+        "count_motif_path4": f"SELECT count(*) AS n FROM ({_matches(PATH4, 'g')})",
+        "count_motif_lollipop": f"SELECT count(*) AS n FROM ({_matches(LOLLIPOP, 'g')})",
+        "shares_triangle": _matches(TRIANGLE, "g"),
+        "shares_k4": _matches(K4, "g"),
         "k5_motif": _matches(K5, "g"),
         "k6_motif": _matches(K6, "g"),
         **dict.fromkeys(("edge_parts", "csr_round_trip"), "SELECT src, dst FROM g"),
@@ -363,7 +462,13 @@ WHERE greatest(a.t, b.t, c.t) >= 1 GROUP BY 1"""
     out["triangles_preload_stream"] = f"WITH {preload}"
     for name, m in (("delta_triangle", TRIANGLE), ("delta_cycle3", CYCLE3), ("delta_k4", K4), ("delta_k5", K5)):
         out[name] = _with("SELECT * FROM dm", f"{_LOG}, {_delta(m)}")
-    out["streaming_triangle"] = out["delta_triangle"]
+    out["streaming_triangle"] = out["streaming_epochs"] = out["delta_triangle"]
+    out["delta_k6"] = _with("SELECT * FROM dm", f"{_FOLDED}, {_clique_steps(K6.width)}, {_changes(K6, FIRST_EPOCH, EPOCHS)}")
+    out["delta_two_relations"] = _with("SELECT * FROM dm", f"{_LOG}, {_log_sql(ASKED, 'asked')}, {_delta(TWO_RELATIONS, snapshots='snap{name}')}")
+    dealt = f"""{_FOLDED}, dealt AS (
+  SELECT src, dst, CAST(CASE WHEN s < {HELD_PERCENT} THEN 0 ELSE 1 + s % {QUERY_EPOCHS} END AS INT) AS t FROM (SELECT *, (src * 7919 + dst * 104729) % 100 AS s FROM ins))"""
+    latest = f"greatest({', '.join(f'e{i}.t' for i in range(len(K5.edges)))})"
+    out["query_stream_k5"] = _with(_matches(K5, "dealt", f"{latest} > 0").replace("SELECT DISTINCT", f"SELECT DISTINCT CAST(1 AS BIGINT) AS w, {latest} AS t,", 1), dealt)
     oriented = _LOG.replace("snap AS (SELECT ep.t, src, dst FROM", "snap AS (SELECT ep.t, least(src, dst) AS src, greatest(src, dst) AS dst FROM").replace("GROUP BY ep.t, src, dst HAVING", "GROUP BY ep.t, least(src, dst), greatest(src, dst) HAVING")
     out["delta_seed_k4"] = _with("SELECT * FROM dm", f"{oriented}, {_delta(K4)}")
     tri = f"{_LOG}, {_delta(TRIANGLE)}"
@@ -385,6 +490,8 @@ ch AS (SELECT src, dst, t, 1 AS w FROM (SELECT t, src, dst FROM snap WHERE t >=
     out["merge_repeated"] = _with("SELECT src, dst FROM snap WHERE t = 5", _REPEATED)
     for name, since in (("track_repeated", 0), ("streaming_repeated", 0), ("track_merged", 4)):
         out[name] = _with("SELECT * FROM dm", f"{_REPEATED}, {_delta(TRIANGLE, since, epochs=REPEATED_EPOCHS)}")
+    for name, m in (("delta_symmetric_triangle", SYMMETRIC3), ("delta_symmetric_k4", SYMMETRIC4)):
+        out[name] = _with("SELECT * FROM dm", f"{_MUTUAL}, {_delta(m, 0, 'twoway')}")
     out["first_change"] = _with("SELECT min(t) AS t FROM log WHERE t > 6", _LOG)
     out["asof_snapshot"] = _with("SELECT src, dst FROM snap WHERE t = 7", _LOG)
     out["asof_before"] = _with("SELECT src, dst FROM snap WHERE t = 6", _LOG)

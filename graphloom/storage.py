@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -31,8 +31,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The setting without which a scan of a bucketed table doesn't say that it is sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+_catalogued: set[str] = set()
+
+
+def bucketed(df: DataFrame, name: str, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """`df` written as a table that is bucketed and sorted by `keys`, one file a bucket: joins on exactly these keys read it without shuffling or sorting it, however often.
+
+    There are as many buckets as the session has shuffle partitions, so the other side of a join is dealt as it would be anyway. The session's setting `ORDERED` is switched on, and stays so.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(ORDERED, "true")
+    table = f"graphloom_{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(parts, *keys).write.format("parquet").bucketBy(parts, *keys).sortBy(*keys)
+    rows.option("path", fresh_path(spark, name)).saveAsTable(table)
+    _catalogued.add(table)
+    return spark.table(table)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that this application has written in the shared folder. Results read them, so only after these are written elsewhere."""
+    while _catalogued:
+        spark.sql(f"DROP TABLE IF EXISTS {_catalogued.pop()}")
     delete(spark, [_own_folder(spark)])
 
 

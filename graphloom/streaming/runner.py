@@ -1,5 +1,7 @@
 """Structured Streaming: micro-batches of signed edge changes in, changes of a motif's matches out.
 
+A micro-batch is one epoch, or brings whole epochs of its own (`advance`; `streaming.epochs` collects them from rows in any order).
+
 The state has two tiers. The base holds the edges as of some batch, once by source and once by target, each dealt into buckets of its key and sorted within them. The tail is a log of the
 effective changes of each batch since. A batch reads of both only the neighbourhood of what it changes: the buckets of the nodes concerned, by partition pruning, with semi-joins that need no
 shuffle of the base; then it writes its own changes. When the tail has grown to `MERGE_SHARE` of the base, both are merged into a new base. So the work of a batch follows the batch and its
@@ -17,17 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.operators.match import track
-from graphloom.operators.versioned import held_edges
+from graphloom.operators.versioned import FOREVER, effective_changes, held_edges, net_changes
 from graphloom.plans.pattern import Motif
 from graphloom.storage import materialize
 
 #: The tail is merged into the base when it has more than this share of the base's rows.
 MERGE_SHARE = 0.25
 BUCKETS = 32
+#: The epoch of what is in the base.
+BEFORE = -FOREVER
+
+
+CHANGES = "src long, dst long, t int, w int"
 
 
 class MotifStream:
-    """Tracks one motif; `path` is a folder in the shared file system, with base/v=N, log/t=N and changes/t=N below it."""
+    """Tracks one motif; `path` is a folder in the shared file system, with base/v=N, log/b=N and changes/b=N below it, N the micro-batch."""
 
     def __init__(self, spark: SparkSession, motif: Motif, path: str, base: DataFrame | None = None, strategy: str = "generic", keep_versions: int = 2, merge_share: float = MERGE_SHARE, buckets: int = BUCKETS):
         self.spark, self.motif, self.path, self.strategy, self.keep_versions = spark, motif, path, strategy, keep_versions
@@ -50,7 +57,7 @@ class MotifStream:
         if not fs.exists(path):
             return []
         found = [str(f.getPath().getName()) for f in fs.listStatus(path)]
-        done = "_SUCCESS" if table == "log" else "reverse/_SUCCESS"
+        done = "reverse/_SUCCESS" if table == "base" else "_SUCCESS"
         return sorted(int(n.partition("=")[2]) for n in found if n.startswith(f"{key}=") and fs.exists(self._fs(f"{table}/{n}/{done}")[1]))
 
     def _bucket(self, col: str):
@@ -67,11 +74,10 @@ class MotifStream:
 
     def _tail(self, after: int, until: int) -> DataFrame:
         """(src, dst, t, w): the effective changes of the batches after one and before another."""
-        batches = [t for t in self._numbers("log", "t") if after < t < until]
+        batches = [b for b in self._numbers("log", "b") if after < b < until]
         if not batches:
-            return self.spark.createDataFrame([], "src long, dst long, t int, w int")
-        rows = self.spark.read.schema("src long, dst long, w int, t int").option("basePath", f"{self.path}/log").parquet(*(f"{self.path}/log/t={t}" for t in batches))
-        return rows.select("src", "dst", "t", "w")
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).parquet(*(f"{self.path}/log/b={b}" for b in batches))
 
     def _around(self, nodes: DataFrame, version: int, tail: DataFrame, both_ends: bool = False) -> DataFrame:
         """(src, dst): the edges with an end (or both) among `nodes` (node), as of the tail's end. Only the buckets of these nodes are read."""
@@ -87,39 +93,45 @@ class MotifStream:
         else:
             held = held.unionByName(ends(self._base(version, "reverse"), "dst")).distinct()
             own = ends(tail, "src", "t", "w").unionByName(ends(tail, "dst", "t", "w")).distinct()
-        log = held.select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(own)
-        return held_edges(log)
+        return held_edges(self._as_log(held).unionByName(own))
+
+    @staticmethod
+    def _as_log(base: DataFrame) -> DataFrame:
+        return base.select("src", "dst", F.lit(BEFORE).alias("t"), F.lit(1).alias("w"))
 
     # Batches
 
     def process(self, changes: DataFrame, batch: int) -> None:
-        """One micro-batch of (src, dst, w): weights of an edge are added up, then only effective changes count."""
+        """One micro-batch of (src, dst, w), an epoch by itself: weights of an edge are added up, then only effective changes count."""
+        self.advance(changes.select("src", "dst", F.lit(batch).alias("t"), "w"), batch)
+
+    def advance(self, changes: DataFrame, batch: int) -> None:
+        """A micro-batch of (src, dst, t, w): all rows of some epochs, each later than those of the batches before."""
         version = max(v for v in self._numbers("base", "v") if v < batch)
         tail = self._tail(version, batch)
-        net = changes.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w <> 0")
-        net = materialize(net.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.signum("w").cast("int").alias("w")), "net")
-        there = self._around(net.select(F.col("src").alias("node")).distinct(), version, tail).withColumn("was", F.lit(True))
-        effective = net.join(there, ["src", "dst"], "left").where((F.col("w") > 0) != F.coalesce("was", F.lit(False))).select("src", "dst", "w")
-        effective.write.mode("overwrite").parquet(f"{self.path}/log/t={batch}")
-        effective = self.spark.read.schema("src long, dst long, w int").parquet(f"{self.path}/log/t={batch}")
+        net = net_changes(changes.where("src <> dst").select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("t").cast("int"), "w"))
+        net = materialize(net.select("src", "dst", "t", F.signum("w").cast("int").alias("w")), "net")
+        there = self._around(net.select(F.col("src").alias("node")).distinct(), version, tail).join(net.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        effective = effective_changes(self._as_log(there).unionByName(net)).where(F.col("t") > BEFORE)
+        effective.write.mode("overwrite").parquet(f"{self.path}/log/b={batch}")
+        effective = self.spark.read.schema(CHANGES).parquet(f"{self.path}/log/b={batch}")
 
         nodes = materialize(effective.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "changed-nodes")
         for _ in range(self.inner):
             near = self._around(nodes, version, tail)
             nodes = materialize(nodes.unionByName(near.select(F.explode(F.array("src", "dst")).alias("node"))).distinct(), "near-nodes")
         local = self._around(nodes, version, tail, both_ends=self.inner == self.outer and self.inner > 0)
-        log = local.select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(effective.select("src", "dst", F.lit(1).alias("t"), "w"))
-        track(self.motif, log, 1, self.strategy).drop("t").write.mode("overwrite").parquet(f"{self.path}/changes/t={batch}")
+        log = self._as_log(local).unionByName(effective)
+        track(self.motif, log, BEFORE + 1, self.strategy).write.mode("overwrite").parquet(f"{self.path}/changes/b={batch}")
         self._merge(version, batch)
 
     def _merge(self, version: int, batch: int) -> None:
         """Merges the tail into a new base if it has grown large, and forgets what no replay of the last batches can need."""
         tail, base = self._tail(version, batch + 1), self._base(version, "forward")
         if tail.count() > self.merge_share * base.count():
-            log = base.select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(tail)
-            self._write_base(held_edges(log), batch)
+            self._write_base(held_edges(self._as_log(base).unionByName(tail)), batch)
         old = [v for v in self._numbers("base", "v") if v < batch + 1 - self.keep_versions]
-        gone = [f"base/v={v}" for v in old[:-1]] + [f"log/t={t}" for t in self._numbers("log", "t") if old and t <= old[-1]]
+        gone = [f"base/v={v}" for v in old[:-1]] + [f"log/b={b}" for b in self._numbers("log", "b") if old and b <= old[-1]]
         for name in gone:
             fs, path = self._fs(name)
             fs.delete(path, True)
@@ -127,8 +139,7 @@ class MotifStream:
     def edges(self) -> DataFrame:
         """(src, dst): the graph after all batches so far."""
         version = max(self._numbers("base", "v"))
-        log = self._base(version, "forward").select("src", "dst", F.lit(version).alias("t"), F.lit(1).alias("w")).unionByName(self._tail(version, 2**31 - 1))
-        return held_edges(log)
+        return held_edges(self._as_log(self._base(version, "forward")).unionByName(self._tail(version, FOREVER)))
 
     def start(self, stream: DataFrame, on_batch: Callable[[int], None] | None = None, **options: str) -> StreamingQuery:
         """Runs over a streaming DataFrame of (src, dst, w)."""
@@ -142,7 +153,9 @@ class MotifStream:
 
     def changes(self) -> DataFrame:
         """(x0, ..., w, t) of all batches so far."""
-        return self.spark.read.option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
+        schema = ", ".join([*(f"{c} long" for c in self.motif.columns), "w long, t int"])
+        batches = self._numbers("changes", "b")
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/changes/b={b}" for b in batches)) if batches else self.spark.createDataFrame([], schema)
 
     def counts(self) -> DataFrame:
         """(t, n_changes, net)"""
