@@ -16,9 +16,10 @@ from graphloom.operators.join import Extender, Index, extend, nominate
 from graphloom.operators.match import epoch_counts, match, raw_changes, running_total, track, track_cliques_by_triangles
 from graphloom.operators.parts import track_in_parts
 from graphloom.operators.shares import match_by_shares
+from graphloom.operators.stored import StoredEdges
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
 from graphloom.plans.pattern import EDGES, Motif
-from graphloom.sources.edges import edge_parts, edge_text, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, shuffled_batches, transitions, update_batches, write_csr
+from graphloom.sources.edges import edge_parts, edge_text, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, read_csr_blocks, shuffled_batches, transitions, update_batches, write_csr, write_csr_blocks
 from graphloom.storage import fresh_path, materialize
 from graphloom.streaming.epochs import EpochStream
 from graphloom.streaming.runner import MotifStream
@@ -170,6 +171,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         write_csr(with_loops_out, path)
         return read_csr(spark, path, 40)
 
+    def layout_csr(spark: SparkSession, d: str) -> DataFrame:
+        """The layout by degree as a table of CSR blocks, and read again."""
+        path = fresh_path(spark, "csr-blocks")
+        write_csr_blocks(g(spark, d).layout(), path, 500)
+        return read_csr_blocks(spark, path)
+
+    def asof_pruned(spark: SparkSession, d: str) -> DataFrame:
+        """The edges as of epoch 7 from a stored index with a snapshot of epoch 5: the log's parts of epochs 6 and 7 alone are read."""
+        rows = log(spark, d)
+        index = StoredEdges(spark, fresh_path(spark, "stored"), span=1)
+        index.append(rows)
+        index.snapshot(2)
+        index.snapshot(FIRST_EPOCH)
+        return index.as_of(7)
+
     def percent_preload(spark: SparkSession, d: str) -> DataFrame:
         """Triangles with 90 % of an edge list's lines preloaded and the rest in epochs of 20: how many there are after each stage."""
         held, rest = percent_of_lines(spark, written(spark, d), 90, 20)
@@ -244,6 +260,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_parts": part_files,
         "update_file": update_file,
         "csr_round_trip": csr,
+        "layout_csr": layout_csr,
         "percent_of_edges": percent_preload,
         "shuffled_k4": shuffled(K4, 400),
         "shuffled_k5": shuffled(K5, 400),
@@ -299,6 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delta_raw_counts": lambda s, d: raw_changes(TRIANGLE, log(s, d), FIRST_EPOCH).groupBy("t").agg(F.count("*").alias("n_raw"), total("w").alias("net")),
         "delta_running_total": lambda s, d: running_total(epoch_counts(track(TRIANGLE, log(s, d)))),
         "asof_snapshot": lambda s, d: VersionedEdges(log(s, d)).as_of(7),
+        "asof_pruned": asof_pruned,
         "asof_before": lambda s, d: VersionedEdges(log(s, d)).as_of(7, strict=True),
         "effective_changes": lambda s, d: effective_changes(log(s, d)).where(F.col("t") >= FIRST_EPOCH),
         "merge_to": lambda s, d: VersionedEdges(log(s, d)).merge_to(6).as_of(EPOCHS),
@@ -494,6 +512,8 @@ ch AS (SELECT src, dst, t, 1 AS w FROM (SELECT t, src, dst FROM snap WHERE t >=
         out[name] = _with("SELECT * FROM dm", f"{_MUTUAL}, {_delta(m, 0, 'twoway')}")
     out["first_change"] = _with("SELECT min(t) AS t FROM log WHERE t > 6", _LOG)
     out["asof_snapshot"] = _with("SELECT src, dst FROM snap WHERE t = 7", _LOG)
+    out["asof_pruned"] = out["asof_snapshot"]
+    out["layout_csr"] = out["layout_edges"]
     out["asof_before"] = _with("SELECT src, dst FROM snap WHERE t = 6", _LOG)
     out["merge_to"] = _with(f"SELECT src, dst FROM snap WHERE t = {EPOCHS - 1}", _LOG)
     out["effective_changes"] = _with(

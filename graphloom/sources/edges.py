@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,23 +103,115 @@ def transitions(events: DataFrame, key: str, order: list[str], bucket: Column) -
     return pairs.select(F.col("key").alias("src"), F.when(F.col("next").isNull(), F.col("after")).otherwise(F.col("next.key")).alias("dst")).where("dst is not null")
 
 
-def write_csr(edges: DataFrame, path: str) -> None:
-    """path.offsets (64-bit) and path.targets (32-bit) on the driver's disk, streamed in order: a format for single machines; parquet is for the rest."""
+#: Edges of a CSR block, and the most nodes without edges that it bridges.
+BLOCK_EDGES, BLOCK_GAP = 250_000, 1_000_000
+BLOCK = "part int, at int, first_node long, last_node long, edges long, counts binary, targets binary"
+
+
+def csr_blocks(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(first_node, last_node, first_edge, edges, before, after, counts, targets): the edges in the order of (src, dst), cut into blocks, written.
+
+    A block holds how many edges each node from first_node to last_node has in it (32-bit) and their targets (32-bit), first_edge is the number of edges before it, `before` the last node of the block before and `after` the first of the next (-1: none). Edges
+    are dealt by range and every task cuts its own; a node with very many lies in several blocks. What comes before a block follows from sums over a row a block.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def blocks(rows: np.ndarray, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Whole blocks of rows (src, dst), and what is left over."""
+            jumps = np.flatnonzero(np.diff(rows[:, 0]) > BLOCK_GAP) + 1
+            low = 0
+            for high in [*jumps.tolist(), len(rows)]:
+                while high - low >= block_edges or low < high and (last or high < len(rows)):
+                    yield rows[low : min(low + block_edges, high)], rows[min(low + block_edges, high) :]
+                    low = min(low + block_edges, high)
+
+        def row(block: np.ndarray) -> pa.RecordBatch:
+            nonlocal at
+            first, end = int(block[0, 0]), int(block[-1, 0])
+            if block.min() < 0 or block.max() >= 1 << 32:
+                raise ValueError("nodes of a CSR graph are numbers from 0 to 2^32 - 1")
+            counts = np.bincount(block[:, 0] - first, minlength=end - first + 1).astype(np.uint32)
+            at += 1
+            values = [[part], [at], [first], [end], [len(block)], [counts.tobytes()], [block[:, 1].astype(np.uint32).tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
+
+        for batch in batches:
+            held.append(np.stack([batch["src"].to_numpy(), batch["dst"].to_numpy()], axis=1))
+            size += batch.num_rows
+            if size >= block_edges:
+                rest = rows = np.concatenate(held)
+                for block, rest in blocks(rows, False):
+                    yield row(block)
+                held, size = [rest], len(rest)
+        if size:
+            for block, _ in blocks(np.concatenate(held), True):
+                yield row(block)
+
+    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    found = materialize(rows.mapInArrow(cut, BLOCK), "csr-blocks")
+    order = Window.orderBy("part", "at")  # a row a block, without its edges
+    places = found.select("part", "at", (F.sum("edges").over(order) - F.col("edges")).alias("first_edge"), F.coalesce(F.lag("last_node").over(order), F.lit(-1)).alias("before"), F.coalesce(F.lead("first_node").over(order), F.lit(-1)).alias("after"))
+    return found.join(F.broadcast(materialize(places, "csr-places")), ["part", "at"]).drop("part", "at")
+
+
+def write_csr_blocks(edges: DataFrame, path: str, block_edges: int = BLOCK_EDGES) -> None:
+    """The CSR form as a Parquet table of blocks, written by tasks: for any file system that Spark writes to."""
+    csr_blocks(edges, block_edges).write.parquet(path)
+
+
+def read_csr_blocks(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """src and dst of a table of blocks; with `low` and `high` of the nodes low <= src <= high alone, for which only the blocks that hold some are read."""
+    blocks = spark.read.parquet(path).select("first_node", "last_node", "counts", "targets")
+    if low is not None:
+        blocks = blocks.where(F.col("last_node") >= low)
+    if high is not None:
+        blocks = blocks.where(F.col("first_node") <= high)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, counts, targets in zip(batch["first_node"].to_pylist(), batch["counts"], batch["targets"], strict=True):
+                n = np.frombuffer(counts.as_buffer(), np.uint32)
+                src = np.repeat(np.arange(first, first + len(n)), n)
+                dst = np.frombuffer(targets.as_buffer(), np.uint32).astype(np.int64)
+                inside = (src >= (low if low is not None else 0)) & (src <= (high if high is not None else 1 << 32))
+                yield pa.RecordBatch.from_arrays([pa.array(src[inside]), pa.array(dst[inside])], ["src", "dst"])
+
+    return blocks.select("first_node", "counts", "targets").mapInArrow(rows, "src long, dst long")
+
+
+def write_csr(edges: DataFrame, path: str, block_edges: int = BLOCK_EDGES) -> None:
+    """path.offsets (64-bit) and path.targets (32-bit) in a folder that driver and workers share as a file system: the form that single machines map into memory.
+
+    The driver only makes the two files, at their full length; each task writes its blocks at the places where they belong. A task that runs again writes the same bytes.
+    """
+    blocks = materialize(csr_blocks(edges, block_edges), "csr")
+    total, nodes = blocks.agg(F.sum("edges"), F.max("last_node") + 1).first()
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    rows = edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True)
-    with open(f"{path}.targets", "wb") as targets, open(f"{path}.offsets", "wb") as offsets:
-        node, written, block = -1, 0, []
-        for row in rows:
-            while node < row["src"]:
-                node += 1
-                offsets.write(np.uint64(written).tobytes())
-            block.append(row["dst"])
-            written += 1
-            if len(block) == 250_000:
-                np.array(block, np.uint32).tofile(targets)
-                block = []
-        np.array(block, np.uint32).tofile(targets)
-        offsets.write(np.uint64(written).tobytes())
+    for name, size in (("targets", 4 * (total or 0)), ("offsets", 8 * ((nodes or 0) + 1))):
+        with open(f"{path}.{name}", "wb") as f:
+            f.truncate(size)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(f"{path}.targets", "r+b") as targets, open(f"{path}.offsets", "r+b") as offsets:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    targets.seek(4 * row["first_edge"])
+                    targets.write(row["targets"])
+                    ends = row["first_edge"] + np.cumsum(np.frombuffer(row["counts"], np.uint32), dtype=np.uint64)
+                    # where each next node begins, also behind nodes without edges; that of a node that goes on is the next block's to write
+                    skipped = np.full(max(0, row["first_node"] - row["before"] - 1), row["first_edge"], np.uint64)
+                    if row["after"] == row["last_node"]:
+                        ends = ends[:-1]
+                    offsets.seek(8 * min(row["before"] + 2, row["first_node"] + 1))
+                    offsets.write(np.concatenate([skipped, ends]).astype(np.uint64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["blocks"])
+
+    blocks.mapInArrow(write, "blocks long").agg(F.sum("blocks")).collect()
 
 
 def read_csr(spark: SparkSession, path: str, nodes_per_task: int = 100_000) -> DataFrame:
