@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import part_name, total
@@ -19,7 +19,7 @@ from graphloom.operators.shares import match_by_shares
 from graphloom.operators.stored import StoredEdges
 from graphloom.operators.versioned import VersionedEdges, consolidate, effective_changes
 from graphloom.plans.pattern import EDGES, Motif
-from graphloom.sources.edges import edge_parts, edge_text, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, read_csr_blocks, shuffled_batches, transitions, update_batches, write_csr, write_csr_blocks
+from graphloom.sources.edges import edge_parts, edge_text, following, in_order, node_batches, percent_of_lines, percent_split, preload_and_batches, read_csr, read_csr_blocks, shuffled_batches, transitions, update_batches, write_csr, write_csr_blocks
 from graphloom.storage import fresh_path, materialize
 from graphloom.streaming.epochs import EpochStream
 from graphloom.streaming.runner import MotifStream
@@ -35,7 +35,7 @@ def click_graph(spark: SparkSession, sf_dir: str, only: str | None = "click") ->
     if only:
         events = events.where(F.col("event_type") == only)
     events = events.select("user_id", "ts", "event_id")
-    graph = Graph.of(transitions(events, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")))
+    graph = Graph.of(transitions(events, "user_id", ["ts", "event_id"]))
     return Graph(materialize(graph.edges, "click-graph"))  # every join of a query reads it
 
 
@@ -48,13 +48,8 @@ def edge_log(spark: SparkSession, sf_dir: str, kind: str = "click", folded: bool
     n = clicks.count()
     if folded:
         clicks = clicks.withColumn("user_id", F.col("user_id") % max(1, math.ceil((n / 1.85) ** 0.625)))
-    hour = F.date_trunc("hour", "ts")
-    # the number of each click: those in earlier hours, and its place within the hour
-    hours = clicks.groupBy(hour.alias("bucket")).agg(F.count("*").alias("k"))
-    hours = hours.select("bucket", (F.sum("k").over(Window.orderBy("bucket")) - F.col("k")).alias("before"))
-    placed = clicks.withColumn("bucket", hour).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("ts", "event_id"))).join(hours, "bucket")
-    placed = placed.select(F.struct("user_id", (F.col("before") + F.col("rn")).alias("rn")).alias("click"), "ts", "event_id")
-    pairs = transitions(placed, "click", ["ts", "event_id"], hour)
+    placed = in_order(clicks, ["ts", "event_id"])
+    pairs = following(placed.select(F.struct("user_id", F.col("place").alias("rn")).alias("key"), F.col("place").alias("at"), F.col("part").alias("bucket")))
     first = pairs.select(F.col("src.user_id").alias("src"), F.col("dst.user_id").alias("dst"), F.col("src.rn").alias("rn")).where("src <> dst").groupBy("src", "dst").agg(F.min("rn").alias("rn"))
     entered = first.select("src", "dst", F.floor((F.col("rn") - 1) * EPOCHS / max(n, 1)).cast("int").alias("t"), F.lit(1).alias("w"))
     left = entered.where(((F.col("src") * 31 + F.col("dst")) % 7 == 0) & (F.col("t") + 2 <= EPOCHS - 1)).select("src", "dst", (F.col("t") + 2).alias("t"), F.lit(-1).alias("w"))
@@ -65,7 +60,7 @@ def repeated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, t, w): every transition between users of two consecutive events of any type enters in its day's epoch, whether it is there or not, and some leave, whether they are there or not."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
     placed = events.select(F.struct("user_id", "event_type", "ts").alias("event"), "ts", "event_id")
-    pairs = transitions(placed, "event", ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    pairs = transitions(placed, "event", ["ts", "event_id"])
     t = F.pmod(F.dayofmonth("src.ts"), F.lit(REPEATED_EPOCHS)).cast("int")
     rows = pairs.select((F.col("src.user_id") % 60).alias("src"), (F.col("dst.user_id") % 60).alias("dst"), t.alias("t"), F.when(F.col("src.event_type") == "click", -1).otherwise(1).alias("w"))
     return rows.where("src <> dst")
@@ -142,18 +137,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def text_batches(spark: SparkSession, d: str) -> DataFrame:
         """The same text by raw lines: how many edges are preloaded (t = 0) and in each batch of 500 lines."""
         path = fresh_path(spark, "edge-text")
-        g(spark, d).edges.select(F.concat_ws(" ", "src", "dst").alias("value")).coalesce(1).write.text(path)
+        g(spark, d).edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
         held, rest = preload_and_batches(spark, path, 100, 500)
         return held.select(F.lit(0).alias("t")).unionByName(rest.select("t")).groupBy("t").agg(F.count("*").alias("n"))
 
     def written(spark: SparkSession, d: str, parts: int = 1) -> str:
-        """The graph as edge-list text: a file, or with `parts` files prefix00000, prefix00001, ... by source."""
+        """The graph as edge-list text: a folder of files, or with `parts` files prefix00000, prefix00001, ... by source."""
         path, edges = fresh_path(spark, "edge-text"), g(spark, d).edges
         line = F.concat_ws(" ", "src", "dst").alias("value")
         for i in range(parts) if parts > 1 else ():
             edges.where(F.pmod("src", F.lit(parts)) == i).select(line).write.text(part_name(path, i))
         if parts == 1:
-            edges.select(line).coalesce(1).write.text(path)
+            edges.select(line).write.text(path)
         return path
 
     def part_files(spark: SparkSession, d: str) -> DataFrame:

@@ -89,13 +89,20 @@ def shuffled_batches(edges: DataFrame, batch: int, seed: int = 0) -> DataFrame:
     return edges.select("src", "dst", (1 + F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(n))).cast("int").alias("t"), F.lit(1).alias("w"))
 
 
-def transitions(events: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
-    """(src, dst): `key` of each row and of the next one in the order of `order`, over the whole table.
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows`, written, with `place` (from 1) in the total order of these columns, and `part`, the range of the order in which it lies.
 
-    The order is total, but no task sees all rows: rows are paired within buckets of the first column (`bucket` must ascend with it), and only each
-    bucket's last row is paired with the first row of the next.
+    Rows are dealt by range, so parts are about equal however the columns are distributed. A place follows from the place within the part and the sizes of the parts before, a row a part.
     """
-    rows = events.select(F.col(key).alias("key"), F.struct(*order).alias("at"), bucket.alias("bucket"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.withColumns({"_at": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "in-order")
+    parts = dealt.groupBy("part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(materialize(parts, "parts")), "part").withColumn("place", F.col("_at") + F.col("_shift") + 1).drop("_at", "_shift")
+
+
+def following(rows: DataFrame) -> DataFrame:
+    """(src, dst): `key` of each row (key, at, bucket) and of the next one in the order of `at`. Buckets ascend with `at`; rows are paired within them, and only each bucket's last row with the first of the next."""
     inside = rows.withColumn("next", F.lead(F.struct("key")).over(Window.partitionBy("bucket").orderBy("at")))
     heads = rows.groupBy("bucket").agg(F.min(F.struct("at", "key")).alias("head"))
     heads = heads.select("bucket", F.lead("head.key").over(Window.orderBy("bucket")).alias("after"))  # a row a bucket
@@ -103,6 +110,17 @@ def transitions(events: DataFrame, key: str, order: list[str], bucket: Column) -
     return pairs.select(F.col("key").alias("src"), F.when(F.col("next").isNull(), F.col("after")).otherwise(F.col("next.key")).alias("dst")).where("dst is not null")
 
 
+def transitions(events: DataFrame, key: str, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """(src, dst): `key` of each row and of the next one in the order of `order`, over the whole table.
+
+    The order is total, but no task sees all rows: they are dealt by ranges of the order, or if given by buckets, which must ascend with its first column.
+    """
+    if bucket is None:
+        rows = in_order(events.select(F.col(key).alias("key"), *order), order)
+        return following(rows.select("key", F.col("place").alias("at"), F.col("part").alias("bucket")))
+    return following(events.select(F.col(key).alias("key"), F.struct(*order).alias("at"), bucket.alias("bucket")))
+
+
 #: Edges of a CSR block, and the most nodes without edges that it bridges.
 BLOCK_EDGES, BLOCK_GAP = 250_000, 1_000_000
 BLOCK = "part int, at int, first_node long, last_node long, edges long, counts binary, targets binary"
