@@ -5,7 +5,7 @@ the leftmost. The first entry is merged if both its symbols are still as they we
 is no piece becomes the pieces of its bytes. The agenda is a heap; for a chunk of up to `SHORT` symbols, a list of their pairs' scores, in which finding the best costs less.
 
 A text is normalised as the vocabulary says (a space at the front, spaces as U+2581), then cut where no piece can reach across: before a run of spaces, as no piece holds a space after another character,
-and around line feeds, tabs and returns, if no longer piece holds them (both are checked when the vocabulary is loaded). Merges on either side of a cut don't affect each other, so a chunk is encoded once and
+around line feeds, tabs and returns, if no longer piece holds them, and before a last sign that no piece holds behind the character before it (all checked when the vocabulary is loaded). Merges on either side of a cut don't affect each other, so a chunk is encoded once and
 kept in a bounded cache of two generations: when the newer one is full, it becomes the older, and chunks that occur again move on. The texts of an Arrow batch are cut, numbered by chunk and put together by
 Arrow's functions, so that Python sees each chunk of a batch once; texts with runs of spaces are cut one by one. In each Arrow batch the library encodes and decodes every chunk that is new there, and `agrees` says whether all chunks of a text have the same ids and surface both ways. (To run the
 library over whole texts again costs as much as all else; the tests do that.)
@@ -73,6 +73,8 @@ class AgendaBpe:
         if SPACE not in self.ids or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character, so texts can't be cut before spaces")
         within = {c for p in self.order for c in p}
+        #: Two characters that are side by side in some piece; between others, nothing is ever merged.
+        self.pairs = {p[i : i + 2] for p in self.order for i in range(len(p) - 1)}
         self.alone = alone = "".join(c for c in "\n\t\r" if c not in within)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + f"|[{alone}]" * bool(alone))
         #: What a piece gives: its id as text, after a comma, and its surface.
@@ -157,11 +159,19 @@ class AgendaBpe:
         return same
 
     def _learn(self, chunks: list[str], check: bool) -> dict[str, tuple[str, str, bool | None]]:
-        """What new chunks give; put into the cache but for long ones."""
-        given = [self._chunk(c) for c in chunks]
-        verdicts = self._asked(chunks, given) if check and chunks else [None] * len(chunks)
-        found = {c: (*g, v) for c, g, v in zip(chunks, given, verdicts, strict=True)}
+        """What new chunks give; put into the cache but for long ones. A sign at the end, where no piece holds it behind the character before, is a chunk by itself, so that a word with and without it is merged once."""
+        stems = {c: c[:-1] for c in chunks if len(c) > 2 and not c[-1].isalnum() and c[-2:] not in self.pairs}
+        parts = {*chunks, *stems.values(), *(c[-1] for c in stems)}.difference(stems)
+        new = [c for c in parts if c not in self.known and c not in self.older]
+        given = [self._chunk(c) for c in new]
+        verdicts = self._asked(new, given) if check and new else [None] * len(new)
+        found = {c: (*g, v) for c, g, v in zip(new, given, verdicts, strict=True)}
         self.known.update((c, f) for c, f in found.items() if len(c) <= CACHE_CHARS)
+        for c in sorted(stems, key=len):  # a stem may end with such a sign, too
+            (n, s, v), (m, t, w) = (found.get(x) or self.known.get(x) or self.older[x] for x in (stems[c], c[-1]))
+            found[c] = n + m, s + t, v and w
+            if len(c) <= CACHE_CHARS:
+                self.known[c] = found[c]
         return found
 
     def encode_texts(self, texts: list[str | None], check: bool = False) -> list[tuple[str, str, bool | None]]:
