@@ -11,7 +11,9 @@ a new attribute, by an index of (key, value) rows. `extend` keeps the values tha
 Relations are sets. With `as_of`, index rows carry the epochs [since, until) in which they hold, and each prefix row its epoch t: "new" reads the index as
 of t, "old" as of just before t, and a function of (since, until, t) reads the rows for which the column it gives is true.
 
-No prefix is sent to a task for its hub alone: degrees are looked up in a table with one row a key, a join whose other side Spark splits where a key is hot.
+No prefix is sent to a task for its hub alone: degrees are looked up in a table with one row a key, a join whose other side Spark splits where a key is hot. Where that isn't enough, an extender can say how rows are dealt: `route` gives
+the value by which both sides of its joins are partitioned in place of the key's hash (rows that one task should see together), and `spread` the number of prefixes of one key from which they are dealt to several tasks, to each of which
+that key's rows of the index are copied.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 from graphloom.storage import materialize
 
 STRATEGIES = ("generic", "native", "array")
+#: With this setting off, rows that lie by a part of a join's keys need no shuffle for it.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: So many hot keys, a row of some 32 bytes each, are broadcast; more are joined by shuffle.
+HOT_KEYS = 500_000
 Validator = Callable[[Column, Column, Column], Column]
 
 
@@ -79,10 +85,12 @@ class Extender:
     on: tuple[str | Column, ...]
     index: Index
     as_of: str | Validator | None = None
+    route: Callable[..., Column] | None = None
+    spread: int | None = None
 
-    def __init__(self, on: str | Column | Sequence[str | Column], index: Index, as_of: str | Validator | None = None):
+    def __init__(self, on: str | Column | Sequence[str | Column], index: Index, as_of: str | Validator | None = None, route: Callable[..., Column] | None = None, spread: int | None = None):
         self.on = (on,) if isinstance(on, str | Column) else tuple(on)
-        self.index, self.as_of = index, as_of
+        self.index, self.as_of, self.route, self.spread = index, as_of, route, spread
         if len(self.on) != len(index.keys):
             raise ValueError(f"the index has {len(index.keys)} key columns, not {len(self.on)}")
         if as_of not in (None, "old", "new") and not callable(as_of):
@@ -115,17 +123,60 @@ class Extender:
         """The prefix with the number of its candidates; prefixes without any are dropped."""
         degrees = self.index.degrees().select(*(F.col(c).alias(f"_d_{c}") for c in self.index.keys), F.col("n").alias(to))
         on = reduce(Column.__and__, [k == F.col(f"_d_{c}") for k, c in zip(self._key(), self.index.keys, strict=True)])
-        return prefix.join(degrees, on).drop(*(f"_d_{c}" for c in self.index.keys))
+        return self._joined(prefix, degrees, "_d_", on, "inner").select(*prefix.columns, to)
 
     def propose(self, prefix: DataFrame, to: str) -> DataFrame:
         """A row for each prefix and candidate."""
         rows, on = self._matches("p", None)
-        return prefix.join(rows, on).withColumn(to, F.col("_p_val")).select(*prefix.columns, to)
+        return self._joined(prefix, rows, "_p_", on, "inner").withColumn(to, F.col("_p_val")).select(*prefix.columns, to)
 
     def intersect(self, extended: DataFrame, value: str) -> DataFrame:
         """The rows whose `value` is a candidate."""
         rows, on = self._matches("i", value)
-        return extended.join(rows, on, "left_semi")
+        return self._joined(extended, rows, "_i_", on, "left_semi").select(*extended.columns)
+
+    def _joined(self, left: DataFrame, right: DataFrame, tag: str, on: Column, how: str) -> DataFrame:
+        """A join of a prefix table with the index (or its degrees), dealt as `route` and `spread` say."""
+        if self.spread:
+            left, right, on = self._salted(left, right, tag, on)
+        if not self.route:
+            return left.join(right, on, how)
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        extra = ["_salt"] if self.spread else []
+        left = left.withColumn("_route", self.route(*self._key())).repartition(parts, "_route", *extra)
+        right = right.withColumn(f"{tag}route", self.route(*(F.col(f"{tag}{c}") for c in self.index.keys))).repartition(parts, f"{tag}route", *(f"{tag}salt" for _ in extra))
+        # with all keys required, Spark would shuffle both sides again by the key
+        return with_setting(ALL_KEYS, "false", lambda: materialize(left.join(right.hint("merge"), on & (F.col("_route") == F.col(f"{tag}route")), how), "routed"), left)
+
+    def hot_keys(self, prefix: DataFrame) -> DataFrame:
+        """(_h0, ..., _parts): the keys with more than `spread` prefixes, and over how many tasks each is dealt; there are no more of them than prefixes divided by `spread`."""
+        counts = prefix.groupBy(*(k.alias(f"_h{i}") for i, k in enumerate(self._key()))).agg(F.count("*").alias("_n")).where(F.col("_n") > self.spread)
+        return materialize(counts.withColumn("_parts", F.ceil(F.col("_n") / self.spread)).drop("_n"), "hot-keys")
+
+    def _salted(self, left: DataFrame, right: DataFrame, tag: str, on: Column) -> tuple[DataFrame, DataFrame, Column]:
+        hot = self.hot_keys(left)
+        if hot.count() <= HOT_KEYS:
+            hot = F.broadcast(hot)
+
+        def known(rows: DataFrame, keys: Sequence[Column]) -> DataFrame:
+            return rows.join(hot, reduce(Column.__and__, [k == F.col(f"_h{i}") for i, k in enumerate(keys)]), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+        columns = [F.col(c) for c in left.columns]
+        dealt = known(left, self._key()).select(*columns, F.pmod(F.xxhash64(*columns), F.col("_parts")).alias("_salt"))
+        held = known(right, [F.col(f"{tag}{c}") for c in self.index.keys])
+        copied = held.select(*right.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias(f"{tag}salt"))
+        return dealt, copied, on & (F.col("_salt") == F.col(f"{tag}salt"))
+
+
+def with_setting(key: str, value: str, run: Callable[[], DataFrame], like: DataFrame) -> DataFrame:
+    """What `run` writes while a setting of the session has another value."""
+    conf = like.sparkSession.conf
+    held = conf.get(key)
+    conf.set(key, value)
+    try:
+        return run()
+    finally:
+        conf.set(key, held)
 
 
 def nominate(prefix: DataFrame, extenders: Sequence[Extender]) -> DataFrame:
@@ -159,6 +210,8 @@ def _by_fewest(prefix: DataFrame, extenders: Sequence[Extender], to: str) -> Dat
 
     The first join proposes; the others, one less than there are extenders, look the value up with the nominee's successors, in a circle.
     """
+    if any(e.route or e.spread for e in extenders):
+        return _by_nominee(prefix, extenders, to)
     k = len(extenders)
     keys = [f"_k{i}" for i in range(max(len(e.on) for e in extenders))]  # keys of other indexes may be narrower
     timed = any(e.as_of for e in extenders)
@@ -190,6 +243,16 @@ def _by_fewest(prefix: DataFrame, extenders: Sequence[Extender], to: str) -> Dat
     return out.select(*prefix.columns, to)
 
 
+def _by_nominee(prefix: DataFrame, extenders: Sequence[Extender], to: str) -> DataFrame:
+    """A branch for each nominee, so that each extender deals its own joins; the prefixes with their nominees are written once."""
+    chosen = materialize(nominate(prefix, extenders), "nominated")
+    parts = []
+    for i, e in enumerate(extenders):
+        own = e.propose(chosen.where(F.col("who") == i).select(*prefix.columns), to)
+        parts.append(reduce(lambda rows, other: other.intersect(rows, to), [x for x in extenders if x is not e], own))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def factorised(prefix: DataFrame, extenders: Sequence[Extender], to: str) -> DataFrame:
     """The prefix with an array of all values that the extenders allow; prefixes without any are dropped.
 

@@ -18,12 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.join import ALL_KEYS, with_setting
 from graphloom.plans.pattern import Motif
 from graphloom.storage import materialize
 
 CELLS = 64
-#: With this setting off, rows that lie by cell need no shuffle for a join on the cell and more.
-ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 @dataclass(frozen=True)
@@ -112,13 +111,7 @@ class SharedJoin:
 
     def matches(self) -> DataFrame:
         """x0, x1, ...: all matches, written. A match lies in just one cell: its values say which grid and which coordinates."""
-        spark = self.edges.sparkSession
-        held = spark.conf.get(ALL_KEYS)
-        spark.conf.set(ALL_KEYS, "false")
-        try:
-            return materialize(self._plan(parts_of(spark, self.cells)), "shared-join")
-        finally:
-            spark.conf.set(ALL_KEYS, held)
+        return with_setting(ALL_KEYS, "false", lambda: materialize(self._plan(parts_of(self.edges.sparkSession, self.cells)), "shared-join"), self.edges)
 
 
 def parts_of(spark: SparkSession, cells: int) -> int:

@@ -119,6 +119,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         edges = g(spark, d).edges
         return match(TRIANGLE, edges, seeds=edges)
 
+    def routed(spark: SparkSession, d: str) -> DataFrame:
+        """Triangles whose joins are dealt by a route of their own (neighbouring nodes together), and keys of more than 20 prefixes to several tasks."""
+        edges = g(spark, d).edges
+        near = Index.forward(edges)
+        sides = [Extender(x, near, route=lambda key: F.floor(key / 8), spread=20) for x in ("x0", "x1")]
+        return extend(edges.toDF("x0", "x1"), sides, "x2")
+
     def nominated(spark: SparkSession, d: str) -> DataFrame:
         edges = g(spark, d).edges
         return nominate(edges, [Extender("src", Index.forward(edges)), Extender("dst", Index.forward(edges))]).select("src", "dst", "cnt", "who")
@@ -154,6 +161,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def part_files(spark: SparkSession, d: str) -> DataFrame:
         return edge_parts(spark, written(spark, d, 3), 3)
 
+    def splits(spark: SparkSession, d: str) -> DataFrame:
+        """A graph in three files by number, and a file of updates of its own in epochs of 100 lines: the triangles that the updates add."""
+        edges, path, updates = g(spark, d).edges, fresh_path(spark, "edge-parts"), fresh_path(spark, "updates")
+        line, asked = F.concat_ws(" ", "src", "dst").alias("value"), (F.col("src") + F.col("dst")) % 5 == 0
+        for i in range(3):
+            edges.where(~asked & (F.col("src") % 3 == i)).select(line).write.text(part_name(path, i))
+        edges.where(asked).select(line).write.text(updates)
+        log = edge_parts(spark, path, 3).select("src", "dst", F.lit(0).alias("t"), F.lit(1).alias("w")).unionByName(update_batches(spark, updates, 100))
+        return epoch_counts(track(TRIANGLE, log, 1)).agg(total("net").alias("n"))
+
     def update_file(spark: SparkSession, d: str) -> DataFrame:
         """All edges from a file of updates of their own, in one epoch each 400 lines, onto no graph: the triangles in the end."""
         log = update_batches(spark, written(spark, d), 400)
@@ -254,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_text_batches": text_batches,
         "edge_parts": part_files,
         "update_file": update_file,
+        "motif_splits": splits,
         "csr_round_trip": csr,
         "layout_csr": layout_csr,
         "percent_of_edges": percent_preload,
@@ -324,6 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "consolidate": lambda s, d: consolidate(log(s, d).select("src", "dst", "w"), keep_positive=True),
         "single_extender_propose": lambda s, d: _count(Extender("dst", Index.forward(g(s, d).edges)).propose(g(s, d).edges, "x")),
         "nominate_min_count": nominated,
+        "routed_triangle": routed,
         "intersect_semijoin": semijoin,
         "degrees": lambda s, d: g(s, d).degrees(),
         "non_isolated_sources": lambda s, d: g(s, d).sources(),
@@ -448,11 +467,13 @@ WHERE e1.q < e3.q AND e1.p NOT IN (e2.q, e3.q, e4.q) AND e1.q <> e4.q AND e2.q <
         "count_motif_path4": f"SELECT count(*) AS n FROM ({_matches(PATH4, 'g')})",
         "count_motif_lollipop": f"SELECT count(*) AS n FROM ({_matches(LOLLIPOP, 'g')})",
         "shares_triangle": _matches(TRIANGLE, "g"),
+        "routed_triangle": _matches(TRIANGLE, "g"),
         "shares_k4": _matches(K4, "g"),
         "k5_motif": _matches(K5, "g"),
         "k6_motif": _matches(K6, "g"),
         **dict.fromkeys(("edge_parts", "csr_round_trip"), "SELECT src, dst FROM g"),
         **dict.fromkeys(("update_file", "percent_of_edges"), f"SELECT count(*) AS n FROM ({_matches(TRIANGLE, 'g')})"),
+        "motif_splits": f"SELECT count(*) AS n FROM ({_matches(TRIANGLE, 'g', '0 IN ((e0.src + e0.dst) % 5, (e1.src + e1.dst) % 5, (e2.src + e2.dst) % 5)')})",
         "shuffled_k4": f"SELECT count(*) AS n FROM ({_matches(K4, 'g')})",
         "shuffled_k5": f"SELECT count(*) AS n FROM ({_matches(K5, 'g')})",
         "index_update": "SELECT src, dst FROM g WHERE src >= 5",
