@@ -2,7 +2,8 @@
 
 A text's characters are symbols, linked to their neighbours. The agenda holds each two adjacent symbols that together are a piece of the vocabulary, the highest score first and of equal scores
 the leftmost. The first entry is merged if both its symbols are still as they were; then the pairs that the new symbol makes with its neighbours enter the agenda. What remains are the tokens; a character that
-is no piece becomes the pieces of its bytes. The agenda is a heap; for a chunk of up to `SHORT` symbols, a list of their pairs' scores, in which finding the best costs less.
+is no piece becomes the pieces of its bytes. The agenda is a heap; that of a chunk of up to `SHORT` symbols is a row of a matrix with the place of each pair in the order of scores, so that in one round all
+chunks of a batch take the first entry of their agendas.
 
 A text is normalised as the vocabulary says (a space at the front, spaces as U+2581), then cut where no piece can reach across: before a run of spaces, as no piece holds a space after another character,
 around line feeds, tabs and returns, if no longer piece holds them, and before a last sign that no piece holds behind the character before it (all checked when the vocabulary is loaded). Merges on either side of a cut don't affect each other, so a chunk is encoded once and
@@ -36,16 +37,12 @@ from graphloom.llm.common import bounded_batches
 SPACE = "▁"
 #: Rows that are encoded together; chunks of a generation of the cache, and the most characters of a chunk that is kept.
 BLOCK_ROWS, CACHE_CHUNKS, CACHE_CHARS = 500, 200_000, 64
-#: The most symbols of a chunk whose agenda is a list.
+#: The most symbols of a chunk whose agenda is a row of a matrix.
 SHORT = 24
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 
 
-#: The order of a pair that is no piece.
-NEVER = float("inf")
-
-
 class AgendaBpe:
     """Encoder and decoder of one model file."""
 
@@ -77,27 +74,68 @@ class AgendaBpe:
         self.pairs = {p[i : i + 2] for p in self.order for i in range(len(p) - 1)}
         self.alone = alone = "".join(c for c in "\n\t\r" if c not in within)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + f"|[{alone}]" * bool(alone))
+        #: For agendas in a matrix: ids by code point, ids of the longer pieces in the order of scores, and the pairs of pieces that make one.
+        ranked = sorted(self.order, key=self.order.__getitem__)
+        self.by_place = np.array([self.ids[p] for p in ranked], np.int32)
+        place = {p: i for i, p in enumerate(ranked)}
+        made = [(self.ids[p[:k]] * len(self.pieces) + self.ids[p[k:]], place[p]) for p in ranked for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        made.sort()
+        self.pair_keys, self.pair_places = (np.array(x, np.int64) for x in zip(*made, strict=True))
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        scores = [self.order[p] for p in ranked]
+        #: Pieces of equal scores have no order among themselves, so chunks that hold one aren't merged in a matrix.
+        self.equal = [p for i, p in enumerate(ranked) if scores[i] in (scores[i - 1 : i] + scores[i + 1 : i + 2])]
+        self.numbers, self.surfaces = pa.array([f",{i}" for i in range(len(self.pieces))]), pa.array([p.replace(SPACE, " ") for p in self.pieces])
+        self.odd = [p for p in self.equal if p.strip(SPACE)]
         #: What a piece gives: its id as text, after a comma, and its surface.
         self.given = {p: (f",{i}", p.replace(SPACE, " ")) for p, i in self.ids.items()}
         #: The cache, newer and older: a chunk's ids as decimal numbers, each after a comma, what they stand for, and whether the library gives the same (None: not asked).
         self.known: dict[str, tuple[str, str, bool | None]] = {}
         self.older: dict[str, tuple[str, str, bool | None]] = {}
 
-    def short_merge(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, by an agenda that is a list with the score of each symbol and its right neighbour."""
-        order, symbols = self.order.get, list(chunk)
-        agenda = [order(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
-        last = len(agenda) - 1
-        while agenda and (best := min(agenda)) != NEVER:
-            i = agenda.index(best)
-            piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            if i:
-                agenda[i - 1] = order(symbols[i - 1] + piece, NEVER)
-            if i < last:
-                agenda[i + 1] = order(piece + symbols[i + 1], NEVER)
-            del agenda[i]
-            last -= 1
-        return symbols
+    def short_merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of short chunks whose characters are all pieces, one after another, and how many each has. All chunks take one entry of their agendas in a round: the least place, of equal ones the leftmost."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        width = int(lengths.max())
+        symbols = np.full((len(chunks), width + 1), -1, np.int32)
+        symbols[np.arange(width + 1) < lengths[:, None]] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        agenda = self._places(symbols[:, :-1], symbols[:, 1:])
+        done, counts = np.full((len(chunks), width), -1, np.int32), np.zeros(len(chunks), np.int64)
+        row = np.arange(len(chunks))
+        while len(row):
+            at = agenda.argmin(axis=1)
+            best = agenda[np.arange(len(row)), at]
+            live = best < len(self.by_place)
+            if not live.all():
+                ended = ~live
+                done[row[ended], : symbols.shape[1] - 1] = symbols[ended, :-1]
+                row, symbols, agenda, at, best = row[live], symbols[live], agenda[live], at[live], best[live]
+                if not len(row):
+                    break
+            n, columns = np.arange(len(row)), np.arange(symbols.shape[1])
+            # the right symbol goes, and with it the pair; what is behind moves up
+            moved = np.minimum(columns + (columns > at[:, None]), symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, moved, 1)
+            symbols[n, at] = self.by_place[best]
+            moved = np.minimum(columns[:-1] + (columns[:-1] >= at[:, None]), agenda.shape[1] - 1)
+            agenda = np.take_along_axis(agenda, moved, 1)
+            agenda[:, -1] = len(self.by_place)
+            symbols[:, -1] = -1
+            agenda[n, at] = self._places(symbols[n, at], symbols[n, np.minimum(at + 1, symbols.shape[1] - 1)])
+            left = np.flatnonzero(at)
+            agenda[left, at[left] - 1] = self._places(symbols[left, at[left] - 1], symbols[left, at[left]])
+        counts = (done >= 0).sum(axis=1)
+        return done[done >= 0], counts
+
+    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place in the order of scores of what two symbols make together; behind all if that is no piece, or one of them is none."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_places[at], len(self.by_place)).astype(np.int32)
 
     def merge(self, chunk: str) -> list[str]:
         """The pieces of a chunk, by an agenda that is a heap."""
@@ -129,7 +167,7 @@ class AgendaBpe:
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """A chunk's ids as decimal numbers, each after a comma, and what they stand for."""
         numbers, surface = [], []
-        for piece in self.short_merge(chunk) if len(chunk) <= SHORT else self.merge(chunk):
+        for piece in self.merge(chunk):
             own = self.given.get(piece)
             if own is None:
                 data = piece.encode("utf-8", "surrogatepass")
@@ -140,6 +178,26 @@ class AgendaBpe:
                 surface.append(own[1])
         return "".join(numbers), "".join(surface)
 
+    def _chunks(self, chunks: list[str]) -> list[tuple[str, str]]:
+        """What each chunk gives; short ones by one matrix for each length up to 8, 16 and `SHORT`."""
+        out: list[tuple[str, str] | None] = [None] * len(chunks)
+        sizes: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            if 1 < len(c) <= SHORT and c[:2] != SPACE * 2:
+                sizes.setdefault(next(n for n in (8, 12, 16, SHORT) if len(c) <= n), []).append(i)
+        for own in sizes.values():
+            points = np.frombuffer("".join(chunks[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+            lengths = np.fromiter((len(chunks[i]) for i in own), np.int64, len(own))
+            known = np.logical_and.reduceat(self.of_char[points] >= 0, np.cumsum(lengths) - lengths)
+            fit = [i for i, k in zip(own, known.tolist(), strict=True) if k and not any(p in chunks[i] for p in self.odd)]
+            if fit:
+                ids, counts = self.short_merge([chunks[i] for i in fit])
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                numbers, surfaces = (pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(ids))), "").to_pylist() for names in (self.numbers, self.surfaces))
+                for i, own_numbers, surface in zip(fit, numbers, surfaces, strict=True):
+                    out[i] = own_numbers, surface
+        return [self._chunk(c) if o is None else o for o, c in zip(out, chunks, strict=True)]
+
     def _asked(self, chunks: list[str], given: list[tuple[str, str]]) -> list[bool]:
         """Whether the library gives the same for each chunk. It puts a space at the front itself; what doesn't begin with one is asked for behind a line feed."""
         behind = "\n" if "\n" in self.alone else ""
@@ -163,7 +221,7 @@ class AgendaBpe:
         stems = {c: c[:-1] for c in chunks if len(c) > 2 and not c[-1].isalnum() and c[-2:] not in self.pairs}
         parts = {*chunks, *stems.values(), *(c[-1] for c in stems)}.difference(stems)
         new = [c for c in parts if c not in self.known and c not in self.older]
-        given = [self._chunk(c) for c in new]
+        given = self._chunks(new)
         verdicts = self._asked(new, given) if check and new else [None] * len(new)
         found = {c: (*g, v) for c, g, v in zip(new, given, verdicts, strict=True)}
         self.known.update((c, f) for c, f in found.items() if len(c) <= CACHE_CHARS)

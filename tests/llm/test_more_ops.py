@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -247,8 +248,21 @@ def test_arrays_of_texts(piece):
     assert [len(x) for x in own.encode_array(pa.array([], pa.string()), True)] == [0, 0, 0, 0]
 
 
+def test_agendas_in_a_matrix(piece):
+    """Chunks of all lengths in one matrix, against the heap."""
+    rnd = random.Random(7)
+    words = [p.strip("▁") for p in piece.ids if 0 < len(p.strip("▁")) < 9]
+    for _ in range(60):
+        chunks = {rnd.choice(["▁", ""]) + "".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4))) for _ in range(40)}
+        chunks = [c for c in chunks if 1 < len(c) <= agenda.SHORT and all(x in piece.ids for x in c)]
+        ids, counts = piece.short_merge(chunks)
+        found = [piece.pieces[i] for i in ids]
+        assert found == [p for c in chunks for p in piece.merge(c)] and counts.tolist() == [len(piece.merge(c)) for c in chunks]
+    assert not piece.odd  # no two longer pieces but runs of spaces share a score
+
+
 def test_a_wrong_encoding_is_told(piece):
     own = agenda.AgendaBpe(agenda.vocabulary())
-    own.order = {}  # nothing is ever merged
+    own.order, own.pair_keys = {}, np.array([-1])  # nothing is ever merged
     _, _, _, agrees = own.encode_array(pa.array(["x", "the end", "\n", "  the"]), True)
     assert agrees.to_pylist() == [False, False, True, False]
