@@ -16,12 +16,15 @@ from graphloom.storage import materialize
 
 
 def _cliques_with_candidates(graph: Graph, k: int) -> DataFrame:
-    """y1, ..., yk (each clique of k nodes once, in rank order) and cand, the nodes above that extend it."""
-    ranked = graph.ranked()
-    up = graph.upward(ranked)
+    """y1, ..., yk (each clique of k nodes once, in rank order; some that nothing extends are left out) and cand, the nodes above that extend it, in the order of ranks.
+
+    A node that is taken from cand leaves only what comes after it to be extended with, so each row carries no more than that to the next join.
+    """
+    up = graph.upward()
     rows = up.select(F.col("node").alias("y1"), F.col("up").alias("cand"))
     for i in range(2, k + 1):
-        rows = rows.select(*(f"y{j}" for j in range(1, i)), "cand", F.explode("cand").alias(f"y{i}"))
+        rows = rows.select(*(f"y{j}" for j in range(1, i)), "cand", F.posexplode("cand").alias("at", f"y{i}"))
+        rows = rows.select(*(f"y{j}" for j in range(1, i + 1)), F.slice("cand", F.col("at") + 2, F.size("cand")).alias("cand")).where(F.size("cand") > 0)
         rows = rows.join(up.withColumnsRenamed({"node": f"y{i}"}), f"y{i}", "left")
         rows = rows.select(*(f"y{j}" for j in range(1, i + 1)), F.coalesce(common("cand", "up"), F.array().cast("array<long>")).alias("cand"))
     return rows

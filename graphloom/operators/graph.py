@@ -63,18 +63,19 @@ class Graph:
         return self.edges.where(F.pmod("src", F.lit(parts)) == index)
 
     def ranked(self) -> DataFrame:
-        """Each undirected edge once, from the node with fewer edges to the one with more (low, high); ties by number.
+        """Each undirected edge once, from the node with fewer edges to the one with more (low, high), ties by number; high_deg is the degree of high.
 
         No node has more than sqrt(2m) edges out, however large a hub is, so what is built from them stays bounded.
         """
         degree = self.symmetric.groupBy("src").agg(F.count("*").alias("deg"))
         f = self.oriented.join(degree.withColumnsRenamed({"src": "s", "deg": "ds"}), "s").join(degree.withColumnsRenamed({"src": "d", "deg": "dd"}), "d")
         up = F.struct("ds", "s") < F.struct("dd", "d")
-        return f.select(F.when(up, F.col("s")).otherwise(F.col("d")).alias("low"), F.when(up, F.col("d")).otherwise(F.col("s")).alias("high"))
+        return f.select(F.when(up, F.col("s")).otherwise(F.col("d")).alias("low"), F.when(up, F.col("d")).otherwise(F.col("s")).alias("high"), F.greatest("ds", "dd").alias("high_deg"))
 
-    def upward(self, edges: DataFrame | None = None) -> DataFrame:
-        """node and the array of its neighbours that rank above it."""
-        return (edges or self.ranked()).groupBy(F.col("low").alias("node")).agg(F.collect_list("high").alias("up"))
+    def upward(self) -> DataFrame:
+        """node and the array of its neighbours that rank above it, in the order of ranks."""
+        grouped = self.ranked().groupBy(F.col("low").alias("node")).agg(F.array_sort(F.collect_list(F.struct("high_deg", "high"))).alias("up"))
+        return grouped.select("node", F.col("up.high").alias("up"))
 
     def relabelled_by_degree(self) -> DataFrame:
         """node and its rank (from 0) by total degree, then number.
