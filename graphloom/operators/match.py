@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.join import Extender, Index, choose, extend
+from graphloom.operators.lifetimes import clique_changes, clique_order, pays
 from graphloom.operators.versioned import FOREVER, changes_of, consolidate, held_in, turns, undirected
 from graphloom.plans.pattern import Motif, MotifError
 from graphloom.storage import bucketed, materialize
@@ -211,7 +212,10 @@ def raw_changes(motif: Motif, log: DataFrame | Mapping[str, DataFrame], since: i
 
     `copartition` writes the indexes in buckets of their keys first, for logs too large to be broadcast: then each of the many joins shuffles its partial matches alone.
     """
-    changes, validity = driving_changes(motif, log, since, driven_by)
+    return _derivatives(motif, *driving_changes(motif, log, since, driven_by), strategy, copartition)
+
+
+def _derivatives(motif: Motif, changes: Mapping[str, DataFrame], validity: Mapping[str, DataFrame], strategy: str, copartition: bool) -> DataFrame:
     starts = [i for i, name in enumerate(motif.names) if name in changes]
     if strategy != "generic":
         return reduce(DataFrame.unionByName, [derivative(motif, i, changes[motif.names[i]], validity, strategy) for i in starts])
@@ -227,8 +231,22 @@ def track(motif: Motif, log: DataFrame | Mapping[str, DataFrame], since: int | N
 
     `log` is one log that all edges of the motif read, or a table for each relation that it names: a log (src, dst, t, w), or edges (src, dst) that never change. `driven_by` has logs by relation: only the changes
     in them are followed (a stream of queries over an index that holds both them and the graph); what else changes is read as of the epoch, but drives nothing.
+
+    Cliques of which a good part changes are found once with their lifetimes; other motifs, and few changes of many edges, by the derivatives of each edge.
     """
-    return consolidate(raw_changes(motif, log, since, strategy, driven_by, copartition))
+    changes, validity = driving_changes(motif, log, since, driven_by)
+    if strategy == "generic" and not copartition and (found := track_by_lifetimes(motif, changes, validity, driven_by is not None)) is not None:
+        return found
+    return consolidate(_derivatives(motif, changes, validity, strategy, copartition))
+
+
+def track_by_lifetimes(motif: Motif, changes: Mapping[str, DataFrame], validity: Mapping[str, DataFrame], partly: bool = False) -> DataFrame | None:
+    """What `track` gives, for a clique whose changes are many enough that to find each match once is the lesser work; else None. `partly`: `changes` may be some of them only."""
+    if not clique_order(motif):
+        return None
+    name = motif.relations[0]
+    first = pays(motif, changes[name], validity[name], partly)
+    return None if first is None else clique_changes(motif, validity[name], first)
 
 
 def track_cliques_by_triangles(log: DataFrame, since: int | None = None) -> DataFrame:
