@@ -5,6 +5,8 @@ every prefix is given its number of candidates from the degrees (what its nomine
 numbers add up to at most `budget`. A part is extended, and what it gives is dealt into parts in turn, down to whole matches, before the next part begins. So a table of one part for each step exists at a
 time, and none has more rows than the budget, unless a single prefix has more candidates.
 
+Cliques of which a good part changes need no parts: found with their lifetimes (`lifetimes`), no partial match but triangles is ever written. `track_in_parts` leaves these to `track`; `TrackInParts` itself deals any motif into parts.
+
 Parts are restartable: a part's matches are written when it is done, and a run over the same folder goes on after the last one. Dealing is by a hash of the prefix, so it is the same again.
 """
 
@@ -16,10 +18,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.match import Rounds, driving_changes
+from graphloom.operators.match import Rounds, driving_changes, track_by_lifetimes
 from graphloom.operators.versioned import consolidate
 from graphloom.plans.pattern import Motif
-from graphloom.storage import delete
+from graphloom.storage import delete, exists
 
 #: Rows that a step may make of one part.
 BUDGET = 20_000_000
@@ -37,8 +39,7 @@ class TrackInParts:
     made: dict[str, int] = field(default_factory=dict)
 
     def _done(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, f"{self.path}/{name}/_SUCCESS")
 
     def _table(self, df: DataFrame | None, name: str) -> DataFrame:
         """The table of this name; written from `df` if an earlier run hasn't."""
@@ -102,4 +103,8 @@ class TrackInParts:
 def track_in_parts(motif: Motif, log: DataFrame | Mapping[str, DataFrame], path: str, since: int | None = None, budget: int = BUDGET, driven_by: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """What `track` gives, in parts of at most `budget` partial matches; called again with the same `path` after a failure, it goes on where it stopped."""
     spark = (log if isinstance(log, DataFrame) else next(iter(log.values()))).sparkSession
+    if not exists(spark, f"{path}/prefixes/_SUCCESS"):
+        changes, validity = driving_changes(motif, log, since, driven_by)
+        if (found := track_by_lifetimes(motif, changes, validity, driven_by is not None)) is not None:
+            return found
     return TrackInParts(spark, motif, path, budget).run(log, since, driven_by)
