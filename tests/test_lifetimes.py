@@ -69,6 +69,21 @@ def test_large_cliques_in_parts_need_no_parts(spark, tmp_path, monkeypatch):
     assert rows(track_in_parts(Motif.clique(5), frame, str(tmp_path / "none"), 1).select(*Motif.clique(5).columns, "w", "t")) == want != set()
 
 
+def test_queries_over_graph_and_queries_are_found_once(spark, monkeypatch):
+    """query_stream_k5's way: where all that changes is asked for, no derivative is taken; where something else changes too, derivatives follow what is asked alone."""
+    from graphloom.operators import match as M
+
+    edges = sorted({(a, b) for a, b, *_ in random_log(5, 8, 120, 2)})
+    graph, asked = [(a, b, 0, 1) for a, b in edges[::2]], [(a, b, 1 + k % 3, 1) for k, (a, b) in enumerate(edges[1::2])]
+    motif, driven = Motif.clique(4), {"edges": spark.createDataFrame(asked, LOG)}
+    more = spark.createDataFrame([*graph, *asked, (91, 92, 2, 1)], LOG)
+    want = rows(track(motif, more, driven_by=driven))
+    monkeypatch.setattr(M, "_derivatives", lambda *a: pytest.fail("derivatives"))
+    assert rows(track(motif, spark.createDataFrame(graph + asked, LOG), driven_by=driven)) == want != set()
+    with pytest.raises(pytest.fail.Exception, match="derivatives"):
+        track(motif, more, driven_by=driven)
+
+
 def test_few_changes_are_followed_by_derivatives(spark, monkeypatch):
     """Two edges added to a graph of hundreds: its matches are not all found again."""
     from graphloom.operators import match as M
