@@ -15,7 +15,7 @@ import itertools
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.join import ALL_KEYS, with_setting
@@ -74,9 +74,14 @@ def ranked(held: DataFrame, directed: bool) -> DataFrame:
     return materialize(rows.select(*ends, (ahead if directed else F.lit(True)).alias("out"), "since", "until"), "ranked-edges")
 
 
+def _kept(spark: SparkSession, parts: int) -> int:
+    """At least `parts`, and as many as Spark leaves alone: what lies in fewer parts than it would deal by itself, it shuffles again ahead of each join, candidates included."""
+    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _in_cells(edges: DataFrame, colours: int) -> DataFrame:
     """(p0, p1, p2, f01, f02, f12, since, until): the triangles by rank, with the direction of each edge, without those that are cycles. One exchange; the joins run where the cell's edges lie."""
-    parts = 2 * colours**3 if colours > 1 else 1
+    parts = _kept(edges.sparkSession, 2 * colours**3)
 
     def sent(i: int, j: int, *names: str) -> DataFrame:
         """The edges as those from the i-th to the j-th node of a triangle, in each cell of their two colours."""
@@ -125,7 +130,7 @@ def clique_lifetimes(held: DataFrame, k: int, directed: bool = True) -> DataFram
     edges = ranked(held, directed)
     n = edges.count()
     colours = 1 if n < FEW else max(4, math.ceil(math.sqrt(n / CELL_EDGES)))
-    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_EDGES)
+    parts = _kept(edges.sparkSession, n // BUCKET_EDGES)
     found = _in_cells(edges, colours)
 
     def run() -> DataFrame:

@@ -84,6 +84,23 @@ def test_queries_over_graph_and_queries_are_found_once(spark, monkeypatch):
         track(motif, more, driven_by=driven)
 
 
+@pytest.mark.parametrize("colours", [1, 4])
+def test_candidates_stay_in_their_cells(spark, colours):
+    """Where the session has more partitions than there were for cells, Spark shuffled all candidates (7.6 million of 112,238 edges in query_stream_k5): only edges are to be, once for each edge of a triangle."""
+    held = spark.createDataFrame([(a, b, 0, FOREVER) for a, b in itertools.combinations(range(12), 2)], "src long, dst long, since int, until int")
+    edges = L.ranked(held, True)
+    before = {key: spark.conf.get(key) for key in (L.ALL_KEYS, "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("false", "200"), strict=True):
+            spark.conf.set(key, value)
+        found = L._in_cells(edges, colours)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 3
+        assert len(found.collect()) == len(list(itertools.combinations(range(12), 3)))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_few_changes_are_followed_by_derivatives(spark, monkeypatch):
     """Two edges added to a graph of hundreds: its matches are not all found again."""
     from graphloom.operators import match as M
