@@ -53,7 +53,7 @@ def pays(motif: Motif, changes: DataFrame, held: DataFrame, partly: bool) -> int
 
 def mutual(held: DataFrame) -> DataFrame:
     """(src < dst, since, until): when there are edges both ways."""
-    back = held.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("since").alias("_since"), F.col("until").alias("_until"))
+    back = held.where("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("since").alias("_since"), F.col("until").alias("_until"))
     return held.where("src < dst").join(back, ["src", "dst"]).select("src", "dst", *_common(F.col("_since"), F.col("_until"))).where("since < until")
 
 
@@ -145,7 +145,8 @@ def clique_lifetimes(held: DataFrame, k: int, directed: bool = True) -> DataFram
 def clique_changes(motif: Motif, held: DataFrame, since: int) -> DataFrame:
     """(x0, ..., t, w): the changes from epoch `since` on of a motif that `clique_order` knows."""
     order, both = clique_order(motif)
-    found = clique_lifetimes(mutual(held) if both else held, motif.width, not both)
+    # degrees and ranks both read the mutual edges
+    found = clique_lifetimes(materialize(mutual(held), "mutual-edges") if both else held, motif.width, not both)
     turns = F.array(F.struct(F.col("since").alias("t"), F.lit(1).cast("long").alias("w")), F.struct(F.col("until").alias("t"), F.lit(-1).cast("long").alias("w")))
     rows = found.select(*found.columns[: motif.width], F.explode(turns).alias("turn")).select(*found.columns[: motif.width], "turn.*").where((F.col("t") >= since) & (F.col("t") < FOREVER))
     if both:  # every order of a clique's nodes is a match of its own
